@@ -38,25 +38,32 @@ def chart_extent(series: DataFrame) -> DataFrame:
     ).withColumn("zero_line", (F.col("min_value") < 0) & (F.col("max_value") > 0))
 
 
-def skipped_charts(clips: DataFrame, analysis: DataFrame) -> DataFrame:
-    """Charts that a clip is too thin for, with the points there are and the reason."""
+def chart_status(clips: DataFrame, analysis: DataFrame) -> DataFrame:
+    """Each clip's charts with the points there are, and whether they suffice."""
     on_path = F.col("barbell_x_stable").isNotNull() & F.col("barbell_y_stable").isNotNull()
     counts = analysis.groupBy("clip_id").agg(
         *[F.count(metric).alias(metric) for metric in CHART_TITLES],
         F.count_if(on_path).alias("path"))
+    needed = {metric: (title, MIN_SERIES_POINTS) for metric, title in CHART_TITLES.items()}
+    needed["path"] = (PATH_CHART_TITLE, MIN_PATH_POINTS + 1)
     charts = F.array(*[
-        F.struct(F.lit(title).alias("chart"), F.coalesce(metric, F.lit(0)).alias("points"),
-                 F.lit(MIN_SERIES_POINTS).alias("needed"))
-        for metric, title in CHART_TITLES.items()
-    ], F.struct(F.lit(PATH_CHART_TITLE).alias("chart"), F.coalesce("path", F.lit(0)).alias("points"),
-                F.lit(MIN_PATH_POINTS + 1).alias("needed")))
+        F.struct(F.lit(title).alias("chart"), F.coalesce(column, F.lit(0)).alias("points"),
+                 F.lit(least).alias("needed"))
+        for column, (title, least) in needed.items()
+    ])
+    status = (
+        F.when(F.col("points") >= F.col("needed"), "produced")
+        .when(F.col("points") == 0, "missing").otherwise("insufficient"))
     return (
         clips.select("clip_id").join(counts, "clip_id", "left")
         .select("clip_id", F.inline(charts))
-        .where(F.col("points") < F.col("needed"))
-        .select("clip_id", "chart", "points",
-                F.when(F.col("points") == 0, "missing").otherwise("insufficient").alias("reason"))
-    )
+        .select("clip_id", "chart", "points", status.alias("status")))
+
+
+def skipped_charts(clips: DataFrame, analysis: DataFrame) -> DataFrame:
+    """The charts that a clip is too thin for, and why."""
+    return chart_status(clips, analysis).where("status <> 'produced'").withColumnRenamed(
+        "status", "reason")
 
 
 def path_points(analysis: DataFrame) -> DataFrame:
