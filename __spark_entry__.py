@@ -135,10 +135,10 @@ def q_box_text(f: Fleet):
 def q_write_report(f: Fleet):
     path = scratch_path(f.spark, "reports")
     sinks.write_report(report.report_markdown(f.critique()), path)
-    texts = f.spark.read.option("wholetext", True).text(path)
+    texts = f.spark.read.text(path, wholetext=True)
     return texts.select(
         F.col("clip_id").cast("bigint").alias("clip_id"),
-        F.rtrim(F.regexp_replace("value", "\\n$", "")).alias("report"))
+        F.regexp_replace("value", "\\n$", "").alias("report"))
 
 
 # --- detection and shake -------------------------------------------------------------

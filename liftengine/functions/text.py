@@ -13,29 +13,26 @@ def fixed(value: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", F.bround(value, digits))
 
 
-def _point_text(name: Column, parts) -> Column:
-    return F.concat(
-        F.lit("'"), name, F.lit("': ("),
-        F.concat_ws(", ", *[p.cast("string") for p in parts]), F.lit(")"))
-
-
 def landmarks_to_text(landmarks: Column) -> Column:
     """Landmark map as a literal such as ``{'left_hip': (0.5, 0.6, -0.1, 0.9)}``, by name."""
-    entries = F.transform(
-        F.sort_array(F.map_keys(landmarks)),
-        lambda name: _point_text(name, [landmarks[name][p] for p in ("x", "y", "z", "vis")]))
+    def entry(name):
+        parts = [landmarks[name][p].cast("string") for p in ("x", "y", "z", "vis")]
+        return F.concat(
+            F.lit("'"), name, F.lit("': ("), F.concat_ws(", ", *parts), F.lit(")"))
+
+    entries = F.transform(F.sort_array(F.map_keys(landmarks)), entry)
     return F.coalesce(
         F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}")), F.lit("{}"))
 
 
 def wide_landmarks_to_text(column) -> Column:
-    """The same text from wide columns; ``column(name, part)`` gives one of them."""
-    entries = [
-        F.when(column(name, "vis").isNotNull(), _point_text(
-            F.lit(name), [column(name, p) for p in ("x", "y", "z", "vis")]))
-        for name in sorted(LANDMARKS)
-    ]
-    return F.concat(F.lit("{"), F.concat_ws(", ", *entries), F.lit("}"))
+    """The same text from wide columns; ``column(name, part)`` names one of them."""
+    entries = []
+    for name in sorted(LANDMARKS):
+        x, y, z, vis = [column(name, part) for part in ("x", "y", "z", "vis")]
+        entries.append(f"""CASE WHEN {vis} IS NOT NULL THEN concat(
+            "'{name}': (", concat_ws(', ', {x}, {y}, {z}, {vis}), ')') END""")
+    return F.expr(f"concat('{{', concat_ws(', ', {', '.join(entries)}), '}}')")
 
 
 def text_to_landmarks(text: Column) -> Column:

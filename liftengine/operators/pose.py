@@ -41,28 +41,30 @@ def widen_landmarks(landmarks: DataFrame) -> DataFrame:
     only the asked-for columns are computed.
     """
     return landmarks.groupBy("clip_id", "frame").agg(*[
-        F.max(F.when(F.col("landmark") == name, F.col(part))).alias(_raw(name, part))
+        F.expr(f"max(CASE WHEN landmark = '{name}' THEN {part} END) AS {_raw(name, part)}")
         for name in schema.LANDMARKS for part in PARTS
     ])
 
 
 def spread_landmarks(frames: DataFrame) -> DataFrame:
     """The same wide columns from the landmark map that the frame carries."""
-    return frames.withColumns({
-        _raw(name, part): F.col("landmarks")[name][part]
+    return frames.selectExpr("*", *[
+        f"landmarks['{name}'].{part} AS {_raw(name, part)}"
         for name in schema.LANDMARKS for part in PARTS
-    })
+    ])
 
 
 def unpack_landmarks(wide: DataFrame, gate: float = schema.VISIBLE_GATE) -> DataFrame:
     """The 48 landmark columns: positions only where seen well enough, visibility always."""
-    columns = {}
+    columns = []
     for name in schema.LANDMARKS:
-        vis = F.col(_raw(name, "vis"))
-        for part in ("x", "y", "z"):
-            columns[f"{name}_{part}"] = F.when(vis > gate, F.col(_raw(name, part)))
-        columns[f"{name}_vis"] = vis
-    return wide.withColumns(columns)
+        vis = _raw(name, "vis")
+        columns += [
+            f"CASE WHEN {vis} > {gate}D THEN {_raw(name, part)} END AS {name}_{part}"
+            for part in ("x", "y", "z")
+        ]
+        columns.append(f"{vis} AS {name}_vis")
+    return wide.selectExpr("*", *columns)
 
 
 def with_lifter_angle(wide: DataFrame) -> DataFrame:

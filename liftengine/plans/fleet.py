@@ -25,7 +25,7 @@ def _texts(df):
     box = [F.col(f"box_{side}") if f"box_{side}" in df.columns else F.lit(None).cast("double")
            for side in BOX]
     return df.withColumns({
-        "landmarks_str": wide_landmarks_to_text(lambda name, part: F.col(f"_{name}_{part}")),
+        "landmarks_str": wide_landmarks_to_text(lambda name, part: f"_{name}_{part}"),
         "barbell_box_str": box_to_text(*box),
     })
 

@@ -166,9 +166,12 @@ def require_columns(df, names):
 
 def with_missing_columns(df, schema):
     """Add each column of ``schema`` that ``df`` lacks, as typed NULL, and cast the rest."""
-    from pyspark.sql import functions as F
+    have = {f.name: f.dataType for f in df.schema.fields}
 
-    return df.select(*[
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in schema.fields
-    ])
+    def column(f):
+        if have.get(f.name) == f.dataType:
+            return f.name
+        source = f.name if f.name in have else "NULL"
+        return f"CAST({source} AS {f.dataType.simpleString()}) AS {f.name}"
+
+    return df.selectExpr(*[column(f) for f in schema.fields])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,12 +45,13 @@ def read_tracks(spark: SparkSession, path: str) -> Tracks:
     def table(name, declared):
         return nan_to_null(spark.read.schema(declared).parquet(f"{path}/{name}"))
 
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
     def optional(name, declared):
-        there = files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
-        return table(name, declared) if there else None
+        try:
+            return table(name, declared)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
     frames = table("frames", schema.FRAMES)
     return Tracks(

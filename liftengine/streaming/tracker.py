@@ -7,17 +7,23 @@ Frames must arrive in order; one at or below the last frame is late and only cou
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = ("sx bigint, sy bigint, shake_x double, shake_y double, last_frame bigint, "
          "late_frames bigint")
-OUTPUT = ("clip_id bigint, frame bigint, det_id bigint, cx bigint, cy bigint, "
-          "total_shake_x double, total_shake_y double, "
-          "barbell_x_stable double, barbell_y_stable double, late_frames bigint")
+OUTPUT = {
+    "clip_id": "int64", "frame": "int64", "det_id": "Int64", "cx": "Int64", "cy": "Int64",
+    "total_shake_x": "float64", "total_shake_y": "float64", "barbell_x_stable": "float64",
+    "barbell_y_stable": "float64", "late_frames": "int64",
+}
+OUTPUT_DDL = ", ".join(
+    f"{name} {'double' if kind == 'float64' else 'bigint'}" for name, kind in OUTPUT.items())
 COLUMNS = ("clip_id", "frame", "shake_dx", "shake_dy", "det_id", "first_key", "cx", "cy")
 
 
@@ -29,52 +35,42 @@ def frame_stream(frames: DataFrame, cands: DataFrame) -> DataFrame:
 
 
 def _nearest(options, sx, sy):
-    """The chosen (det_id, cx, cy) among a frame's candidates."""
-    def key(option):
-        det_id, first_key, cx, cy = option
-        distance = first_key if sx is None else (cx - sx) ** 2 + (cy - sy) ** 2
-        return distance, det_id
+    """The candidate row to take, given the centre chosen last (or none)."""
+    def key(row):
+        _, _, _, det_id, first_key, cx, cy = row
+        return (first_key if sx is None else (cx - sx) ** 2 + (cy - sy) ** 2), det_id
 
-    det_id, _, cx, cy = min(options, key=key)
-    return int(det_id), int(cx), int(cy)
+    return min(options, key=key)
 
 
 def follow(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState,
 ) -> Iterator[pd.DataFrame]:
     """Rows of one clip in one micro-batch, continued from the state."""
-    rows = pd.concat(list(batches)).sort_values(["frame", "det_id"], kind="stable")
-    if state.exists:
-        sx, sy, shake_x, shake_y, last_frame, late = state.get
-    else:
-        sx, sy, shake_x, shake_y, last_frame, late = None, None, 0.0, 0.0, None, 0
+    table = pd.concat(list(batches), ignore_index=True)[list(COLUMNS[1:])]
+    rows = sorted(table.itertuples(index=False, name=None), key=itemgetter(0))
+    sx, sy, shake_x, shake_y, last_frame, late = (
+        state.get if state.exists else (None, None, 0.0, 0.0, None, 0))
     out = []
-    for frame, group in rows.groupby("frame", sort=True):
-        frame = int(frame)
+    for frame, group in groupby(rows, key=itemgetter(0)):
+        group = list(group)
         if last_frame is not None and frame <= last_frame:
             late += 1
             continue
-        last_frame = frame
-        first = group.iloc[0]
-        shake_x += 0.0 if pd.isna(first["shake_dx"]) else float(first["shake_dx"])
-        shake_y += 0.0 if pd.isna(first["shake_dy"]) else float(first["shake_dy"])
-        seen = group[group["det_id"].notna()]
-        if len(seen):
-            options = list(seen[["det_id", "first_key", "cx", "cy"]].itertuples(
-                index=False, name=None))
-            det_id, sx, sy = _nearest(options, sx, sy)
-            chosen = (det_id, sx, sy)
+        last_frame = int(frame)
+        shake_x += float(np.nan_to_num(group[0][1]))
+        shake_y += float(np.nan_to_num(group[0][2]))
+        options = [row for row in group if not pd.isna(row[3])]
+        if options:
+            chosen = _nearest(options, sx, sy)
+            sx, sy = int(chosen[5]), int(chosen[6])
+            seen = (int(chosen[3]), sx, sy)
         else:
-            chosen = (None, None, None)
-        out.append((key[0], frame, *chosen, shake_x, shake_y,
-                    None if chosen[1] is None else chosen[1] - shake_x,
-                    None if chosen[2] is None else chosen[2] - shake_y, late))
+            seen = (pd.NA, pd.NA, pd.NA)
+        stable = (sx - shake_x, sy - shake_y) if options else (np.nan, np.nan)
+        out.append((key[0], last_frame, *seen, shake_x, shake_y, *stable, late))
     state.update((sx, sy, shake_x, shake_y, last_frame, late))
-    names = [part.split()[0] for part in OUTPUT.split(", ")]
-    table = pd.DataFrame(out, columns=names)
-    for name in ("det_id", "cx", "cy"):
-        table[name] = table[name].astype("Int64")
-    yield table
+    yield pd.DataFrame(out, columns=list(OUTPUT)).astype(OUTPUT)
 
 
 def track_endcap_stream(rows: DataFrame) -> DataFrame:
@@ -84,7 +80,7 @@ def track_endcap_stream(rows: DataFrame) -> DataFrame:
     (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
     """
     return rows.select(*COLUMNS).groupBy("clip_id").applyInPandasWithState(
-        follow, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        follow, OUTPUT_DDL, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(rows: DataFrame, path: str, checkpoint: str) -> None:
