@@ -309,9 +309,9 @@ def span_for(longest: int | None, rows_per_task: int = ROWS_PER_TASK):
     return Blocks(max(rows_per_task, math.isqrt(longest)))
 
 
-def longest_group(df: DataFrame, key: str) -> int:
-    """Rows of the largest group; one pre-aggregated pass over the key column alone."""
-    counts = df.groupBy(key).count()
+def longest_group(df: DataFrame, *keys: str) -> int:
+    """Rows of the largest group; one pre-aggregated pass over the key columns alone."""
+    counts = df.groupBy(*keys).count()
     return counts.agg(F.max("count").alias("n")).first()["n"] or 0
 
 

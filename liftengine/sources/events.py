@@ -40,28 +40,46 @@ def _rows(tuples, *names):
     return f"inline(array({structs}))"
 
 
-def _numbered(events: DataFrame, longest: int, rows_per_task: int) -> DataFrame:
-    """Events with ``frame``: their position among the user's events by time."""
+def _slice_of(width: int):
+    return F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / F.lit(width))
+
+
+def slice_seconds(events: DataFrame, longest: int, rows_per_task: int) -> int:
+    """Length of time slices that no user fills beyond ``rows_per_task``.
+
+    Starts from an even spread and halves the slices while a burst still overfills one;
+    each look is a pre-aggregated count.
+    """
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    width = max(1, int((hi - lo).total_seconds()) // -(-longest // rows_per_task))
+    while width > 1 and longest_group(
+            events.select("user_id", _slice_of(width).alias("slice")),
+            "user_id", "slice") > rows_per_task:
+        width //= 2
+    return width
+
+
+def numbered(events: DataFrame, longest: int, rows_per_task: int) -> DataFrame:
+    """Events with ``frame``: their position among the user's events by time.
+
+    Users with very many events are cut by time; each slice is numbered on its own.
+    """
+    key, order = "user_id", ("ts", "event_id")
     if longest <= rows_per_task:
-        span = Whole(key="user_id", order=("ts", "event_id"))
+        span = Whole(key, order)
     else:
-        # a heavy user is cut by time; each slice is numbered on its own
-        lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
-        slices = max(1, -(-4 * longest // rows_per_task))
-        width = max(1, int((hi - lo).total_seconds()) // slices)
-        since = F.unix_timestamp(F.col("ts").cast("timestamp"))
-        span = Blocks(rows_per_task, key="user_id", order=("ts", "event_id"),
-                      block=F.floor(since / F.lit(width)))
-    numbered = span.derive(events, _n=RunningSum(F.lit(1)))
-    return numbered.withColumn("frame", F.col("_n").cast("bigint") - 1).drop("_n", BLOCK)
+        width = slice_seconds(events, longest, rows_per_task)
+        span = Blocks(rows_per_task, key, order, block=_slice_of(width))
+    placed = span.derive(events, _n=RunningSum(F.lit(1)))
+    return placed.withColumn("frame", F.col("_n").cast("bigint") - 1).drop("_n", BLOCK)
 
 
 def base(events: DataFrame, longest: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """One row per kept event with the integers that everything else comes from."""
-    numbered = _numbered(
+    placed = numbered(
         events.select("user_id", "ts", "event_id", "event_type", "value", "props"),
         longest, rows_per_task)
-    drawn = numbered.select(
+    drawn = placed.select(
         F.col("user_id").alias("clip_id"), "frame", "event_type",
         F.round(F.col("value") * 100).cast("bigint").alias("v"),
         F.regexp_extract("props", "([0-9]+)", 1).cast("bigint").alias("k"),
