@@ -30,7 +30,7 @@ def export_analysis_csv(df: DataFrame, path: str, mode: str = "errorifexists") -
 
 
 def import_analysis_csv(
-    spark: SparkSession, path: str, clip_pattern: str = CLIP_IN_PATH,
+    spark: SparkSession, path: str, clip_pattern: str = CLIP_IN_PATH, file_glob: str = "*.csv",
 ) -> DataFrame:
     """Analysis CSVs in bulk, columns found by name in each file's own header.
 
@@ -38,7 +38,7 @@ def import_analysis_csv(
     fields and paired with the header of their file.  The clip number is taken from the
     path, or hashed from it where the pattern does not match.
     """
-    lines = spark.read.option("pathGlobFilter", "*.csv").option(
+    lines = spark.read.option("pathGlobFilter", file_glob).option(
         "recursiveFileLookup", True).text(path).select(
             F.col("_metadata.file_path").alias("file"), "value")
     slots = [f"c{i}" for i in range(len(schema.ANALYSIS_TYPES) + 1)]

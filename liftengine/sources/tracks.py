@@ -32,12 +32,21 @@ class Tracks:
         return replace(self, frames=frames)
 
 
+def _known(value):
+    return F.when(~F.isnan(value), value)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NULL is the only missing value here: Spark orders NaN above every number."""
-    return df.withColumns({
-        f.name: F.when(~F.isnan(f.name), F.col(f.name))
+    cleaned = {
+        f.name: _known(F.col(f.name))
         for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-    })
+    }
+    if "landmarks" in df.columns:
+        parts = schema.LANDMARK_POINT.names
+        cleaned["landmarks"] = F.transform_values("landmarks", lambda name, point: F.struct(
+            *[_known(point[part]).alias(part) for part in parts]))
+    return df.withColumns(cleaned)
 
 
 def read_tracks(spark: SparkSession, path: str) -> Tracks:
