@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from liftengine import schema
 from liftengine.functions.geometry import mean_present, to_pixels
-from liftengine.plans.span import BLOCK, Previous, Whole
+from liftengine.operators.pose import landmark_rows
+from liftengine.plans.span import BLOCK, Previous, Whole, join_frames
 from liftengine.sources.scratch import write_scratch
 
 BOX = ("x1", "y1", "x2", "y2")
@@ -76,7 +77,7 @@ def candidates(clamped: DataFrame, feet: DataFrame) -> DataFrame:
         (F.col("cx") - F.col("feet_x")) * (F.col("cx") - F.col("feet_x"))
         + (F.col("cy") - F.col("feet_y")) * (F.col("cy") - F.col("feet_y")))
     near_middle = F.abs(F.col("cx") - F.col("frame_width") / 2)
-    return clamped.join(feet, ["clip_id", "frame"], "left").select(
+    return join_frames(clamped, feet).select(
         "clip_id", "frame", "det_id",
         F.coalesce(near_feet, near_middle).alias("first_key"),
         F.when(F.col("feet_x").isNotNull(), "feet").otherwise("center").alias("chosen_by"),
@@ -233,24 +234,37 @@ def estimate_shake(frames: DataFrame, flow: DataFrame, span=Whole()) -> DataFram
     placed = span.derive(
         frames.select("clip_id", "frame"), _prev_frame=Previous(F.col("frame")))
     later = F.col("_prev_frame").isNotNull()
-    return placed.join(tracked, ["clip_id", "frame"], "left").select(
+    return join_frames(placed, tracked).select(
         "clip_id", "frame",
         F.coalesce(F.when(enough & later, F.col("mx")), F.lit(0.0)).alias("shake_dx"),
         F.coalesce(F.when(enough & later, F.col("my")), F.lit(0.0)).alias("shake_dy"))
 
 
 def collect_frames(
-    frames: DataFrame, clips: DataFrame, detections: DataFrame, landmarks: DataFrame,
-    flow: DataFrame, class_name: str = "endcap", names: dict[int, str] | None = None,
-    span=Whole(),
+    frames: DataFrame, clips: DataFrame, detections: DataFrame,
+    landmarks: DataFrame | None = None, flow: DataFrame | None = None,
+    class_name: str = "endcap", names: dict[int, str] | None = None, span=Whole(),
 ) -> DataFrame:
-    """Frame table from the long tables: chosen bar, its box, and shake on every frame."""
+    """Frame table from the long tables: chosen bar, its box, and shake on every frame.
+
+    Without ``landmarks`` the frames' own landmark maps are used and kept; without
+    ``flow`` the camera counts as still.
+    """
+    own_maps = landmarks is None
+    rows = landmark_rows(frames) if own_maps else landmarks
     wanted = clamp_boxes(filter_detections(detections, class_name, names=names), clips, span)
-    track = track_endcap(candidates(wanted, feet_position(landmarks, clips, span)), span)
+    track = track_endcap(candidates(wanted, feet_position(rows, clips, span)), span)
     bar = track.select(
         "clip_id", "frame",
         F.col("cx").cast("double").alias("barbell_x_raw"),
         F.col("cy").cast("double").alias("barbell_y_raw"),
         *[F.col(side).alias(f"box_{side}") for side in BOX])
-    shaken = estimate_shake(frames, flow, span)
-    return shaken.join(bar, ["clip_id", "frame"], "left")
+    if flow is None:
+        shaken = frames.select(
+            "clip_id", "frame", F.lit(0.0).alias("shake_dx"), F.lit(0.0).alias("shake_dy"))
+    else:
+        shaken = estimate_shake(frames, flow, span)
+    collected = join_frames(shaken, bar)
+    if own_maps:
+        collected = join_frames(collected, frames.select("clip_id", "frame", "landmarks"))
+    return collected

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from liftengine.functions.geometry import body_part, to_pixels, truncate
 from liftengine.functions.text import fixed, text_to_box
 from liftengine.operators.charts import path_points, phase_color
-from liftengine.plans.span import LastKnown, Previous, RunningSum, Whole
+from liftengine.plans.span import LastKnown, Previous, RunningSum, Whole, join_frames
 from liftengine.schema import LANDMARKS, SKELETON_EDGES
 from liftengine.sources.tracks import clip_defaults
 
@@ -43,7 +43,7 @@ def frame_state(plan: DataFrame, analysis: DataFrame, span=Whole()) -> DataFrame
         "clip_id", "frame", "total_shake_x", "total_shake_y", "lifter_angle_deg", "time_s",
         (F.col("barbell_x_stable").isNotNull() & F.col("barbell_y_stable").isNotNull())
         .alias("_on_path"))
-    joined = plan.join(known, ["clip_id", "frame"], "left")
+    joined = join_frames(plan, known)
     carried = span.derive(
         joined,
         _shake=LastKnown(F.when(

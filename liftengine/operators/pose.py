@@ -34,6 +34,13 @@ def pack_landmarks(landmarks: DataFrame) -> DataFrame:
     )
 
 
+def landmark_rows(frames: DataFrame) -> DataFrame:
+    """The landmark maps of frames as one row per landmark."""
+    return frames.select(
+        "clip_id", "frame", F.explode("landmarks").alias("landmark", "point"),
+    ).select("clip_id", "frame", "landmark", "point.*")
+
+
 def widen_landmarks(landmarks: DataFrame) -> DataFrame:
     """Landmark rows as one wide row per frame, values as observed (``_left_hip_x`` ...).
 

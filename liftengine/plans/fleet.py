@@ -9,7 +9,7 @@ from liftengine import schema
 from liftengine.functions.text import box_to_text, wide_landmarks_to_text
 from liftengine.operators import charts, faults, kinematics, overlay, pose, report
 from liftengine.operators.detection import BOX, collect_frames
-from liftengine.plans.span import Whole
+from liftengine.plans.span import Whole, join_frames
 from liftengine.sources.scratch import write_scratch
 from liftengine.sources.tracks import Tracks, clip_defaults, validate_tracks, with_clip_metadata
 
@@ -45,7 +45,7 @@ def analysis(frames: DataFrame, clips: DataFrame, landmarks: DataFrame | None =
         moved = pose.spread_landmarks(kinematics.kinematics(sized, span))
     else:
         bar = kinematics.kinematics(sized.drop("landmarks"), span)
-        moved = bar.join(pose.widen_landmarks(landmarks), ["clip_id", "frame"], "left")
+        moved = join_frames(bar, pose.widen_landmarks(landmarks))
     return final_projection(_texts(pose.with_pose(moved)))
 
 

@@ -302,6 +302,15 @@ class Blocks:
         return spread.drop("_n", "_start")
 
 
+def join_frames(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """Join two tables with a row (or a few) per clip and frame.
+
+    Both sides grow with the footage, so neither may be broadcast; Spark's estimate of a
+    side that was unpacked or aggregated can be far too small, hence the explicit merge.
+    """
+    return left.join(right.hint("merge"), ["clip_id", "frame"], how)
+
+
 def span_for(longest: int | None, rows_per_task: int = ROWS_PER_TASK):
     """The span for clips of which the longest has ``longest`` rows."""
     if (longest or 0) <= rows_per_task:

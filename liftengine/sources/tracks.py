@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from liftengine import schema
 from liftengine.plans.span import Whole, measure
+from liftengine.sources.scratch import write_scratch
 
 
 @dataclass(frozen=True)
@@ -114,16 +115,22 @@ def clip_problems(clips: DataFrame, frames: DataFrame) -> DataFrame:
 def validate_tracks(tracks: Tracks) -> tuple[Tracks, DataFrame]:
     """Split off unusable clips: the remaining tracks, and one row per clip set aside.
 
-    The list of bad clips is normally short, and Spark broadcasts it if its size allows.
+    The bad clips are written out first.  Normally there are none, and the tables are
+    then passed on as they are.
     """
-    bad = clip_problems(tracks.clips, tracks.frames).where(F.col("problem").isNotNull())
-    keys = bad.select("clip_id")
+    bad = write_scratch(
+        clip_problems(tracks.clips, tracks.frames).where("problem IS NOT NULL"), "quarantine")
+    if bad.isEmpty():
+        return tracks, bad
+    marks = bad.select("clip_id", F.lit(True).alias("_bad"))
 
     def keep(df):
-        return df.join(keys, "clip_id", "left_anti") if df is not None else None
+        if df is None:
+            return None
+        return tracks.span.attach(df, marks).where("_bad IS NULL").select(*df.columns)
 
     return replace(
-        tracks, clips=keep(tracks.clips), frames=keep(tracks.frames),
-        landmarks=keep(tracks.landmarks), detections=keep(tracks.detections),
-        flow=keep(tracks.flow),
+        tracks, clips=tracks.clips.join(marks, "clip_id", "left_anti"),
+        frames=keep(tracks.frames), landmarks=keep(tracks.landmarks),
+        detections=keep(tracks.detections), flow=keep(tracks.flow),
     ), bad

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from liftengine.plans.span import join_frames
+
 STATE = ("sx bigint, sy bigint, shake_x double, shake_y double, last_frame bigint, "
          "late_frames bigint")
 OUTPUT = {
@@ -29,9 +31,10 @@ COLUMNS = ("clip_id", "frame", "shake_dx", "shake_dy", "det_id", "first_key", "c
 
 def frame_stream(frames: DataFrame, cands: DataFrame) -> DataFrame:
     """Batch rows in the stream's layout: a row per candidate, one without for other frames."""
-    return frames.select("clip_id", "frame", "shake_dx", "shake_dy").join(
+    return join_frames(
+        frames.select("clip_id", "frame", "shake_dx", "shake_dy"),
         cands.select("clip_id", "frame", "det_id", "first_key", "cx", "cy"),
-        ["clip_id", "frame"], "left").select(*COLUMNS)
+    ).select(*COLUMNS)
 
 
 def _nearest(options, sx, sy):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from liftengine import schema
 from liftengine.operators import detection
 from liftengine.plans import fleet
+from liftengine.plans.span import Blocks
 from liftengine.sources import events, sinks
 from liftengine.sources.scratch import scratch_path, scratch_root, write_scratch
 from liftengine.sources.tracks import (
@@ -62,6 +63,10 @@ def test_quarantine(spark):
         (2, "duplicate_frame"), (3, "no_frames"), (4, "bad_fps")]
     assert rows_of(good.frames) == [(1, 0), (1, 1), (5, 7)]
     assert rows_of(good.clips.select("clip_id")) == [(1,), (5,)]
+    blocked, _ = validate_tracks(Tracks(clips=clips, frames=frames, span=Blocks(1)))
+    same(good.frames, blocked.frames, KEYS)
+    again, none = validate_tracks(good)
+    assert again is good and none.isEmpty()
 
 
 def test_parquet_and_csv_round_trips(spark, tracks):
@@ -124,6 +129,19 @@ def test_landmark_maps_and_rows_give_the_same_analysis(tracks):
          fleet.analysis(packed, clips), KEYS)
 
 
+def test_detections_with_landmark_maps(tracks):
+    from liftengine.operators.pose import pack_landmarks
+
+    clips = clip_defaults(tracks.clips)
+    packed = tracks.frames.join(pack_landmarks(tracks.landmarks), KEYS, "left")
+    options = {"names": events.CLASS_NAMES, "span": tracks.span}
+    from_maps = detection.collect_frames(packed, clips, tracks.detections, None, None, **options)
+    from_rows = detection.collect_frames(
+        tracks.frames, clips, tracks.detections, tracks.landmarks, None, **options)
+    assert "landmarks" in from_maps.columns
+    same(from_rows, from_maps, KEYS)
+
+
 def test_analysis_has_its_contract(tracks):
     table = fleet.analysis(tracks.frames, clip_defaults(tracks.clips), tracks.landmarks)
     assert table.dtypes == [(f.name, f.dataType.simpleString()) for f in schema.ANALYSIS]
