@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from liftengine.operators import (
 )
 from liftengine.plans import fleet
 from liftengine.sources import sinks
-from liftengine.sources.events import CLASS_NAMES, tracks_from_events
+from liftengine.sources.events import CLASS_NAMES, EventTables
 from liftengine.sources.scratch import scratch_path, write_scratch
 from liftengine.sources.tracks import (
     clip_defaults, clip_problems, read_tracks, with_clip_metadata,
@@ -48,20 +49,29 @@ class Fleet:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self.tracks = tracks_from_events(spark, sf_dir)
-        self.span = self.tracks.span
-        self.clips = clip_defaults(self.tracks.clips)
-        self.frames = self.tracks.frames
-        self.landmarks = self.tracks.landmarks
+        self.tables = EventTables(spark, sf_dir)
+        self.span = self.tables.span
+
+    @cached_property
+    def clips(self):
+        return clip_defaults(self.tables.clips)
+
+    @property
+    def frames(self):
+        return self.tables.frames
+
+    @property
+    def landmarks(self):
+        return self.tables.landmarks
 
     def sized(self):
-        return with_clip_metadata(self.frames, self.tracks.clips, self.span)
+        return with_clip_metadata(self.frames, self.tables.clips, self.span)
 
     def analysis(self):
         return fleet.analysis(self.frames, self.clips, self.landmarks, self.span)
 
     def clamped(self):
-        wanted = detection.filter_detections(self.tracks.detections, names=CLASS_NAMES)
+        wanted = detection.filter_detections(self.tables.detections, names=CLASS_NAMES)
         return detection.clamp_boxes(wanted, self.clips, self.span)
 
     def candidates(self):
@@ -70,7 +80,7 @@ class Fleet:
 
     def collected(self):
         return detection.collect_frames(
-            self.frames, self.clips, self.tracks.detections, self.landmarks, self.tracks.flow,
+            self.frames, self.clips, self.tables.detections, self.landmarks, self.tables.flow,
             names=CLASS_NAMES, span=self.span)
 
     def full_analysis(self):
@@ -79,7 +89,7 @@ class Fleet:
 
     def posed(self):
         wide = pose.widen_landmarks(self.landmarks)
-        return with_clip_metadata(wide, self.tracks.clips, self.span)
+        return with_clip_metadata(wide, self.tables.clips, self.span)
 
     def states(self, analysed):
         plan = overlay.render_plan(analysed, self.clips, self.span)
@@ -98,7 +108,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def q_read_tracks(f: Fleet):
     path = scratch_path(f.spark, "tracks")
-    f.tracks.clips.write.parquet(f"{path}/clips")
+    f.tables.clips.write.parquet(f"{path}/clips")
     schema.with_missing_columns(f.frames, schema.FRAMES).write.parquet(f"{path}/frames")
     return read_tracks(f.spark, path).frames.select(
         *KEY, "barbell_x_raw", "barbell_y_raw", "shake_dx", "shake_dy")
@@ -127,7 +137,7 @@ def q_landmark_text(f: Fleet):
 
 def q_box_text(f: Fleet):
     sides = [F.col(side) for side in detection.BOX]
-    texts = f.tracks.detections.select(*KEY, "det_id", box_to_text(*sides).alias("box_str"))
+    texts = f.tables.detections.select(*KEY, "det_id", box_to_text(*sides).alias("box_str"))
     return texts.withColumn("b", text_to_box(F.col("box_str"))).select(
         *KEY, "det_id", "box_str", "b.*")
 
@@ -145,7 +155,7 @@ def q_write_report(f: Fleet):
 
 def q_filter_detections(f: Fleet, class_name="endcap", names=CLASS_NAMES):
     return detection.filter_detections(
-        f.tracks.detections, class_name, names=names).drop("class_id")
+        f.tables.detections, class_name, names=names).drop("class_id")
 
 
 def q_clamp_boxes(f: Fleet):
@@ -173,7 +183,7 @@ def q_pack_landmarks(f: Fleet):
 
 
 def q_estimate_shake(f: Fleet):
-    return detection.estimate_shake(f.frames, f.tracks.flow, f.span)
+    return detection.estimate_shake(f.frames, f.tables.flow, f.span)
 
 
 # --- frame enrichment ------------------------------------------------------------------
@@ -193,7 +203,7 @@ def q_lifter_angle(f: Fleet):
 
 
 def q_pixel_coordinates(f: Fleet):
-    sized = with_clip_metadata(f.landmarks, f.tracks.clips, f.span)
+    sized = with_clip_metadata(f.landmarks, f.tables.clips, f.span)
     size = F.col("frame_width"), F.col("frame_height")
     x_px, y_px = to_pixels(F.col("x"), F.col("y"), *size)
     x_norm, y_norm = to_normalized(x_px, y_px, *size)
@@ -282,7 +292,7 @@ def q_chart_status(f: Fleet, report_on):
 
 def q_bar_path_segments(f: Fleet):
     moved = kinematics.kinematics(
-        with_clip_metadata(f.collected(), f.tracks.clips, f.span), f.span)
+        with_clip_metadata(f.collected(), f.tables.clips, f.span), f.span)
     return charts.bar_path_segments(moved, f.span).select(
         "clip_id", "segment", "frame", rounded("x"), rounded("y"), "bar_phase", "color",
         "label", "direction")
@@ -375,7 +385,7 @@ def q_run_summary(f: Fleet):
 
 
 def q_analyze_detections(f: Fleet):
-    summary = fleet.analyze(f.tracks, names=CLASS_NAMES)["run_summary"]
+    summary = fleet.analyze(f.tables.tracks(), names=CLASS_NAMES)["run_summary"]
     return summary.withColumn("detection_rate", rounded("detection_rate"))
 
 
@@ -467,7 +477,7 @@ _QUERIES = {
     "report_markdown": lambda f: report.report_markdown(f.critique()),
     "run_summary": q_run_summary,
     "analyze_detections": q_analyze_detections,
-    "validate_tracks": lambda f: clip_problems(f.tracks.clips, f.frames),
+    "validate_tracks": lambda f: clip_problems(f.tables.clips, f.frames),
     "track_endcap_stream": q_track_endcap_stream,
 }
 

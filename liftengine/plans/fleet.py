@@ -21,9 +21,8 @@ def final_projection(df: DataFrame) -> DataFrame:
     return schema.with_missing_columns(df, schema.ANALYSIS)
 
 
-def _texts(df):
-    box = [F.col(f"box_{side}") if f"box_{side}" in df.columns else F.lit(None).cast("double")
-           for side in BOX]
+def _texts(df, has_box):
+    box = [F.col(f"box_{side}") if has_box else F.lit(None).cast("double") for side in BOX]
     return df.withColumns({
         "landmarks_str": wide_landmarks_to_text(lambda name, part: f"_{name}_{part}"),
         "barbell_box_str": box_to_text(*box),
@@ -38,6 +37,7 @@ def analysis(frames: DataFrame, clips: DataFrame, landmarks: DataFrame | None =
     the wide pose columns are shuffled once and never pass through a window.  Frames
     that bring their own landmark map need no join at all.
     """
+    has_box = "box_x1" in frames.columns
     frames = frames.withColumns({
         c: F.coalesce(c, F.lit(0.0)) for c in ("shake_dx", "shake_dy")})
     sized = with_clip_metadata(frames, clips, span)
@@ -46,7 +46,7 @@ def analysis(frames: DataFrame, clips: DataFrame, landmarks: DataFrame | None =
     else:
         bar = kinematics.kinematics(sized.drop("landmarks"), span)
         moved = join_frames(bar, pose.widen_landmarks(landmarks))
-    return final_projection(_texts(pose.with_pose(moved)))
+    return final_projection(_texts(pose.with_pose(moved), has_box))
 
 
 def analyze(

@@ -158,7 +158,8 @@ ANALYSIS = T.StructType(
 
 def require_columns(df, names):
     """Raise ``ValueError`` naming every column of ``names`` that ``df`` lacks."""
-    missing = [name for name in names if name not in df.columns]
+    have = set(df.columns)
+    missing = [name for name in names if name not in have]
     if missing:
         raise ValueError(f"Missing columns {', '.join(missing)}")
     return df

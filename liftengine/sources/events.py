@@ -6,6 +6,8 @@ arithmetic on the event gives bar, joints, detections and flow.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ JOINTS = (
 )
 # candidate number, x offset, modulus of the y offset
 CANDIDATES = ((0, 0, 1), (1, 260, 40), (2, -40, 9))
+EVENTS = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+          "props string")
 # class names of the imagined detector
 CLASS_NAMES = {0: "endcap", 1: "plate"}
 
@@ -157,15 +161,53 @@ def flow(rows: DataFrame) -> DataFrame:
         "CAST(CASE WHEN (n + feat*feat) % 4 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS status")
 
 
+class EventTables:
+    """The clip tables over one ``events`` file, each set up when first asked for.
+
+    Every table reads the file anew: they are then independent relations, which Spark
+    joins without renaming one side's plan, and it still shares equal shuffles.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, rows_per_task: int = ROWS_PER_TASK):
+        self._spark, self._path = spark, f"{sf_dir}/events.parquet"
+        self._rows_per_task = rows_per_task
+        self._longest = longest_group(self._events(), "user_id")
+        self.span = span_for(self._longest, rows_per_task)
+
+    def _events(self):
+        return self._spark.read.schema(EVENTS).parquet(self._path)
+
+    def _base(self):
+        return base(self._events(), self._longest, self._rows_per_task)
+
+    @cached_property
+    def clips(self):
+        return clips(self._base())
+
+    @cached_property
+    def frames(self):
+        return frames(self._base())
+
+    @cached_property
+    def landmarks(self):
+        return landmarks(self._base())
+
+    @cached_property
+    def detections(self):
+        return detections(self._base())
+
+    @cached_property
+    def flow(self):
+        return flow(self._base())
+
+    def tracks(self) -> Tracks:
+        return Tracks(
+            clips=self.clips, frames=self.frames, landmarks=self.landmarks,
+            detections=self.detections, flow=self.flow, span=self.span)
+
+
 def tracks_from_events(
     spark: SparkSession, sf_dir: str, rows_per_task: int = ROWS_PER_TASK,
 ) -> Tracks:
     """All clip tables over ``events``; the longest clip decides the span."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    longest = longest_group(events, "user_id")
-    rows = base(events, longest, rows_per_task)
-    return Tracks(
-        clips=clips(rows), frames=frames(rows), landmarks=landmarks(rows),
-        detections=detections(rows), flow=flow(rows),
-        span=span_for(longest, rows_per_task),
-    )
+    return EventTables(spark, sf_dir, rows_per_task).tracks()
