@@ -15,7 +15,8 @@ MIN_PATH_POINTS = 2
 
 def chart_series(analysis: DataFrame, span=Whole()) -> DataFrame:
     """Long (clip, metric, time, value) of each metric with at least two points."""
-    counted = span.derive(analysis, **{
+    needed = analysis.select("clip_id", "frame", "time_s", *CHART_TITLES)
+    counted = span.derive(needed, **{
         f"_n_{metric}": Total("sum", F.col(metric).isNotNull().cast("bigint"))
         for metric in CHART_TITLES
     })

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftengine.operators.phases import BORDERS, PHASES, identified, mark_borders
+from liftengine.operators.phases import (
+    BORDERS, PHASES, REQUIRED, identified, mark_borders,
+)
 from liftengine.plans.span import Whole
-from liftengine.schema import FAULTS
+from liftengine.schema import FAULTS, require_columns
 
 KICK_SHARE = 0.05
 JUMP_SHARE = 0.02
@@ -17,6 +19,11 @@ DROP_SECONDS = 0.1
 THIRD_PULL_SECONDS = 0.2
 SINKING_PX_S = -10.0
 
+# columns that the faults look at, besides those that the phases need
+MEASURED = (
+    "accel_y_smooth", "vel_y_smooth", "barbell_x_stable", "left_ankle_y", "right_ankle_y",
+    "left_elbow_angle", "right_elbow_angle",
+)
 NO_PHASES = "Could not identify lift phases."
 NO_FAULTS = "No faults detected."
 
@@ -30,7 +37,9 @@ def clip_measures(analysis: DataFrame, span=Whole()) -> DataFrame:
 
     A single pre-aggregated pass over the marked rows.
     """
-    marked = mark_borders(analysis, span)
+    marked = mark_borders(
+        require_columns(analysis, REQUIRED).select(
+            "clip_id", "frame", *REQUIRED, *MEASURED), span)
     pull1, pull2, pull3, recovery = [_between(a, b) for _, a, b in PHASES]
     accel = F.col("accel_y_smooth")
     x = F.col("barbell_x_stable")

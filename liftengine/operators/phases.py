@@ -48,7 +48,10 @@ def with_baseline(analysis: DataFrame, span=Whole()) -> DataFrame:
 
 
 def mark_borders(analysis: DataFrame, span=Whole()) -> DataFrame:
-    """The rows of ``analysis`` with the borders as structs ``_t0`` .. ``_t4``, or NULL."""
+    """The rows of ``analysis`` with the borders as structs ``_t0`` .. ``_t4``, or NULL.
+
+    Pass only the columns that are needed afterwards: long clips are written out per step.
+    """
     bar, hip, frame = F.col("barbell_y_stable"), F.col("hip_y_avg"), F.col("frame")
 
     def first(when, *fields):
@@ -76,8 +79,8 @@ def identified():
 
 def phases(analysis: DataFrame, span=Whole()) -> DataFrame:
     """One row per clip with frames t0 .. t4; all NULL unless every one is found."""
-    marked = mark_borders(analysis, span)
-    return marked.groupBy("clip_id").agg(*[
+    needed = require_columns(analysis, REQUIRED).select("clip_id", "frame", *REQUIRED)
+    return mark_borders(needed, span).groupBy("clip_id").agg(*[
         F.max(F.when(identified(), F.col(f"_{t}")["frame"])).alias(t) for t in BORDERS])
 
 

@@ -33,20 +33,25 @@ def analysis(frames: DataFrame, clips: DataFrame, landmarks: DataFrame | None =
              span=Whole()) -> DataFrame:
     """The analysis table.
 
-    Landmark rows are gathered by (clip, frame) and meet the bar's kinematics there, so
-    the wide pose columns are shuffled once and never pass through a window.  Frames
-    that bring their own landmark map need no join at all.
+    Only the bar's few columns go through the steps along the clip.  The wide pose columns,
+    from landmark rows or from the frames' own landmark maps, meet the result by
+    (clip, frame) and so are shuffled once.
     """
-    has_box = "box_x1" in frames.columns
-    frames = frames.withColumns({
-        c: F.coalesce(c, F.lit(0.0)) for c in ("shake_dx", "shake_dy")})
-    sized = with_clip_metadata(frames, clips, span)
-    if landmarks is None:
-        moved = pose.spread_landmarks(kinematics.kinematics(sized, span))
+    have = set(frames.columns)
+    box = [f"box_{side}" for side in BOX if f"box_{side}" in have]
+    bar = frames.select(
+        *schema.ANALYSIS_KEY, "barbell_x_raw", "barbell_y_raw", *box,
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("shake_dx", "shake_dy")])
+    moved = kinematics.kinematics(with_clip_metadata(bar, clips, span), span)
+    if landmarks is not None:
+        seen = pose.widen_landmarks(landmarks)
     else:
-        bar = kinematics.kinematics(sized.drop("landmarks"), span)
-        moved = join_frames(bar, pose.widen_landmarks(landmarks))
-    return final_projection(_texts(pose.with_pose(moved), has_box))
+        maps = F.col("landmarks") if "landmarks" in have else F.lit(None)
+        seen = pose.spread_landmarks(frames.select(
+            *schema.ANALYSIS_KEY,
+            maps.cast(schema.FRAMES["landmarks"].dataType).alias("landmarks"),
+        )).drop("landmarks")
+    return final_projection(_texts(pose.with_pose(join_frames(moved, seen)), bool(box)))
 
 
 def analyze(

@@ -129,6 +129,12 @@ def test_landmark_maps_and_rows_give_the_same_analysis(tracks):
          fleet.analysis(packed, clips), KEYS)
 
 
+def test_no_pose_at_all(tracks):
+    table = fleet.analysis(tracks.frames, clip_defaults(tracks.clips))
+    assert table.count() > 0
+    assert table.where("landmarks_str <> '{}' OR hip_y_avg IS NOT NULL").isEmpty()
+
+
 def test_detections_with_landmark_maps(tracks):
     from liftengine.operators.pose import pack_landmarks
 
