@@ -197,7 +197,7 @@ def track_endcap(cands: DataFrame, span=Whole()) -> DataFrame:
 
 def _blocked_steps(frames: DataFrame, span) -> DataFrame:
     """Steps per block of a clip, with the entry choice that the earlier blocks lead to."""
-    cut = frames.withColumn(BLOCK, F.floor(F.col("frame") / F.lit(span.size)).cast("bigint"))
+    cut = frames.withColumn(BLOCK, F.floor(F.col("frame") / F.lit(span.fold_size)).cast("bigint"))
     blocks = write_scratch(cut.groupBy("clip_id", BLOCK).agg(_ordered_steps()))
 
     def outcome(c):

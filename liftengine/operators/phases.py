@@ -28,17 +28,15 @@ PHASES = (
 def with_baseline(analysis: DataFrame, span=Whole()) -> DataFrame:
     """Mean bar height over the clip's first 30 rows, and the height that starts a lift."""
     bar = F.col("barbell_y_stable")
-    placed = span.derive(
-        require_columns(analysis, REQUIRED),
-        _row=RunningSum(F.lit(1)),
-        _t4=Total("min", F.when(bar.isNotNull(), F.struct(
-            bar.alias("y"), "frame", "time_s"))),
-    )
+    placed = span.derive(require_columns(analysis, REQUIRED), _row=RunningSum(F.lit(1)))
     early = F.col("_row") <= BASELINE_ROWS
+    # only totals from here on, so long clips are written out just this once
     summed = span.derive(
-        placed,
+        span.settle(placed),
         _sum=Total("sum", F.when(early, bar)),
         _count=Total("sum", (early & bar.isNotNull()).cast("bigint")),
+        _t4=Total("min", F.when(bar.isNotNull(), F.struct(
+            bar.alias("y"), "frame", "time_s"))),
     )
     mean = F.col("_sum") / F.nullif(F.col("_count"), F.lit(0))
     return summed.withColumns({

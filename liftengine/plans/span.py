@@ -14,8 +14,9 @@ clip (`RunningSum`, `Previous`, `LastKnown`, ...) and a span decides how:
             summary row per block.  The block length grows with the square root
             of the longest clip, so both levels stay small.
 
-Both give the same rows.  ``Blocks`` reads its input twice per step and so writes
-it to the shared scratch folder first.
+Both give the same rows.  ``Blocks`` reads its input twice per step.  It therefore writes
+it to the shared scratch folder first; where only totals are asked for, it writes the
+summary rows instead and the input is merely scanned.
 """
 
 from __future__ import annotations
@@ -216,6 +217,10 @@ class Whole:
         desc = Window.partitionBy(self.key).orderBy(*[F.desc(c) for c in self.order])
         return df.withColumns({name: need.whole(asc, desc) for name, need in needs.items()})
 
+    def settle(self, df: DataFrame) -> DataFrame:
+        """``df`` in a form that is cheap to read several times."""
+        return df
+
     def attach(self, df: DataFrame, per_clip: DataFrame) -> DataFrame:
         """Left join a table with one row per clip; Spark broadcasts it if its size allows."""
         return df.join(per_clip, self.key, "left")
@@ -245,6 +250,15 @@ class Blocks:
     key: str = "clip_id"
     order: tuple[str, ...] = ("frame",)
     block: Column | None = field(default=None, compare=False)
+    longest: int | None = field(default=None, compare=False)
+
+    @property
+    def fold_size(self) -> int:
+        """Block length where a block is folded row by row and blocks are chained.
+
+        Near the square root of the longest clip: as many steps in a block as blocks.
+        """
+        return self.size if self.longest is None else max(256, math.isqrt(self.longest))
 
     def _with_block(self, df):
         if BLOCK in df.columns:
@@ -256,7 +270,8 @@ class Blocks:
 
     def derive(self, df: DataFrame, **needs) -> DataFrame:
         """Add one column per need."""
-        rows = write_scratch(self._with_block(df))
+        totals_only = all(isinstance(need, Total) for need in needs.values())
+        rows = self._with_block(df) if totals_only else self.settle(df)
         order = F.struct(*self.order) if len(self.order) > 1 else F.col(self.order[0])
 
         summaries, parts = [], {}
@@ -275,6 +290,8 @@ class Blocks:
                 carries[name][part] = F.col(f"_c_{name}_{part}")
                 carried.append(expr.alias(f"_c_{name}_{part}"))
         carry = per_block.select(self.key, BLOCK, *carried)
+        if totals_only:
+            carry = write_scratch(carry, "totals")
 
         asc = Window.partitionBy(self.key, BLOCK).orderBy(*self.order)
         desc = Window.partitionBy(self.key, BLOCK).orderBy(*[F.desc(c) for c in self.order])
@@ -283,6 +300,10 @@ class Blocks:
         return joined.withColumns(local).select(
             *[c for c in rows.columns if c not in local], *local)
 
+    def settle(self, df: DataFrame) -> DataFrame:
+        """``df`` with its blocks, written to the scratch folder and read back."""
+        return write_scratch(self._with_block(df))
+
     def attach(self, df: DataFrame, per_clip: DataFrame) -> DataFrame:
         """Left join a table with one row per clip, by way of the list of blocks.
 
@@ -315,7 +336,7 @@ def span_for(longest: int | None, rows_per_task: int = ROWS_PER_TASK):
     """The span for clips of which the longest has ``longest`` rows."""
     if (longest or 0) <= rows_per_task:
         return Whole()
-    return Blocks(max(rows_per_task, math.isqrt(longest)))
+    return Blocks(max(rows_per_task, math.isqrt(longest)), longest=longest)
 
 
 def longest_group(df: DataFrame, *keys: str) -> int:

@@ -79,6 +79,8 @@ def test_span_choice(sparse):
     longest = 10**11
     size = span_for(longest).size
     assert size == math.isqrt(longest) and longest / size < 2 * size
+    assert span_for(40_000).size == 32_768 and span_for(40_000).fold_size == 256
+    assert span_for(10**10).fold_size == 10**5 and Blocks(7).fold_size == 7
 
 
 @pytest.fixture(scope="module")
