@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values of the smoothing
 WIDEST = 15
 NARROWEST = 5
 DEGREE = 3

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from liftengine.schema import CHART_TITLES, PATH_CHART_TITLE, PHASE_COLORS, PHASE_LABELS
 from liftengine.plans.span import Previous, RunningSum, Total, Whole
 
+# fixed values: points that a chart needs
 MIN_SERIES_POINTS = 2
 # a bar path is drawn from more points than this
 MIN_PATH_POINTS = 2

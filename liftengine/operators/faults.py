@@ -11,6 +11,7 @@ from liftengine.operators.phases import (
 from liftengine.plans.span import Whole
 from liftengine.schema import FAULTS, require_columns
 
+# fixed values: shares are of the frame height
 KICK_SHARE = 0.05
 JUMP_SHARE = 0.02
 STRAIGHT_ARM_DEG = 160.0

@@ -16,7 +16,7 @@ from liftengine.plans.span import (
     LastKnown, Nearby, NextKnown, Previous, RunningSum, Total, Whole,
 )
 
-# slowest movement that counts, and its share of the clip's fastest
+# fixed values: slowest movement that counts, and its share of the clip's fastest
 MIN_SPEED_PX_S = 10.0
 SPEED_SHARE = 0.05
 

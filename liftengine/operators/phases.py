@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from liftengine.plans.span import RunningSum, Total, Whole
 from liftengine.schema import require_columns
 
+# fixed values: rows that set the baseline, and the share of the frame height to rise
 BASELINE_ROWS = 30
 START_SHARE = 0.02
 REQUIRED = (

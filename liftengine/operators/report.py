@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from liftengine.functions.text import fixed
 from liftengine.schema import FAULTS
 
+# fixed text of the report
 TIMING_LINES = (
     ("- **First Pull:**  ", "first_pull_s"),
     ("- **Second Pull:** ", "second_pull_s"),
