@@ -26,6 +26,11 @@ from liftengine.sources.tracks import (
 )
 from liftengine.streaming.tracker import frame_stream, run_available
 
+try:  # the training-data operators are an optional part
+    from liftengine.llm import queries as llm
+except ImportError:
+    llm = None
+
 KEY = ("clip_id", "frame")
 POSE = [f"{name}_{part}" for name in schema.LANDMARKS for part in ("x", "y", "z", "vis")]
 SMOOTHED = ("vel_y_smooth", "accel_y_smooth", "specific_power_y_smooth")
@@ -487,9 +492,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: (lambda spark, sf_dir, build=build: build(Fleet(spark, sf_dir)))
         for name, build in _QUERIES.items()
-    }
+    } | (llm.queries() if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results in SQL over the driver's tables."""
-    return oracle.all_sql()
+    return oracle.all_sql() | (llm.oracle_sql() if llm else {})

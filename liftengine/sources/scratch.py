@@ -9,15 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The session's ``spark.checkpoint.dir``.
+
+    Where it is unset, a session that runs in one process (``local[n]``) gets a temporary
+    folder; on a cluster that would lie on one machine's disk, so it is an error there.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return shared
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own
+        return shared.rstrip("/")
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError(
+                "spark.checkpoint.dir is unset: name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
