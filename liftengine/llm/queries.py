@@ -5,18 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftengine.llm import fingerprints, mixing, quality
+from liftengine.llm import (
+    fingerprints, jaccard, mixing, packing, pii, quality, sharding, token_files,
+)
 from liftengine.llm.common import table
+from liftengine.sources.scratch import scratch_path
+
+SEQUENCE = 4096
+
+
+def vocabulary() -> str:
+    """Where the installed public vocabulary lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary(), end=2)
+    return token_files.read_tokens(spark, path)
+
+
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), columns=("doc_id",)).drop("copies")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast(
+            "bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(kind) for kind in pii.PATTERNS],
+        F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"),
+        pii.as_text(F.concat("base", "terms")).alias("spans"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), SEQUENCE, vocabulary(), end=1)
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -27,7 +72,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_fingerprints": op1_fingerprints,
+        "op2_token_files": op2_token_files,
+        "op5_jaccard": op5_jaccard,
         "op6_mixing": op6_mixing,
+        "op7_pii": op7_pii,
+        "op8_packing": op8_packing,
+        "op9_sharding": op9_sharding,
         "op10_quality": op10_quality,
     }
 
