@@ -95,7 +95,7 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h1"),
         F.xxhash64(F.lit(1), text).alias("h2")), "sized")
     rows = sized.count()
-    chunks = min(CHUNKS, max(64, rows // 20_000))
+    chunks = min(CHUNKS, max(1, rows // 2_000))
     groups = sized.groupBy("h1", "h2").agg(F.sum("size").alias("bytes")).withColumn(
         "chunk", F.pmod("h1", F.lit(chunks)).cast("int"))
 
