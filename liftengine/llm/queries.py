@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftengine.llm import (
-    fingerprints, jaccard, mixing, packing, pii, quality, sharding, token_files,
+    fingerprints, jaccard, mixing, packing, pii, quality, sharding, suffixes, token_files,
 )
 from liftengine.llm.common import table
 from liftengine.sources.scratch import scratch_path
@@ -31,6 +31,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path)
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -73,6 +77,7 @@ def queries() -> dict:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_token_files": op2_token_files,
+        "op4_suffixes": op4_suffixes,
         "op5_jaccard": op5_jaccard,
         "op6_mixing": op6_mixing,
         "op7_pii": op7_pii,

@@ -89,6 +89,26 @@ def test_packing(result, documents, whole):
     assert len(by_sequence) <= least * 1.02 + 1
 
 
+def test_suffixes(result, documents):
+    rows = {r["doc_id"]: r for r in result("op4_suffixes")}
+    seen, cut = set(), 0
+    for doc, text in documents:
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 99):
+            string = raw[i:i + 100]
+            if string in seen:
+                gone[i:i + 100] = b"\1" * 100
+            seen.add(string)
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        spans = len(re.findall(b"\1+", bytes(gone)))
+        cut += spans
+        row = rows.pop(doc)
+        assert (row["n_bytes"], row["n_removed"], row["n_spans"], row["kept_sha256"]) == (
+            len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    assert not rows and cut > 100
+
+
 def test_jaccard(result, documents):
     sets = {}
     for doc, text in documents:
