@@ -26,10 +26,11 @@ from liftengine.sources.tracks import (
 )
 from liftengine.streaming.tracker import frame_stream, run_available
 
-try:  # the training-data operators are an optional part
+try:  # the training-data operators and their pipeline are an optional part
+    import corpus_pipeline
     from liftengine.llm import queries as llm
 except ImportError:
-    llm = None
+    corpus_pipeline = llm = None
 
 KEY = ("clip_id", "frame")
 POSE = [f"{name}_{part}" for name in schema.LANDMARKS for part in ("x", "y", "z", "vis")]
@@ -487,12 +488,16 @@ _QUERIES = {
 }
 
 
+def optional_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query over the tables in ``sf_dir``."""
     return {
         name: (lambda spark, sf_dir, build=build: build(Fleet(spark, sf_dir)))
         for name, build in _QUERIES.items()
-    } | (llm.queries() if llm else {})
+    } | optional_queries()
 
 
 def oracle_sql() -> dict[str, str]:

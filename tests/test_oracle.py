@@ -7,7 +7,7 @@ from tests.compare import compare, duck
 
 TWINS = entry.oracle_sql()
 #: The training-data operators have their own tests in tests/llm.
-OPTIONAL = set(entry.llm.queries()) if entry.llm else set()
+OPTIONAL = set(entry.optional_queries())
 QUERIES = {name: build for name, build in entry.queries().items() if name not in OPTIONAL}
 
 
