@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftengine.llm import (
-    fingerprints, jaccard, mixing, packing, pii, quality, sharding, suffixes, token_files,
+    fingerprints, jaccard, mixing, packing, pii, quality, sharding, suffixes, templates,
+    token_files,
 )
 from liftengine.llm.common import table
 from liftengine.sources.scratch import scratch_path
@@ -31,6 +32,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path)
 
 
+def op3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -77,6 +82,7 @@ def queries() -> dict:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_token_files": op2_token_files,
+        "op3_templates": op3_templates,
         "op4_suffixes": op4_suffixes,
         "op5_jaccard": op5_jaccard,
         "op6_mixing": op6_mixing,

@@ -1,6 +1,7 @@
 """Every operator's query over a whole table, next to the plainest way to compute it."""
 
 import hashlib
+import html
 import itertools
 import re
 import zlib
@@ -89,6 +90,19 @@ def test_packing(result, documents, whole):
     assert len(by_sequence) <= least * 1.02 + 1
 
 
+def test_templates(spark, medium, result):
+    """These pages hold their text in one article of a heading and paragraphs."""
+    rows = {r["page_id"]: r for r in result("op3_templates")}
+    for page in spark.read.parquet(f"{medium}/pages.parquet").collect():
+        inside = re.search(r"<article>(.*)</article>", page["html"], re.S)[1]
+        blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip()
+                  for b in re.split(r"</?(?:p|h1)>", inside)]
+        row = rows.pop(page["page_id"])
+        assert row["text"] == "\n\n".join(b for b in blocks if b)
+        assert (row["url"], row["n_chars"]) == (page["url"], len(row["text"]))
+    assert not rows
+
+
 def test_suffixes(result, documents):
     rows = {r["doc_id"]: r for r in result("op4_suffixes")}
     seen, cut = set(), 0
