@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracle
+from fixtures.events import CLASS_NAMES, EventTables
 from liftengine import schema
 from liftengine.functions.geometry import to_normalized, to_pixels
 from liftengine.functions.text import (
@@ -18,8 +19,8 @@ from liftengine.operators import (
     charts, detection, faults, kinematics, overlay, phases, pose, report,
 )
 from liftengine.plans import fleet
+from liftengine.plans.span import ROWS_PER_TASK
 from liftengine.sources import sinks
-from liftengine.sources.events import CLASS_NAMES, EventTables
 from liftengine.sources.scratch import scratch_path, write_scratch
 from liftengine.sources.tracks import (
     clip_defaults, clip_problems, read_tracks, with_clip_metadata,
@@ -53,9 +54,9 @@ def analysis_columns():
 class Fleet:
     """The clip tables of one data directory, and the steps that queries start from."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, rows_per_task: int = ROWS_PER_TASK):
         self.spark = spark
-        self.tables = EventTables(spark, sf_dir)
+        self.tables = EventTables(spark, sf_dir, rows_per_task)
         self.span = self.tables.span
 
     @cached_property
@@ -151,10 +152,7 @@ def q_box_text(f: Fleet):
 def q_write_report(f: Fleet):
     path = scratch_path(f.spark, "reports")
     sinks.write_report(report.report_markdown(f.critique()), path)
-    texts = f.spark.read.text(path, wholetext=True)
-    return texts.select(
-        F.col("clip_id").cast("bigint").alias("clip_id"),
-        F.regexp_replace("value", "\\n$", "").alias("report"))
+    return f.spark.read.parquet(path)
 
 
 # --- detection and shake -------------------------------------------------------------
@@ -395,18 +393,33 @@ def q_analyze_detections(f: Fleet):
     return summary.withColumn("detection_rate", rounded("detection_rate"))
 
 
+def stream_columns(out: DataFrame):
+    totals = ("total_shake_x", "total_shake_y", "barbell_x_stable", "barbell_y_stable")
+    return out.where("not cast(late as boolean)").select(
+        *KEY, "det_id", "cx", "cy", *[rounded(c) for c in totals], "late_frames")
+
+
 def q_track_endcap_stream(f: Fleet):
     """The stream in two deliveries, the later frames of every clip after the earlier."""
     path = scratch_path(f.spark, "stream")
-    rows = write_scratch(frame_stream(f.frames, f.candidates()))
+    rows = write_scratch(frame_stream(f.frames, f.candidates(), f.span))
     middle = rows.agg(F.expr("percentile_approx(frame, 0.5)")).first()[0]
     for delivery in (F.col("frame") <= middle, F.col("frame") > middle):
         rows.where(delivery).write.mode("append").parquet(f"{path}/in")
         stream = f.spark.readStream.schema(rows.schema).parquet(f"{path}/in")
         run_available(stream, f"{path}/out", f"{path}/checkpoint")
-    totals = ("total_shake_x", "total_shake_y", "barbell_x_stable", "barbell_y_stable")
-    return f.spark.read.parquet(f"{path}/out").select(
-        *KEY, "det_id", "cx", "cy", *[rounded(c) for c in totals], "late_frames")
+    return stream_columns(f.spark.read.parquet(f"{path}/out"))
+
+
+def q_track_endcap_stream_bounded(f: Fleet):
+    """The stream one file at a time, with the frames of every clip dealt over all files."""
+    path = scratch_path(f.spark, "stream")
+    rows = frame_stream(f.frames, f.candidates(), f.span)
+    rows.repartition(4, F.hash("clip_id", "frame")).write.parquet(f"{path}/in")
+    stream = f.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(
+        f"{path}/in")
+    run_available(stream, f"{path}/out", f"{path}/checkpoint")
+    return stream_columns(f.spark.read.parquet(f"{path}/out"))
 
 
 _QUERIES = {
@@ -485,21 +498,36 @@ _QUERIES = {
     "analyze_detections": q_analyze_detections,
     "validate_tracks": lambda f: clip_problems(f.tables.clips, f.frames),
     "track_endcap_stream": q_track_endcap_stream,
+    "track_endcap_stream_bounded": q_track_endcap_stream_bounded,
 }
 
 
+#: Queries that are also run with their clips cut into blocks, as very long clips are.
+_BLOCKED = ("final_projection", "track_endcap", "faults", "overlay", "chart_series",
+            "bar_path_segments", "frame_state", "analyze_detections")
+BLOCKED_ROWS = 20
+
+
 def optional_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query over the tables in ``sf_dir``."""
-    return {
+    whole = {
         name: (lambda spark, sf_dir, build=build: build(Fleet(spark, sf_dir)))
         for name, build in _QUERIES.items()
-    } | optional_queries()
+    }
+    blocked = {
+        f"{name}_in_blocks": (lambda spark, sf_dir, build=_QUERIES[name]: build(
+            Fleet(spark, sf_dir, BLOCKED_ROWS)))
+        for name in _BLOCKED
+    }
+    return whole | blocked | optional_queries()
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results in SQL over the driver's tables."""
-    return oracle.all_sql() | (llm.oracle_sql() if llm else {})
+    twins = oracle.all_sql()
+    blocked = {f"{name}_in_blocks": twins[name] for name in _BLOCKED}
+    return twins | blocked | (llm.oracle_sql() if llm else {})

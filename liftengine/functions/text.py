@@ -9,8 +9,31 @@ from liftengine.schema import LANDMARKS
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Number with ``digits`` decimals; halves go to the even digit."""
-    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+    """Number with ``digits`` decimals, rounded from its exact binary value; ties go to even.
+
+    The part behind the point times 10^digits is a product of a double and a small whole
+    number.  Splitting the double in two halves gives the product's rounding error, and
+    with it which side of a tie the exact product lies on.
+    """
+    scale = float(10 ** digits)
+    size = F.abs(value)
+    whole = F.floor(F.least(size, F.lit(2.0 ** 62)))
+
+    def split(part):
+        high = part * 134217729.0 - (part * 134217729.0 - part)
+        product = part * scale
+        error = (high * scale - product) + (part - high) * scale
+        low = F.floor(product)
+        over = product - low
+        return low + F.when((over > 0.5) | ((over == 0.5) & (
+            (error > 0) | ((error == 0) & ((low + whole * int(scale)) % 2 == 1)))), 1).otherwise(0)
+
+    count = F.transform(F.array(size - whole), split)[0]
+    carried = F.when(count >= scale, whole + 1).otherwise(whole)
+    sign = F.when(F.signum(value).cast("string").startswith("-"), "-").otherwise("")
+    text = F.concat(sign, carried.cast("string"), F.lit("."), F.lpad(
+        (count % int(scale)).cast("bigint").cast("string"), digits, "0"))
+    return F.when(size < 2.0 ** 62, text).otherwise(F.format_string(f"%.{digits}f", value))
 
 
 def landmarks_to_text(landmarks: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from liftengine import schema
 
-# the clip number in the path of an exported CSV
+# the clip number in the path of a CSV that has no clip_id column
 CLIP_IN_PATH = r"clip_id=(\d+)"
 
 
@@ -20,13 +20,21 @@ def read_analysis(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.ANALYSIS).parquet(path)
 
 
-def export_analysis_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV files with a header in a folder per clip; missing values are empty."""
-    (
-        df.sortWithinPartitions("clip_id", "frame").write.mode(mode)
-        .partitionBy("clip_id").option("header", True).option("emptyValue", "")
-        .csv(path)
-    )
+def export_analysis_csv(
+    df: DataFrame, path: str, mode: str = "errorifexists", clip_folders: bool = False,
+) -> None:
+    """CSV files with a header; missing values are empty.
+
+    Files hold many clips each, with ``clip_id`` as their second column, so their number
+    follows the data and not the clips.  ``clip_folders`` makes a folder per clip instead;
+    choose the clips first.
+    """
+    rows = df.select("frame", *[c for c in df.columns if c != "frame"])
+    writer = rows.sortWithinPartitions("clip_id", "frame").write.mode(mode)
+    if clip_folders:
+        writer = rows.repartition("clip_id").sortWithinPartitions(
+            "clip_id", "frame").write.mode(mode).partitionBy("clip_id")
+    writer.option("header", True).option("emptyValue", "").csv(path)
 
 
 def import_analysis_csv(
@@ -34,35 +42,57 @@ def import_analysis_csv(
 ) -> DataFrame:
     """Analysis CSVs in bulk, columns found by name in each file's own header.
 
-    The order of the columns may differ from file to file, so lines are split into
-    fields and paired with the header of their file.  The clip number is taken from the
-    path, or hashed from it where the pattern does not match.
+    The order and number of the columns may differ from file to file, so lines are split
+    into fields and paired with the header of their file.  Files without a header line are
+    read in the order of the contract.  The clip number is the column ``clip_id`` where
+    there is one, else it is taken from the path, or hashed from it where the pattern does
+    not match.  The driver holds the different headers, not the files.
     """
     lines = spark.read.option("pathGlobFilter", file_glob).option(
         "recursiveFileLookup", True).text(path).select(
-            F.col("_metadata.file_path").alias("file"), "value")
-    slots = [f"c{i}" for i in range(len(schema.ANALYSIS_TYPES) + 1)]
-    fields = F.from_csv("value", ", ".join(f"{s} string" for s in slots), {"escape": '"'})
-    cells = lines.where("value <> ''").select("file", fields.alias("f")).select(
-        "file", F.array(*[F.col(f"f.{s}") for s in slots]).alias("cells"))
+            F.col("_metadata.file_path").alias("file"), "value").where("value <> ''")
     # 'frame' is the index and comes first in every header
-    is_header = F.col("cells")[0] == "frame"
-    headers = cells.where(is_header).select("file", F.col("cells").alias("names")).distinct()
-    rows = cells.where(~is_header).join(headers, "file").select(
-        "file", F.map_from_entries(F.filter(
-            F.arrays_zip("names", "cells"), lambda e: e["names"].isNotNull())).alias("m"))
+    is_header = F.col("value").rlike('^"?frame"?(,|$)')
+    headers = lines.where(is_header).select("file", "value").distinct()
+    layouts = [row[0] for row in headers.select("value").distinct().sort("value").collect()]
+    own_order = ",".join(["frame", *schema.ANALYSIS_TYPES])
+    width = 1 + max(layout.count(",") for layout in [*layouts, own_order])
+    slots = ", ".join(f"c{i} string" for i in range(width))
+
+    def split(text):
+        fields = F.from_csv(text, slots, {"escape": '"', "maxColumns": str(width + 1)})
+        return F.transform(F.array(fields), lambda f: F.array(*[f[f"c{i}"] for i in range(width)]))[0]
+
+    rows = lines.where(~is_header)
+    bare = rows.select("file").distinct().join(headers, "file", "left_anti")
+    if len(layouts) == 1 and bare.isEmpty():
+        named = rows.withColumn("header", F.lit(layouts[0]))
+    else:
+        named = rows.join(headers.withColumnRenamed("value", "header"), "file", "left")
+    paired = named.select("file", F.map_from_entries(F.filter(
+        F.arrays_zip(split(F.coalesce("header", F.lit(own_order))).alias("names"),
+                     split(F.col("value")).alias("cells")),
+        lambda e: e["names"].isNotNull())).alias("m"))
     number = F.regexp_extract("file", clip_pattern, 1)
-    clip_id = F.when(number != "", number.cast("bigint")).otherwise(F.xxhash64("file"))
+    clip_id = F.coalesce(
+        F.col("m")["clip_id"].try_cast("bigint"),
+        F.when(number != "", number.try_cast("bigint")).otherwise(F.xxhash64("file")))
     texts = {"landmarks_str": "{}", "barbell_box_str": ""}
     typed = [
         F.coalesce(F.col("m")[name], F.lit(texts[name])).alias(name) if name in texts
         else F.col("m")[name].try_cast(kind).alias(name)
         for name, kind in schema.ANALYSIS_TYPES.items()
     ]
-    return rows.select(
+    return paired.select(
         clip_id.alias("clip_id"), F.col("m")["frame"].try_cast("bigint").alias("frame"), *typed)
 
 
 def write_report(reports: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One markdown text per clip, in a folder per clip."""
-    reports.select("clip_id", "report").write.mode(mode).partitionBy("clip_id").text(path)
+    """One table of markdown texts, a row per clip."""
+    reports.select("clip_id", "report").write.mode(mode).parquet(path)
+
+
+def export_reports(reports: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A markdown text in a folder per clip, for clips that were chosen before."""
+    reports.select("clip_id", "report").repartition("clip_id").write.mode(mode).partitionBy(
+        "clip_id").text(path)

@@ -1,94 +1,127 @@
-"""Following the bar on a stream of detections.
+"""Following the bar on a stream of frames with their detections.
 
-State per clip: the centre chosen last, the camera shake added up, and the last frame.
-Frames must arrive in order; one at or below the last frame is late and only counted.
+Each row is one frame with all its candidates and ``seq``, its position in the clip counted
+from 0 without gaps.  State per clip: the centre chosen last, the camera shake added up, the
+next position, and frames that came before their turn.  So the order and the bounds in which
+a source delivers frames make no difference.  A frame that comes again, or after its clip
+has gone on without it, is late and goes to the table of late frames.
 """
 
 from __future__ import annotations
 
+import json
+import sys
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from liftengine.plans.span import join_frames
+from liftengine.plans.span import RunningSum, Whole, join_frames
 
-STATE = ("sx bigint, sy bigint, shake_x double, shake_y double, last_frame bigint, "
-         "late_frames bigint")
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not install this
+
+# frames of a clip that wait for a missing one before the clip goes on without it
+PATIENCE = 10_000
+STATE = ("sx bigint, sy bigint, shake_x double, shake_y double, next_seq bigint, "
+         "late_frames bigint, waiting string")
 OUTPUT = {
     "clip_id": "int64", "frame": "int64", "det_id": "Int64", "cx": "Int64", "cy": "Int64",
     "total_shake_x": "float64", "total_shake_y": "float64", "barbell_x_stable": "float64",
-    "barbell_y_stable": "float64", "late_frames": "int64",
+    "barbell_y_stable": "float64", "late_frames": "int64", "late": "bool",
 }
-OUTPUT_DDL = ", ".join(
-    f"{name} {'double' if kind == 'float64' else 'bigint'}" for name, kind in OUTPUT.items())
-COLUMNS = ("clip_id", "frame", "shake_dx", "shake_dy", "det_id", "first_key", "cx", "cy")
-
+KINDS = {"float64": "double", "bool": "boolean"}
+OUTPUT_DDL = ", ".join(f"{name} {KINDS.get(kind, 'bigint')}" for name, kind in OUTPUT.items())
+OPTIONS = ("det_ids", "first_keys", "cxs", "cys")
+COLUMNS = ("clip_id", "frame", "seq", "shake_dx", "shake_dy", *OPTIONS)
+
+
+def frame_stream(frames: DataFrame, cands: DataFrame, span=Whole()) -> DataFrame:
+    """Batch rows in the stream's layout: one row per frame, its candidates as four arrays."""
+    placed = span.derive(frames.select("clip_id", "frame", "shake_dx", "shake_dy"),
+                         _nth=RunningSum(F.lit(1)))
+    options = cands.groupBy("clip_id", "frame").agg(
+        F.sort_array(F.collect_list(F.struct("det_id", "first_key", "cx", "cy"))).alias("o"))
+    return join_frames(placed, options).select(
+        "clip_id", "frame", (F.col("_nth") - 1).cast("bigint").alias("seq"), "shake_dx", "shake_dy",
+        *[F.coalesce(F.col("o")[name], F.array().cast(f"array<{kind}>")).alias(alias)
+          for name, kind, alias in zip(("det_id", "first_key", "cx", "cy"),
+                                       ("bigint", "double", "bigint", "bigint"), OPTIONS)])
+
+
+def _nearest(frame, sx, sy):
+    """The candidate to take, given the centre chosen last (or none); None without any."""
+    def key(option):
+        det_id, first_key, cx, cy = option
+        return (first_key if sx is None else (cx - sx) ** 2 + (cy - sy) ** 2), det_id
 
-def frame_stream(frames: DataFrame, cands: DataFrame) -> DataFrame:
-    """Batch rows in the stream's layout: a row per candidate, one without for other frames."""
-    return join_frames(
-        frames.select("clip_id", "frame", "shake_dx", "shake_dy"),
-        cands.select("clip_id", "frame", "det_id", "first_key", "cx", "cy"),
-    ).select(*COLUMNS)
+    return min(zip(*frame[4:]), key=key, default=None)
 
 
-def _nearest(options, sx, sy):
-    """The candidate row to take, given the centre chosen last (or none)."""
-    def key(row):
-        _, _, _, det_id, first_key, cx, cy = row
-        return (first_key if sx is None else (cx - sx) ** 2 + (cy - sy) ** 2), det_id
-
-    return min(options, key=key)
+def _frames(batches: Iterator[pd.DataFrame]):
+    """(seq, [frame, seq, shake_dx, shake_dy, four lists]) of each row."""
+    for batch in batches:
+        plain = [batch[c].tolist() for c in ("frame", "seq", "shake_dx", "shake_dy")]
+        lists = [[x.tolist() for x in batch[c]] for c in OPTIONS]
+        for row in zip(*plain, *lists):
+            yield row[1], list(row)
 
 
 def follow(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState,
 ) -> Iterator[pd.DataFrame]:
-    """Rows of one clip in one micro-batch, continued from the state."""
-    table = pd.concat(list(batches), ignore_index=True)[list(COLUMNS[1:])]
-    rows = sorted(table.itertuples(index=False, name=None), key=itemgetter(0))
-    sx, sy, shake_x, shake_y, last_frame, late = (
-        state.get if state.exists else (None, None, 0.0, 0.0, None, 0))
+    """Frames of one clip in one micro-batch, continued from the state."""
+    sx, sy, shake_x, shake_y, turn, late, waiting = (
+        state.get if state.exists else (None, None, 0.0, 0.0, 0, 0, "[]"))
+    held = {frame[1]: frame for frame in json.loads(waiting)}
     out = []
-    for frame, group in groupby(rows, key=itemgetter(0)):
-        group = list(group)
-        if last_frame is not None and frame <= last_frame:
+    none = (pd.NA, pd.NA, pd.NA)
+
+    def stable(seen):
+        return (np.nan, np.nan) if seen is none else (sx - shake_x, sy - shake_y)
+
+    for seq, frame in _frames(batches):
+        if seq < turn or seq in held:
             late += 1
+            out.append((key[0], frame[0], *none, shake_x, shake_y, np.nan, np.nan, late, True))
             continue
-        last_frame = int(frame)
-        shake_x += float(np.nan_to_num(group[0][1]))
-        shake_y += float(np.nan_to_num(group[0][2]))
-        options = [row for row in group if not pd.isna(row[3])]
-        if options:
-            chosen = _nearest(options, sx, sy)
-            sx, sy = int(chosen[5]), int(chosen[6])
-            seen = (int(chosen[3]), sx, sy)
-        else:
-            seen = (pd.NA, pd.NA, pd.NA)
-        stable = (sx - shake_x, sy - shake_y) if options else (np.nan, np.nan)
-        out.append((key[0], last_frame, *seen, shake_x, shake_y, *stable, late))
-    state.update((sx, sy, shake_x, shake_y, last_frame, late))
+        held[seq] = frame
+        if len(held) > PATIENCE and turn not in held:
+            turn = min(held)
+        while turn in held:
+            frame = held.pop(turn)
+            turn += 1
+            shake_x += float(np.nan_to_num(frame[2]))
+            shake_y += float(np.nan_to_num(frame[3]))
+            chosen, seen = _nearest(frame, sx, sy), none
+            if chosen:
+                sx, sy = int(chosen[2]), int(chosen[3])
+                seen = (int(chosen[0]), sx, sy)
+            out.append((key[0], frame[0], *seen, shake_x, shake_y, *stable(seen), late, False))
+    state.update((sx, sy, shake_x, shake_y, turn, late, json.dumps(list(held.values()))))
     yield pd.DataFrame(out, columns=list(OUTPUT)).astype(OUTPUT)
 
 
 def track_endcap_stream(rows: DataFrame) -> DataFrame:
     """Chosen bar and running shake for a stream in the layout of `frame_stream`.
 
-    A micro-batch holds a clip's rows since the last one; bound it at the source
-    (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
+    Bound a micro-batch at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
+    Rows with ``late`` set hold a late frame's number and nothing else of note.
     """
     return rows.select(*COLUMNS).groupBy("clip_id").applyInPandasWithState(
         follow, OUTPUT_DDL, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(rows: DataFrame, path: str, checkpoint: str) -> None:
-    """Work off everything the source holds now and append it to Parquet files."""
+    """Work off everything the source holds now; late frames go to ``late=true`` below ``path``."""
+    tracked = track_endcap_stream(rows)
+    # a partitioned sink needs rows in Spark's own form, which a projection makes of them
+    split = tracked.withColumn("late", F.coalesce("late", F.lit(False)))
     query = (
-        track_endcap_stream(rows).writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path))
+        split.writeStream.format("parquet").outputMode("append")
+        .partitionBy("late").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start(path))
     query.awaitTermination()

@@ -36,7 +36,7 @@ def sql(statement: str) -> str:
     visit(statement)
     if not needed:
         return statement
-    tables = ",\n".join(f"{name} AS (\n{PARTS[name]}\n)" for name in needed)
+    tables = ",\n".join(f"{name} AS MATERIALIZED (\n{PARTS[name]}\n)" for name in needed)
     return f"WITH RECURSIVE {tables}\n{statement.strip()}"
 
 
@@ -761,6 +761,7 @@ STATEMENTS = {
           {r("w.cy - f.total_shake_y")} AS barbell_y_stable, CAST(0 AS BIGINT) AS late_frames
         FROM shaken f LEFT JOIN walk w ON f.clip_id = w.clip_id AND f.frame = w.frame""",
 }
+STATEMENTS["track_endcap_stream_bounded"] = STATEMENTS["track_endcap_stream"]
 
 
 def all_sql() -> dict[str, str]:

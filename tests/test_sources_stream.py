@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from liftengine import schema
+from liftengine.functions.text import fixed
 from liftengine.operators import detection
 from liftengine.plans import fleet
 from liftengine.plans.span import Blocks
-from liftengine.sources import events, sinks
+from fixtures import events
+from liftengine.sources import sinks
 from liftengine.sources.scratch import scratch_path, scratch_root, write_scratch
 from liftengine.sources.tracks import (
     Tracks, clip_defaults, nan_to_null, read_tracks, validate_tracks, with_clip_metadata,
@@ -106,14 +108,64 @@ def test_csv_columns_are_found_by_name(spark):
             (clip, 4, None, None, None, None, "", "{}"))]
 
 
-def test_report_files(spark):
+def test_csv_with_more_columns_and_without_a_header(spark):
+    """No column is lost to its place, and a file without a header is read by the contract."""
+    path = scratch_path(spark, "csv")
+    names = list(schema.ANALYSIS_TYPES)
+    more = ["note", *[f"extra_{i}" for i in range(40)], *names]
+    box = '"1.00,2.00,3.00,4.00"'
+    lines = [(1, ",".join(["frame", *more])),
+             (1, ",".join(["3", *[box if n == "barbell_box_str" else "" for n in more]])),
+             (2, ",".join(["5", *["640" if n == "frame_width" else "" for n in names]]))]
+    spark.createDataFrame(lines, "clip_id int, value string").coalesce(1).sortWithinPartitions(
+        "clip_id").write.partitionBy("clip_id").text(f"{path}/raw")
+    got = sinks.import_analysis_csv(spark, f"{path}/raw", file_glob="*.txt")
+    assert rows_of(got.select("clip_id", "frame", "frame_width", "barbell_box_str")) == [
+        (1, 3, None, "1.00,2.00,3.00,4.00"), (2, 5, 640, "")]
+
+
+def test_exported_files_do_not_follow_the_clips(spark, tracks):
+    table = write_scratch(fleet.analysis(
+        tracks.frames, clip_defaults(tracks.clips), tracks.landmarks).coalesce(2))
+    path = scratch_path(spark, "csv")
+    sinks.export_analysis_csv(table.coalesce(2), path)
+    files = spark.read.text(path).select("_metadata.file_path").distinct().count()
+    assert files <= 2 < table.select("clip_id").distinct().count()
+
+
+def test_reports(spark):
     path = scratch_path(spark, "reports")
     reports = spark.createDataFrame([(1, "# A\n\ntext"), (2, "# B")], "clip_id bigint, report string")
-    sinks.write_report(reports, path)
-    texts = spark.read.text(path, wholetext=True)
+    sinks.write_report(reports, f"{path}/table")
+    assert rows_of(spark.read.parquet(f"{path}/table")) == [(1, "# A\n\ntext"), (2, "# B")]
+    sinks.export_reports(reports, f"{path}/files")
+    texts = spark.read.text(f"{path}/files", wholetext=True)
     assert rows_of(texts.select("clip_id", "value")) == [(1, "# A\n\ntext\n"), (2, "# B\n")]
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(Cluster())
+
+
+@pytest.mark.parametrize("digits", [1, 2])
+def test_text_numbers_are_rounded_from_their_exact_value(spark, digits):
+    values = [i * 0.005 for i in range(-400, 400)] + [i / 120 for i in range(600)] + [
+        i / 240 for i in range(600)] + [2.675, 8.345, -0.001, 0.0, -0.0, 999.995, 1e15 + 0.5,
+                                        123456789.125, 4503599627370497.5, 1e18]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(
+        "v", fixed(F.col("v"), digits)).collect()
+    assert [(v, t) for v, t in got if t != f"{v:.{digits}f}"] == []
+
+
 def test_scratch_is_the_checkpoint_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir", None)
     root = scratch_root(spark)
@@ -177,12 +229,22 @@ def test_summary_counts_clips_without_rows(spark):
         (1, 1, "done"), (2, 0, "no_frames")]
 
 
-def test_stream_equals_batch_and_counts_late_frames(spark, tracks):
+@pytest.fixture(scope="module")
+def cands(tracks):
     clips = clip_defaults(tracks.clips)
     wanted = detection.clamp_boxes(
         detection.filter_detections(tracks.detections, names=events.CLASS_NAMES), clips)
-    cands = write_scratch(detection.candidates(
+    return write_scratch(detection.candidates(
         wanted, detection.feet_position(tracks.landmarks, clips)))
+
+
+def check_stream(tracks, cands, out):
+    seen = out.where("det_id IS NOT NULL").select(*KEYS, "det_id", "cx", "cy")
+    same(detection.track_endcap(cands).select(*seen.columns), seen, KEYS)
+    assert rows_of(out.where("not cast(late as boolean)").select(*KEYS)) == rows_of(tracks.frames.select(*KEYS))
+
+
+def test_stream_equals_batch_and_counts_late_frames(spark, tracks, cands):
     rows = write_scratch(frame_stream(tracks.frames, cands))
     path = scratch_path(spark, "stream")
     # the third delivery repeats frames that are over
@@ -191,10 +253,17 @@ def test_stream_equals_batch_and_counts_late_frames(spark, tracks):
         run_available(spark.readStream.schema(rows.schema).parquet(f"{path}/in"),
                       f"{path}/out", f"{path}/checkpoint")
     out = spark.read.parquet(f"{path}/out")
-    seen = out.where("det_id IS NOT NULL").select(*KEYS, "det_id", "cx", "cy")
-    same(detection.track_endcap(cands).select(*seen.columns), seen, KEYS)
-    assert out.count() == tracks.frames.count()
-    late = out.groupBy("clip_id").agg(F.max("late_frames").alias("n"))
-    repeated = tracks.frames.where("frame BETWEEN 38 AND 40").groupBy("clip_id").count()
-    after = out.where("frame > 40").select("clip_id").distinct()
-    assert rows_of(late.join(after, "clip_id")) == rows_of(repeated.join(after, "clip_id"))
+    check_stream(tracks, cands, out)
+    repeated = tracks.frames.where("frame BETWEEN 38 AND 40").select(*KEYS)
+    assert rows_of(out.where("cast(late as boolean)").select(*KEYS)) == rows_of(repeated)
+
+
+def test_bounded_stream_loses_no_frame(spark, tracks, cands):
+    """One file at a time, and every clip's frames dealt over all files in any order."""
+    rows = frame_stream(tracks.frames, cands)
+    path = scratch_path(spark, "stream")
+    rows.repartition(6, F.hash(*KEYS)).sortWithinPartitions(F.desc("frame")).write.parquet(
+        f"{path}/in")
+    run_available(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(
+        f"{path}/in"), f"{path}/out", f"{path}/checkpoint")
+    check_stream(tracks, cands, spark.read.parquet(f"{path}/out"))

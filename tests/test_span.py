@@ -12,7 +12,7 @@ from liftengine.plans.span import (
     BLOCK, Blocks, LastKnown, Nearby, NextKnown, Previous, RunningSum, Total, Whole,
     longest_group, measure, span_for,
 )
-from liftengine.sources import events
+from fixtures import events
 from liftengine.sources.scratch import write_scratch
 from liftengine.sources.tracks import clip_defaults, with_clip_metadata
 from tests.helpers import same
