@@ -6,13 +6,14 @@
    These sums are formed per task before anything is exchanged, so a host with very many
    pages is no single task's work.
 2. Classes.  Tokens of a host that occur on at least half of its pages and have equal vectors
-   are an equivalence class.  A class is valid if it has two tokens or more and each of them
-   lies within an element of a valid class (or of the page itself), so that classes nest.
+   are an equivalence class.  A class is valid if it has two tokens or more (an element has
+   two, its start and its end) and each of them lies within an element of a valid class, or
+   of the page itself, so that classes nest.
    Valid classes are the template.  What reaches this step per host is bounded by the size
    of two pages, whatever the number of pages.
 3. Slots.  The blocks of a page that are no template text fill the template's slots.  The main
    slot of a host is its article or main element, where the template has one, else the
-   innermost element with most text outside links over all pages.  Menus, forms, notices,
+   innermost element that has most of the text outside links over all pages.  Menus, forms, notices,
    adverts and the like are left out by their element, role, class or id.
 
 Text that is the same on all of at least ``TEXT_PAGES`` pages of a host counts as template,
@@ -42,6 +43,8 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TEXT_PAGES = 10
+#: The main slot has at least this share of a host's text outside links and what is left out.
+MOST = 0.6
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|svg|template)\b[^>]*+>.*?"
     r"(?:</\1\s*>|\Z)|<([/!?]?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>"
@@ -64,6 +67,8 @@ WORDS = set("""ad ads adv advert advertisement adverts banner breadcrumb breadcr
     notice notices pagination popup promo promoted recommended related share sharing sidebar signup
     social sponsor sponsored subscribe toolbar widget""".split())
 MAIN = ("article", "main")
+#: Elements nested deeper count as part of the one at this depth (their text stays theirs).
+DEPTH = 64
 
 
 def _hash(text: str) -> int:
@@ -113,7 +118,8 @@ def read_page(page: str) -> tuple[list[str], list[Block]]:
         close(ENDS.get(name, ()), until=("ul", "ol", "dl", "table"))
         close(("p",), until=("button", "td", "th", "table"))
         label = ".".join([name, *sorted(w for w in found.get("class", "").split())])
-        path = f"{stack[-1][1] if stack else ''}/{label}"
+        around = stack[-1][1] if stack else ""
+        path = f"{around}/{label}" if len(stack) < DEPTH else around
         elements.append(path)
         if name not in VOID:
             stack.append((name, path, noise))
@@ -159,10 +165,18 @@ def _counts(page: str):
         counts[token] += 1
         parents.setdefault(token, (_hash(block.path), 0, False))
         if not block.noise:
-            text_of[_hash(block.path)] += len(block.text) - block.linked
+            for path in _around(block.path):
+                text_of[_hash(path)] += len(block.text) - block.linked
     return counts, parents, text_of
 
 
+def _around(path: str):
+    """A path and those of all elements around it."""
+    while path:
+        yield path
+        path = path.rpartition("/")[0]
+
+
 def _is_main(path: str) -> bool:
     return path.rpartition("/")[2].partition(".")[0] in MAIN
 
@@ -209,8 +223,9 @@ def _deduce(found: pd.DataFrame) -> pd.DataFrame:
     """The template of a host from its tokens on at least half of the pages."""
     host, total = found["host"].iloc[0], int(found["total"].iloc[0])
     found = found[found["token"] != PAGE]
-    size = found.groupby(["v1", "v2"])["token"].transform("size")
-    found = found[(size >= 2) | (total == 1)]
+    # an element is two tokens, its start and its end
+    size = (found["element"] + 1).groupby([found["v1"], found["v2"]]).transform("sum")
+    found = found[size >= 2]
     inside = {_hash("")}
     rows = {int(r.token): r for r in found.itertuples()}
     pending = True
@@ -222,9 +237,11 @@ def _deduce(found: pd.DataFrame) -> pd.DataFrame:
     every = [r for r in valid if r.pages == total and r.low == r.high == 1]
     mains = [r.token for r in valid if r.main]
     if not mains:
-        best = max((r for r in valid if r.element and r.chars), key=lambda r: (r.chars, r.token),
-                   default=None)
-        mains = [best.token] if best else []
+        # text is counted for all elements around it: the innermost that still has most
+        fit = [r for r in every if r.element and r.chars > 0]
+        most = max((r.chars for r in fit), default=0)
+        fit = [r for r in fit if r.chars >= MOST * most]
+        mains = [min(fit, key=lambda r: (r.chars, r.token)).token] if fit else []
     texts = [r.token for r in every if not r.element] if total >= TEXT_PAGES else []
     return pd.DataFrame({
         "host": [host],
@@ -237,14 +254,9 @@ def main_text(page: str, elements=(), texts=(), mains=()) -> str:
     blocks = [b for b in read_page(page)[1] if not b.noise]
     fixed, wanted = set(texts), set(mains)
 
-    def ancestors(path):
-        while path:
-            yield path
-            path = path.rpartition("/")[0]
-
-    chosen = [b for b in blocks if any(_hash(p) in wanted for p in ancestors(b.path))]
+    chosen = [b for b in blocks if any(_hash(p) in wanted for p in _around(b.path))]
     if not chosen:
-        chosen = [b for b in blocks if any(_is_main(p) for p in ancestors(b.path))]
+        chosen = [b for b in blocks if any(_is_main(p) for p in _around(b.path))]
     if not chosen and blocks:  # neither a known slot nor an article: the fullest element
         fullest = Counter()
         for b in blocks:
