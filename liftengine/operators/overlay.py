@@ -9,7 +9,9 @@ one wants to draw.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftengine.functions.geometry import body_part, to_pixels, truncate
@@ -20,6 +22,10 @@ from liftengine.schema import LANDMARKS, SKELETON_EDGES
 from liftengine.sources.tracks import clip_defaults
 
 
+# frames of one clip for which the trail may be written out
+TRAIL_FRAMES = 64
+
+
 def render_plan(analysis: DataFrame, clips: DataFrame, span=Whole()) -> DataFrame:
     """The frames to draw: up to a second after the last analysed one, or the clip's end."""
     on_path = F.col("barbell_x_stable").isNotNull() & F.col("barbell_y_stable").isNotNull()
@@ -92,20 +98,31 @@ def last_states(states: DataFrame) -> DataFrame:
 
 
 def trail_on_frames(trail: DataFrame, states: DataFrame, span=Whole()) -> DataFrame:
-    """The trail in whole pixels on chosen frames: a few rows of `frame_state` per clip."""
+    """The trail in whole pixels on chosen frames: a few rows of `frame_state` per clip.
+
+    Each chosen frame repeats the trail before it, so all frames of a clip would be all
+    pairs of its rows; more than ``TRAIL_FRAMES`` of a clip are an error.
+    """
+    chosen = F.count(F.lit(1)).over(Window.partitionBy("clip_id"))
     shown = states.select(
-        "clip_id", F.col("frame").alias("on_frame"), "shake_x", "shake_y", "path_points")
+        "clip_id", F.col("frame").alias("on_frame"), "shake_x", "shake_y",
+        F.when(chosen > TRAIL_FRAMES, F.raise_error(F.lit(
+            f"choose at most {TRAIL_FRAMES} frames of a clip"))).otherwise(F.col("path_points"))
+        .alias("path_points"))
     moved = span.attach(trail, shown).where("segment < path_points")
     return moved.select(
         "clip_id", F.col("on_frame").alias("frame"), "segment", "color",
         *[truncate(F.col(c) + F.col(f"shake_{c[0]}")).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
+def _box() -> Column:
+    """The barbell box, from its text."""
+    return text_to_box(F.col("barbell_box_str"))
+
+
 def box_primitives(analysis: DataFrame) -> DataFrame:
     """The barbell box of each analysed frame that has one."""
-    return analysis.select(
-        "clip_id", "frame", text_to_box(F.col("barbell_box_str")).alias("b"),
-    ).where("b IS NOT NULL").select(
+    return analysis.select("clip_id", "frame", _box().alias("b")).where("b IS NOT NULL").select(
         "clip_id", "frame", F.lit("Barbell Box").alias("color"), "b.x1", "b.y1", "b.x2", "b.y2")
 
 
@@ -115,14 +132,17 @@ def _pixel(name):
     return truncate(x), truncate(y)
 
 
+def _edges() -> list[tuple]:
+    """(color, x1, y1, x2, y2) of the twelve candidates within a row."""
+    return [(F.lit(body_part(a, b)), *_pixel(a), *_pixel(b)) for a, b in SKELETON_EDGES]
+
+
 def skeleton_edges(analysis: DataFrame) -> DataFrame:
-    """Body edges with both ends in sight: twelve candidates within each row, no join."""
-    edges = []
-    for number, (a, b) in enumerate(SKELETON_EDGES):
-        (x1, y1), (x2, y2) = _pixel(a), _pixel(b)
-        edges.append(F.struct(
-            F.lit(number).cast("bigint").alias("edge"), F.lit(body_part(a, b)).alias("color"),
-            x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")))
+    """Body edges with both ends in sight: no join."""
+    edges = [
+        F.struct(F.lit(number).cast("bigint").alias("edge"), color.alias("color"),
+                 x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+        for number, (color, x1, y1, x2, y2) in enumerate(_edges())]
     return analysis.select("clip_id", "frame", F.inline(F.array(*edges))).where(
         "x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL")
 
@@ -137,51 +157,69 @@ def joint_points(analysis: DataFrame) -> DataFrame:
         "x1 IS NOT NULL AND y1 IS NOT NULL")
 
 
+def _captions() -> dict[str, Column]:
+    """The text lines of a drawn frame (fixed texts); NULL where the angle is unknown."""
+    return {
+        "angle": F.concat(F.lit("Lifter Angle: "), fixed(F.col("lifter_angle_deg"), 1),
+                          F.lit(" deg")),
+        "time": F.concat(F.lit("Time: "), fixed(F.col("time_s"), 2), F.lit("s")),
+        "frame": F.concat(F.lit("Frame: "), F.col("frame").cast("string")),
+    }
+
+
 def captions(states: DataFrame) -> DataFrame:
     """Text lines of each drawn frame; no angle line where the angle is unknown."""
-    lines = F.array(
-        F.struct(F.lit("angle").alias("caption"), F.concat(
-            F.lit("Lifter Angle: "), fixed(F.col("lifter_angle_deg"), 1), F.lit(" deg"),
-        ).alias("text"), F.col("lifter_angle_deg").isNotNull().alias("shown")),
-        F.struct(F.lit("time").alias("caption"), F.concat(
-            F.lit("Time: "), fixed(F.col("time_s"), 2), F.lit("s"),
-        ).alias("text"), F.lit(True).alias("shown")),
-        F.struct(F.lit("frame").alias("caption"), F.concat(
-            F.lit("Frame: "), F.col("frame").cast("string"),
-        ).alias("text"), F.lit(True).alias("shown")))
+    lines = F.array(*[
+        F.struct(F.lit(name).alias("caption"), text.alias("text"),
+                 (F.col("lifter_angle_deg").isNotNull() if name == "angle" else F.lit(True))
+                 .alias("shown"))
+        for name, text in _captions().items()])
     return states.select("clip_id", "frame", F.inline(lines)).where("shown").drop("shown")
 
 
+def _primitive(kind, color=None, x1=None, y1=None, x2=None, y2=None, text=None, shown=None):
+    """One primitive as a struct; NULL where it is not shown."""
+    fields = {"color": (color, "string"), "x1": (x1, "double"), "y1": (y1, "double"),
+              "x2": (x2, "double"), "y2": (y2, "double"), "text": (text, "string")}
+    made = F.struct(F.lit(kind).alias("kind"), *[
+        (F.lit(None) if value is None else value).cast(form).alias(name)
+        for name, (value, form) in fields.items()])
+    return made if shown is None else F.when(shown, made)
+
+
 def overlay(analysis: DataFrame, clips: DataFrame, span=Whole()) -> DataFrame:
     """All primitives as (clip, frame, kind, color, x1, y1, x2, y2, text).
 
     ``trail`` rows hold stabilised coordinates from the frame they appear on; the ``shift``
     row of a frame says by how much to move them and how many points it shows.
     """
-    states = frame_state(render_plan(analysis, clips, span), analysis, span)
-    shift = states.select(
-        "clip_id", "frame", F.lit("shift").alias("kind"),
-        F.col("shake_x").alias("x1"), F.col("shake_y").alias("y1"),
-        F.col("path_points").cast("string").alias("text"))
+    states = frame_state(render_plan(analysis, clips, span), analysis, span).select(
+        "*", F.lit(True).alias("_drawn"))
+    points = [f"{name}_{axis}" for name in LANDMARKS for axis in ("x", "y")]
+    rows = join_frames(states, analysis.select(
+        "clip_id", "frame", "frame_width", "frame_height", "barbell_box_str", *points), "full")
+    drawn, white = F.col("_drawn").isNotNull(), F.lit("White")
+
+    def seen(*values):
+        return functools.reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
+
+    box = F.col("_box")
     parts = [
-        shift,
-        path_trail(analysis, span).withColumn("kind", F.lit("trail")).drop("segment"),
-        box_primitives(analysis).withColumn("kind", F.lit("box")),
-        skeleton_edges(analysis).withColumn("kind", F.lit("edge")).drop("edge"),
-        joint_points(analysis).withColumn("kind", F.lit("joint"))
-        .withColumn("color", F.lit("White")).withColumnRenamed("landmark", "text"),
-        captions(states).withColumn("kind", F.lit("caption"))
-        .withColumn("color", F.lit("White")).drop("caption"),
-    ]
-    kinds = {"clip_id": "bigint", "frame": "bigint", "kind": "string", "color": "string",
-             "x1": "double", "y1": "double", "x2": "double", "y2": "double", "text": "string"}
-    shaped = [
-        part.select(*[
-            (F.col(c) if c in part.columns else F.lit(None)).cast(kind).alias(c)
-            for c, kind in kinds.items()])
-        for part in parts
+        _primitive("shift", x1=F.col("shake_x"), y1=F.col("shake_y"),
+                   text=F.col("path_points").cast("string"), shown=drawn),
+        _primitive("box", F.lit("Barbell Box"), box["x1"], box["y1"], box["x2"], box["y2"],
+                   shown=box.isNotNull()),
+        *[_primitive("edge", *edge, shown=seen(*edge[1:])) for edge in _edges()],
+        *[_primitive("joint", white, *_pixel(name), text=F.lit(name), shown=seen(*_pixel(name)))
+          for name in LANDMARKS],
+        *[_primitive("caption", white, text=text, shown=drawn & (
+            F.col("lifter_angle_deg").isNotNull() if name == "angle" else F.lit(True)))
+          for name, text in _captions().items()],
     ]
-    united = shaped[0]
-    for part in shaped[1:]:
-        united = united.unionByName(part)
-    return united
+    framed = rows.withColumn("_box", _box()).select(
+        "clip_id", "frame", F.inline(F.filter(F.array(*parts), lambda p: p.isNotNull())))
+    trail = path_trail(analysis, span).select(
+        "clip_id", "frame", F.lit("trail").alias("kind"), "color",
+        *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")],
+        F.lit(None).cast("string").alias("text"))
+    return framed.unionByName(trail)

@@ -62,7 +62,8 @@ def analyze(
     """Every table of the run, by name.
 
     The analysis table is written to the shared scratch folder once; charts, overlay and
-    critique start from those files.  ``lift_type`` overrides what the clips say.
+    critique start from those files, and the critique is written too.  So this call runs
+    jobs; the tables it returns are lazy.  ``lift_type`` overrides what the clips say.
     """
     if lift_type is not None and lift_type not in LIFT_TYPES:
         raise ValueError(f"lift_type must be one of {', '.join(LIFT_TYPES)}, not {lift_type!r}")
@@ -91,7 +92,8 @@ def analyze(
         out["overlay"] = overlay.overlay(table, clips, span)
     critiqued = None
     if critique:
-        critiqued = faults.critique(table, clips, span, ankle_units)
+        # one row per clip, from which four tables are made
+        critiqued = write_scratch(faults.critique(table, clips, span, ankle_units), "critique")
         out["critique"] = critiqued
         out["faults"] = faults.faults(critiqued)
         out["critique_status"] = faults.critique_status(critiqued)

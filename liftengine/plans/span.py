@@ -226,9 +226,8 @@ class Whole:
         return df.join(per_clip, self.key, "left")
 
     def spread(self, df: DataFrame, count: Column, name: str) -> DataFrame:
-        """One row per number 0 .. count-1 for each row of ``df``."""
-        return df.where(count > 0).withColumn(
-            name, F.explode(F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1)))
+        """One row per number 0 .. count-1 for each row of ``df``; lists stay short."""
+        return _spread(df, count, name, ROWS_PER_TASK)
 
 
 class _BlockWindow:
@@ -315,12 +314,17 @@ class Blocks:
 
     def spread(self, df: DataFrame, count: Column, name: str) -> DataFrame:
         """One row per number 0 .. count-1 for each row of ``df``, a block at a time."""
-        starts = df.where(count > 0).withColumn("_n", count.cast("bigint")).withColumn(
-            "_start", F.explode(F.sequence(
-                F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(self.size).cast("bigint"))))
-        spread = starts.repartition(self.key, "_start").withColumn(name, F.explode(F.sequence(
-            F.col("_start"), F.least(F.col("_start") + self.size, F.col("_n")) - 1)))
-        return spread.drop("_n", "_start")
+        return _spread(df, count, name, self.size, self.key)
+
+
+def _spread(df: DataFrame, count: Column, name: str, step: int, key: str | None = None):
+    """Numbers 0 .. count-1 in two steps, dealt out between them if there is a key."""
+    starts = df.where(count > 0).withColumn("_n", count.cast("bigint")).withColumn(
+        "_start", F.explode(F.sequence(
+            F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(step).cast("bigint"))))
+    dealt = starts.repartition(key, "_start") if key else starts
+    return dealt.withColumn(name, F.explode(F.sequence(
+        F.col("_start"), F.least(F.col("_start") + step, F.col("_n")) - 1))).drop("_n", "_start")
 
 
 def join_frames(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
