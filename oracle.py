@@ -7,12 +7,64 @@ statement needs in front of it.  The ``fx_`` parts are the views of FIXTURES.md.
 from __future__ import annotations
 
 import re
+from fractions import Fraction
 
-from liftengine.functions.smoothing import WIDTHS, cubic_weights
-from liftengine.operators.pose import JOINT_POINTS
-from liftengine.schema import (
-    ANALYSIS_TYPES, CHART_TITLES, FAULTS, LANDMARKS, PATH_CHART_TITLE, SKELETON_EDGES,
+from liftengine.schema import ANALYSIS_TYPES  # names and types of the contract, no values
+
+# fixed values, written out here so that a wrong one in the engine is noticed
+LANDMARKS = (
+    "left_shoulder", "right_shoulder", "left_hip", "right_hip", "left_knee", "right_knee",
+    "left_ankle", "right_ankle", "left_elbow", "right_elbow", "left_wrist", "right_wrist",
+)
+SKELETON_EDGES = (
+    ("left_shoulder", "right_shoulder"), ("left_shoulder", "left_hip"),
+    ("right_shoulder", "right_hip"), ("left_hip", "right_hip"),
+    ("left_shoulder", "left_elbow"), ("left_elbow", "left_wrist"),
+    ("right_shoulder", "right_elbow"), ("right_elbow", "right_wrist"),
+    ("left_hip", "left_knee"), ("left_knee", "left_ankle"),
+    ("right_hip", "right_knee"), ("right_knee", "right_ankle"),
 )
+JOINT_POINTS = {
+    "left_knee_angle": ("left_hip", "left_knee", "left_ankle"),
+    "right_knee_angle": ("right_hip", "right_knee", "right_ankle"),
+    "left_elbow_angle": ("left_shoulder", "left_elbow", "left_wrist"),
+    "right_elbow_angle": ("right_shoulder", "right_elbow", "right_wrist"),
+}
+FAULTS = {
+    "FP_SLOW": "First Pull: You are slowing down in the first pull",
+    "FP_KICK": "First Pull: The bar is being kicked out/pulled back too far",
+    "SP_HITCH": "Second Pull: You are hitching in the second pull",
+    "SP_JUMP": "Second Pull: You are jumping too soon",
+    "SP_ARMS": "Second Pull: You are bending your arms too early",
+    "TP_STUCK": "Third Pull: You are getting stuck in the transition",
+    "RC_TIRING": "Recovery: Your recovery is too tiring",
+}
+CHART_TITLES = {
+    "vel_y_smooth": "Smoothed Vertical Velocity (px/s)",
+    "accel_y_smooth": "Smoothed Vertical Acceleration (px/s^2)",
+    "specific_power_y_smooth": "Smoothed Vertical Specific Power",
+}
+PATH_CHART_TITLE = "Stabilized Bar Path"
+WIDTHS = (5, 7, 9, 11, 13, 15)
+
+
+def cubic_weights(width: int) -> list[list[float]]:
+    """Row r: the weights of a window's points in the cubic fitted to them, at place r.
+
+    Least squares by way of polynomials orthogonal on the places, in exact fractions.
+    """
+    places = [Fraction(i - width // 2) for i in range(width)]
+    basis: list[list[Fraction]] = []
+    for degree in range(4):
+        values = [x ** degree for x in places]
+        for b in basis:
+            share = sum(v * w for v, w in zip(values, b)) / sum(w * w for w in b)
+            values = [v - share * w for v, w in zip(values, b)]
+        basis.append(values)
+    norms = [sum(w * w for w in b) for b in basis]
+    return [[float(sum(b[r] * b[i] / n for b, n in zip(basis, norms))) for i in range(width)]
+            for r in range(width)]
+
 
 PARTS: dict[str, str] = {}
 
