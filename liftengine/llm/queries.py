@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from liftengine.llm import (
     fingerprints, jaccard, mixing, packing, pii, quality, sharding, suffixes, templates,
-    token_files,
+    token_files, twins,
 )
 from liftengine.llm.common import table
 from liftengine.sources.scratch import scratch_path
@@ -94,4 +94,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return twins.all_sql()

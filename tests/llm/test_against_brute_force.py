@@ -246,3 +246,10 @@ def test_quality_agrees_with_labels(spark, medium, result):
     bad = [k for q, k, f in verdicts if q == 0]
     assert sum(good) >= 0.99 * len(good)
     assert sum(bad) <= 0.1 * len(bad)
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_sql_twins(spark, medium, name):
+    from tests.compare import compare, duck
+
+    assert compare(spark, duck(medium), medium, Q.queries()[name], Q.oracle_sql()[name]) == ""
