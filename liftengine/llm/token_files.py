@@ -2,10 +2,12 @@
 
 Format, below one folder of a file system that driver and executors share:
 
-* ``part-NNNNNN.bin``  ids of the part's documents, little-endian unsigned 32-bit, no header
+* ``part-NNNNNN.bin``  ids of the part's documents, little-endian unsigned integers, no header;
+  16 bits each where all ids of the vocabulary fit, else 32
 * ``part-NNNNNN.idx``  n document ids, then n + 1 offsets, little-endian signed 64-bit;
   offsets count ids from the start of the whole corpus
-* ``manifest/``        Parquet: part, docs, tokens, base (ids in all parts before)
+* ``manifest/``        Parquet: part, docs, tokens, width (bytes per id), base (ids in all
+  parts before)
 
 Documents are dealt into parts by ranges of doc_id and sorted within, so parts in order hold
 ascending ids.  A part's base is the prefix sum of the counts of the parts before it, one
@@ -37,7 +39,7 @@ from liftengine.llm.tokens import encoder, slices
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NO_ID = -(1 << 63)
-PART = "part int, docs bigint, tokens bigint"
+PART = "part int, docs bigint, tokens bigint, width int"
 
 
 def _store(path: str):
@@ -80,6 +82,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int) -> DataF
         store.create_dir(folder, recursive=True)
         part = TaskContext.get().partitionId()
         own = encoder(vocabulary)
+        width = own.width(end)
         ids, sizes = [], []
 
         def chunks():
@@ -88,13 +91,14 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int) -> DataF
                     flat, starts = own.encode(piece.column("text"), end)
                     ids.append(pc.fill_null(piece.column("doc_id"), NO_ID).to_numpy())
                     sizes.append(np.diff(starts))
-                    yield flat.astype("<u4").tobytes()
+                    yield flat.astype(f"<u{width}").tobytes()
 
         _put(store, f"{folder}/part-{part:06d}.bin", chunks())
         all_ids = np.concatenate([np.empty(0, "<i8"), *ids]).astype("<i8")
         all_sizes = np.concatenate([np.empty(0, "<i8"), *sizes]).astype("<i8")
         _put(store, f"{folder}/part-{part:06d}.len", [all_ids.tobytes(), all_sizes.tobytes()])
-        yield _rows(PART, part=[part], docs=[len(all_ids)], tokens=[int(all_sizes.sum())])
+        yield _rows(PART, part=[part], docs=[len(all_ids)], tokens=[int(all_sizes.sum())],
+                    width=[width])
 
     order = F.col("doc_id").asc_nulls_first()
     parts = docs.select("doc_id", "text").repartitionByRange(order).sortWithinPartitions(
@@ -129,17 +133,18 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def mapped(batches):
         store, folder = _store(path)
         for batch in batches:
-            for part, n in zip(*(batch.column(c).to_pylist() for c in ("part", "docs"))):
+            for part, n, width in zip(*(batch.column(c).to_pylist()
+                                        for c in ("part", "docs", "width"))):
                 index = np.frombuffer(_get(store, f"{folder}/part-{part:06d}.idx"), "<i8")
                 ids, offsets = index[:n], index[n:]
-                flat = _get(store, f"{folder}/part-{part:06d}.bin")
-                places = 4 * (offsets - offsets[0])
+                flat = np.frombuffer(_get(store, f"{folder}/part-{part:06d}.bin"), f"<u{width}")
+                places = offsets - offsets[0]
                 for a in range(0, n, step):
                     b = min(n, a + step)
                     out = _rows(
                         schema, doc_id=pa.array(ids[a:b], mask=ids[a:b] == NO_ID),
                         start=offsets[a:b], n_tokens=np.diff(offsets[a:b + 1]),
-                        ids_crc32=[zlib.crc32(flat[places[i]:places[i + 1]])
+                        ids_crc32=[zlib.crc32(flat[places[i]:places[i + 1]].astype("<u4"))
                                    for i in range(a, b)])
                     yield out
 

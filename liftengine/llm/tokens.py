@@ -39,6 +39,10 @@ class Encoder:
         self.young: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
 
+    def width(self, *more: int) -> int:
+        """Bytes that hold any id of the vocabulary, and ``more``."""
+        return 2 if max(self.whole.get_vocab_size() - 1, *more) < 1 << 16 else 4
+
     def pieces(self, found: list[str]) -> list[list[int]]:
         """The ids of each piece."""
         out, rest = [], []
