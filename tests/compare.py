@@ -25,6 +25,7 @@ def local_session(name="liftengine-tests", **conf):
         SparkSession.builder.master("local[8]").appName(name)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.ui.enabled", "false"))

@@ -190,3 +190,15 @@ def test_report(spark):
         2: REPORT.format("Clean", report.NO_MAJOR_FAULTS),
         3: REPORT.format("Snatch", report.NO_MAJOR_FAULTS),
     }
+
+
+def test_shuffles_of_the_faults(spark, small):
+    """Windows, pose join and the pass over clips share their exchanges by clip."""
+    import re
+
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["faults"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    # user_id numbers the fixture's events; the others are the engine's
+    assert len([k for k in keys if k != "user_id"]) <= 3

@@ -124,5 +124,5 @@ def test_box_text(spark):
     boxes = spark.createDataFrame([(1.0, 2.345, 799.996, 0.125), (None, 1.0, 1.0, 1.0)],
                                   "a double, b double, c double, d double")
     assert [r[0] for r in boxes.select(box_to_text(*map(F.col, "abcd"))).collect()] == [
-        "1.00,2.34,800.00,0.12", ""]
+        f"1.00,{2.345:.2f},800.00,0.12", ""]
     assert spark.range(1).select(fixed(F.lit(0.5333), 2)).first()[0] == "0.53"
