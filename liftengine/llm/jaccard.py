@@ -8,9 +8,10 @@
    these cells by number and content.  Sets that name a common cell are candidates; chains
    of candidates form clusters.
 3. Tiles.  Each cluster is cut by bands of sizes into blocks, and compatible blocks are
-   paired into tiles.  In a tile hashed bitmap signatures bound the overlap from above; pairs
-   that may still link are intersected exactly as sorted arrays.  Pairs that are already
-   connected within the tile are not compared again.
+   paired into tiles.  In a tile hashed bitmap signatures bound the overlap from above.  Tiles
+   of bitmaps alone go first: sets that may link by that bound form smaller clusters.  Their
+   tiles hold the sets themselves, and pairs that may link are intersected exactly as sorted
+   arrays.  Pairs that are already connected within a tile are not compared again.
 4. Connected components of the links.
 
 No candidate is dropped: cells give all of them, and large clusters only become more tiles.
@@ -42,7 +43,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BAND, CELLS = 1.5, 1.3
 #: Up to this size the d + 1 smallest n-grams stand for cells.
 SMALL = 64
-SIGNATURE_WORDS = 32
 #: A block has about a twelfth of its band, but no fewer documents and no more n-grams.
 BLOCKS, BLOCK_DOCS, BLOCK_GRAMS = 12, 128, 1_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -124,23 +124,32 @@ def names(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate([_cells(grams, b, percent) for b in bands]))
 
 
-def _signatures(sets: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(sets), SIGNATURE_WORDS), np.uint64)
-    for row, grams in zip(out, sets):
-        bit = grams % np.uint64(64 * SIGNATURE_WORDS)
-        np.bitwise_or.at(row, (bit >> np.uint64(6)).astype(np.int64),
-                         np.uint64(1) << (bit & np.uint64(63)))
+def signature(grams: np.ndarray) -> np.ndarray:
+    """A bitmap of hashed n-grams, with two to four bits per n-gram and 256 at least."""
+    bits = 1 << max(8, (4 * len(grams)).bit_length() - 1)
+    out = np.zeros(bits // 64, np.uint64)
+    bit = _mixed(grams) & np.uint64(bits - 1)
+    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64),
+                     np.uint64(1) << (bit & np.uint64(63)))
     return out
 
 
-def tile_links(ids, sides, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked in a tile; rows of one side only meet in tile 0 x 0."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    order = np.argsort(size, kind="stable")
-    ids, sides, size = np.asarray(ids)[order], np.asarray(sides)[order], size[order]
-    sets = [sets[i] for i in order]
-    bits = _signatures(sets)
+def _folded(bitmaps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps brought to the shortest length: a hash's lower bits name its place there."""
+    words = min(map(len, bitmaps))
+    return np.stack([np.bitwise_or.reduce(b.reshape(-1, words), axis=0) for b in bitmaps])
+
+
+def tile_links(ids, sides, sizes, bitmaps: list[np.ndarray], percent: int,
+               sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is linked in a tile; rows of one side only meet in tile 0 x 0.
+
+    Without ``sets``, pairs count as linked that may link as far as their bitmaps tell.
+    """
+    n = len(bitmaps)
+    order = np.argsort(sizes, kind="stable")
+    ids, sides, size = (np.asarray(x)[order] for x in (ids, sides, sizes))
+    bits = _folded([bitmaps[i] for i in order])
     cross = bool((sides == 1).any())
     group = np.arange(n)
     found = []
@@ -160,17 +169,20 @@ def tile_links(ids, sides, sets: list[np.ndarray], percent: int) -> list[tuple[i
         for j in near:
             if group[j] == group[i]:
                 continue
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= percent * (size[i] + size[j] - common):
-                found.append((int(ids[i]), int(ids[j])))
-                group[group == group[j]] = group[i]
+            if sets is not None:
+                common = len(np.intersect1d(
+                    sets[order[i]], sets[order[j]], assume_unique=True))
+                if 100 * common < percent * (size[i] + size[j] - common):
+                    continue
+            found.append((int(ids[i]), int(ids[j])))
+            group[group == group[j]] = group[i]
     return found
 
 
 def _summary(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, two digests of the set, and the set's names."""
+    """doc_id, n_shingles, two digests of the set, its names and its bitmap."""
     fields = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()),
-                        ("d2", pa.int64()), ("names", pa.binary())])
+                        ("d2", pa.int64()), ("names", pa.binary()), ("bitmap", pa.binary())])
 
     def summed(batches):
         for batch in batches:
@@ -182,11 +194,13 @@ def _summary(docs: DataFrame, n: int, percent: int) -> DataFrame:
                                       np.uint64).view(np.int64)),
                     pa.array(np.array([np.bitwise_xor.reduce(_mixed(~s)) for s in sets],
                                       np.uint64).view(np.int64)),
-                    pa.array([names(s, percent).tobytes() for s in sets], pa.binary())],
+                    pa.array([names(s, percent).tobytes() for s in sets], pa.binary()),
+                    pa.array([signature(s).tobytes() for s in sets], pa.binary())],
                     schema=fields)
 
     return docs.select("doc_id", "text").mapInArrow(
-        summed, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, names binary")
+        summed, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, names binary, "
+        "bitmap binary")
 
 
 def _candidates(named: DataFrame) -> DataFrame:
@@ -203,7 +217,7 @@ def _candidates(named: DataFrame) -> DataFrame:
             if not counts.sum():
                 continue
             name = np.frombuffer(b"".join(raw.to_pylist()), np.uint64)
-            doc = np.repeat(batch.column("rep").to_numpy(), counts)
+            doc = np.repeat(batch.column("doc_id").to_numpy(), counts)
             order = np.lexsort((doc, name))
             name, doc = name[order], doc[order]
             first = np.concatenate([[True], name[1:] != name[:-1]])
@@ -216,7 +230,7 @@ def _candidates(named: DataFrame) -> DataFrame:
                 pa.array(np.concatenate([doc[first], joint[0], joint[1]]))],
                 names=["name", "doc"])
 
-    sent = named.select("rep", "names").mapInArrow(combined, "name bigint, doc bigint")
+    sent = named.select("doc_id", "names").mapInArrow(combined, "name bigint, doc bigint")
     least = F.min("doc").over(Window.partitionBy("name"))
     return sent.select("doc", least.alias("least")).where(
         F.col("doc") != F.col("least")).select(
@@ -224,7 +238,7 @@ def _candidates(named: DataFrame) -> DataFrame:
 
 
 def _tiles(members: DataFrame, percent: int) -> DataFrame:
-    """rep with the tiles it takes part in, each with a side; members are (rep, n, cluster)."""
+    """rep with the tiles it takes part in, each with a side; members are (rep, n, d1, d2, cluster)."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     banded = members.withColumn("band", band)
     counts = write_scratch(banded.groupBy("cluster", "band").agg(
@@ -264,34 +278,62 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
             F.transform(blocks_of(F.coalesce("down", F.lit(0))), lambda k: tile(
                 under, k, here, F.col("own"), F.lit(1)))))
     return banded.join(shaped, ["cluster", "band"]).withColumn("own", own).select(
-        "rep", tiles.alias("tiles"))
+        "rep", "d1", "d2", tiles.alias("tiles"))
+
+
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row per tile that a set takes part in."""
+    return rows.select("rep", *columns, F.explode("tiles").alias("t")).select(
+        "rep", *columns, "t.tile", "t.side")
+
 
+def _maybe(known: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs that connect, within tiles, all sets that may link as far as bitmaps tell."""
 
-def _links(docs: DataFrame, tiles: DataFrame, n: int, percent: int) -> DataFrame:
+    def compared(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.drop_duplicates(["rep", "bitmap"])
+        links = tile_links(found["rep"], found["side"], found["n"],
+                           [np.frombuffer(b, np.uint64) for b in found["bitmap"]], percent)
+        return pd.DataFrame(links, columns=["u", "v"], dtype=np.int64)
+
+    rows = known.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "d1", "d2",
+                        "bitmap").join(_tiles(members, percent), ["rep", "d1", "d2"])
+    return _dealt(rows, "n", "bitmap").groupBy("tile").applyInPandas(compared, "u bigint, v bigint")
+
+
+def _links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     """Exact links within tiles."""
-    out = pa.schema([("n", pa.int64()), ("rep", pa.int64()), ("grams", pa.binary())])
+    out = pa.schema([("rep", pa.int64()), ("grams", pa.binary())])
 
     def grams(batches):
         for batch in batches:
             for part in slices(batch):
                 sets = gram_sets(part.column("text"), n)
                 made = pa.RecordBatch.from_arrays([
-                    pa.array([len(s) for s in sets], pa.int64()), part.column("rep"),
-                    pa.array([s.tobytes() for s in sets], pa.binary())], schema=out)
+                    part.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    schema=out)
                 yield made.append_column("tiles", part.column("tiles"))
 
     def compared(found: pd.DataFrame) -> pd.DataFrame:
-        found = found.drop_duplicates("rep")
-        links = tile_links(found["rep"], found["side"],
-                           [np.frombuffer(g, np.uint64) for g in found["grams"]], percent)
+        found = found.drop_duplicates(["rep", "grams"])
+        sets = [np.frombuffer(g, np.uint64) for g in found["grams"]]
+        links = tile_links(found["rep"], found["side"], [len(s) for s in sets],
+                           [signature(s) for s in sets], percent, sets)
         return pd.DataFrame(links, columns=["u", "v"], dtype=np.int64)
 
+    tiles = _tiles(members, percent).select("rep", "tiles")
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(tiles, "rep")
     sets = texts.mapInArrow(
-        grams, "n bigint, rep bigint, grams binary, tiles array<struct<tile:bigint,side:int>>")
-    return sets.select("rep", "grams", F.explode("tiles").alias("t")).select(
-        "rep", "grams", "t.tile", "t.side").groupBy("tile").applyInPandas(
-        compared, "u bigint, v bigint")
+        grams, "rep bigint, grams binary, tiles array<struct<tile:bigint,side:int>>")
+    return _dealt(sets, "grams").groupBy("tile").applyInPandas(compared, "u bigint, v bigint")
+
+
+def _clustered(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The representatives in the components of the links: rep, n, d1, d2, cluster."""
+    found = components(links)
+    inside = found.select(F.col("u").alias("rep"), F.col("v").alias("cluster")).unionByName(
+        found.select(F.col("v").alias("rep"), F.col("v").alias("cluster")).distinct())
+    return classes.join(inside, "rep")
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -300,14 +342,10 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     known = held.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = write_scratch(known.groupBy("d1", "d2").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
-    named = known.where(F.length("names") > 0).select(
-        F.col("doc_id").alias("rep"), "d1", "d2", "names").join(
-        classes.select("rep", "d1", "d2"), ["rep", "d1", "d2"])
-    clusters = components(_candidates(named))
-    inside = clusters.select(F.col("u").alias("rep"), F.col("v").alias("cluster")).unionByName(
-        clusters.select(F.col("v").alias("rep"), F.col("v").alias("cluster")).distinct())
-    members = classes.select("rep", "n").join(inside, "rep")
-    joined = components(write_scratch(_links(docs, _tiles(members, percent), n, percent), "links"))
+    named = known.where(F.length("names") > 0)
+    near = _clustered(classes, write_scratch(_candidates(named), "candidates"))
+    maybe = _clustered(classes, write_scratch(_maybe(named, near, percent), "maybe"))
+    joined = components(write_scratch(_links(docs, maybe, n, percent), "links"))
     found = classes.join(joined.select(F.col("u").alias("rep"), F.col("v").alias("to")), "rep",
                          "left").select("d1", "d2", F.coalesce("to", "rep").alias("component_id"))
     return held.select("doc_id", "n_shingles", "d1", "d2").join(
