@@ -40,6 +40,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from liftengine.sources.scratch import write_scratch
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TEXT_PAGES = 10
@@ -67,6 +69,11 @@ WORDS = set("""ad ads adv advert advertisement adverts banner breadcrumb breadcr
     notice notices pagination popup promo promoted recommended related share sharing sidebar signup
     social sponsor sponsored subscribe toolbar widget""".split())
 MAIN = ("article", "main")
+#: Parts that the tokens, and pages, of a host are dealt into.
+PARTS = 64
+#: Templates of so many hosts are broadcast (each has at most two pages' tokens); those of
+#: more meet the pages by host and part.
+FEW_HOSTS = 2_000
 #: Elements nested deeper count as part of the one at this depth (their text stays theirs).
 DEPTH = 64
 
@@ -187,7 +194,6 @@ _TOKENS = pa.schema([
     ("v1", pa.int64()), ("v2", pa.int64()), ("chars", pa.int64())])
 _TOKENS_SQL = ("host string, token bigint, parent bigint, element boolean, main boolean, "
                "pages bigint, low bigint, high bigint, v1 bigint, v2 bigint, chars bigint")
-PAGE = 0  # the token of the page itself
 
 
 def _tokens(batches):
@@ -197,9 +203,8 @@ def _tokens(batches):
         for host, key, page in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html"))):
             r1, r2 = key & 0x7FFFFFFF, key >> 32 & 0x7FFFFFFF
             counts, parents, text_of = _counts(page)
-            counts[PAGE] = 1
             for token, n in counts.items():
-                parent, own, main = parents.get(token, (PAGE, 0, False))
+                parent, own, main = parents[token]
                 chars = text_of.get(own, 0) if own else 0
                 held = sums.get((host, token))
                 if held is None:
@@ -222,7 +227,6 @@ _TEMPLATE = "host string, elements array<bigint>, texts array<bigint>, mains arr
 def _deduce(found: pd.DataFrame) -> pd.DataFrame:
     """The template of a host from its tokens on at least half of the pages."""
     host, total = found["host"].iloc[0], int(found["total"].iloc[0])
-    found = found[found["token"] != PAGE]
     # an element is two tokens, its start and its end
     size = (found["element"] + 1).groupby([found["v1"], found["v2"]]).transform("sum")
     found = found[size >= 2]
@@ -276,9 +280,14 @@ def templates(pages: DataFrame) -> DataFrame:
         F.first("main").alias("main"), F.sum("pages").alias("pages"), F.min("low").alias("low"),
         F.max("high").alias("high"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"),
         F.sum("chars").alias("chars"))
-    count = found.where(F.col("token") == PAGE).select("host", F.col("pages").alias("total"))
-    often = found.join(count, "host").where(F.col("pages") * 2 >= F.col("total"))
-    return often.groupBy("host").applyInPandas(_deduce, _TEMPLATE)
+    # a host's tokens meet its number of pages in many parts, and few of them are left
+    count = pages.groupBy(_host().alias("host")).agg(F.count("*").alias("total")).where(
+        F.col("total") > 1).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    often = found.where(F.col("pages") > 1).withColumn(
+        "part", F.pmod("token", F.lit(PARTS)).cast("int")).join(count, ["host", "part"]).where(
+        F.col("pages") * 2 >= F.col("total"))
+    return often.drop("part").groupBy("host").applyInPandas(_deduce, _TEMPLATE)
 
 
 def _host():
@@ -288,7 +297,7 @@ def _host():
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    known = templates(pages)
+    known = write_scratch(templates(pages), "templates")
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()),
                      ("n_chars", pa.int64())])
 
@@ -302,6 +311,13 @@ def extract(pages: DataFrame) -> DataFrame:
 
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"),
                         _host().alias("host"))
-    return rows.join(known, "host", "left").select(
+    if known.count() <= FEW_HOSTS:
+        joined = rows.join(F.broadcast(known), "host", "left")
+    else:
+        spread = known.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        joined = rows.withColumn("part", F.pmod(
+            F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")).join(
+            spread, ["host", "part"], "left")
+    return joined.select(
         "page_id", "url", "html", "elements", "texts", "mains").mapInArrow(
         extracted, "page_id bigint, url string, text string, n_chars bigint")
