@@ -165,7 +165,7 @@ class EventTables:
     """The clip tables over one ``events`` file, each set up when first asked for.
 
     Every table reads the file anew: they are then independent relations, which Spark
-    joins without renaming one side's plan, and it still shares equal shuffles.
+    joins without renaming one side's plan; their shuffles of the events are not shared.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, rows_per_task: int = ROWS_PER_TASK):
