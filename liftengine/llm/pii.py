@@ -6,11 +6,13 @@ method then asks which other words reveal such an entity e.  Over all documents,
     IC(e)    = log2(N / n(e))                       how much learning e tells
     PMI(e,t) = log2(N n(e,t) / (n(e) n(t)))         how much of it the term t tells
 
-a term within reach of e is risky if PMI(e,t) >= disclosure * IC(e), that is, if it gives
-away at least that share of what identifies e.  n(t) counts documents with the term anywhere,
-n(e,t) documents with the term near e; a pair needs ``min_documents`` of them.  Risky terms
-are removed near that entity, and stay elsewhere: a number becomes a number mark, any other
-word a term mark.
+a term in a document of e is risky if PMI(e,t) >= disclosure * IC(e), that is, if it gives
+away at least that share of what identifies e.  This holds for entities of any number of
+documents: with e in one document only, its terms in at most N ** (1 - disclosure) documents
+are risky.  n(t) counts documents with the term anywhere, n(e,t) those of e that have it
+outside the base spans.  Risky terms are removed from every document of that entity, wherever
+in the text they stand, and stay in other documents: a number becomes a number mark, any
+other word a term mark.
 
 Everything is column expressions, joins and aggregates.  Counts are pre-aggregated per
 task; texts are not exchanged for finding spans.
@@ -47,13 +49,18 @@ PATTERNS = {
 #: What a text must hold for the pattern to be tried at all.
 HINTS = {"email": "@", "phone": "+"}
 WORD = r"[\p{L}\p{N}]{3,}+"
+#: Pieces of a text that end where a word ends, so that finding words stays linear.
+PIECE = r"(?s).{2048}[\p{L}\p{N}]*+|.++"
 _SPANS = "array<struct<start:int,end:int,found:string>>"
+_TERMS = "array<struct<term:string,start:int,end:int>>"
+#: So many terms at most are sent to all tasks, to be left out as never risky.
+COMMON = 10_000
+#: Logarithms of equal ratios may differ by rounding.
+_EQUAL = 1e-9
 
 
 @dataclass(frozen=True)
 class Limits:
-    reach: int = 60
-    min_documents: int = 3
     disclosure: float = 0.5
 
 
@@ -124,68 +131,81 @@ def _entity(span: Column) -> Column:
         span["kind"] <= 1, F.lower(span["found"])).otherwise(_digits(span["found"])))
 
 
-def _near(text: Column, span: Column, spans: Column, reach: int) -> Column:
-    """Terms within reach of a span, whole words only, as (entity, term, start, end)."""
-    left = F.greatest(span["start"] - reach, F.lit(0))
-
-    def terms(first: Column, piece: Column) -> Column:
-        return F.transform(
-            F.filter(located(piece, WORD), lambda s: ~(
-                ((s["start"] == 0) & (first > 0)) | (s["end"] == F.length(piece)))),
-            lambda s: F.struct(_entity(span).alias("entity"), F.lower(s["found"]).alias("term"),
-                               (first + s["start"]).alias("start"), (first + s["end"]).alias("end")))
-
-    # one character more on either side tells whether the outermost words are whole
-    before = let(F.concat(F.substring(text, left + 1, span["start"] - left), F.lit(" ")),
-                 lambda p: terms(left, p))
-    after = let(F.concat(F.lit(" "), F.substring(text, span["end"] + 1, F.lit(reach)), F.when(
-        F.length(text) <= span["end"] + reach, F.lit(" ")).otherwise(F.lit(""))),
-        lambda p: terms(span["end"] - 1, p))
-    return F.filter(F.concat(before, after), lambda t: ~F.exists(spans, lambda s: (
+def _terms(text: Column, spans: Column) -> Column:
+    """All words of a text outside its base spans, as (term, start, end)."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(
+        "array<struct<at:int,piece:string>>").alias("pieces"))
+    pieces = F.aggregate(
+        F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), none, lambda acc, p: F.struct(
+            (acc["at"] + F.length(p)).alias("at"), F.concat(acc["pieces"], F.array(F.struct(
+                acc["at"].alias("at"), p.alias("piece")))).alias("pieces")),
+        lambda acc: acc["pieces"])
+    found = F.flatten(F.transform(pieces, lambda p: F.transform(
+        located(p["piece"], WORD), lambda s: F.struct(
+            F.lower(s["found"]).alias("term"), (p["at"] + s["start"]).alias("start"),
+            (p["at"] + s["end"]).alias("end")))))
+    return F.filter(found, lambda t: ~F.exists(spans, lambda s: (
         s["start"] < t["end"]) & (t["start"] < s["end"])))
 
 
-def found(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """doc_id, digest of the text, base spans and the terms near them, written once."""
+def found(docs: DataFrame) -> DataFrame:
+    """doc_id, digest of the text, base spans, their entities and the terms, written once."""
     based = docs.select("doc_id", F.xxhash64(text_of(), F.lit(1)).alias("digest"), let(
-        text_of(), lambda t: let(base_spans(t), lambda s: F.struct(s.alias("spans"), F.when(
-            F.size(s) == 0, F.array().cast(
-                "array<struct<entity:string,term:string,start:int,end:int>>"),
-        ).otherwise(F.flatten(F.transform(
-            s, lambda x: _near(t, x, s, limits.reach)))).alias("near")))).alias("b"))
-    return write_scratch(based.select("doc_id", "digest", "b.spans", "b.near"), "pii")
-
-
-def risky_terms(docs: DataFrame, base: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The pairs (entity, term) of which the term gives the entity away."""
-    pairs = base.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform(
-        "near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
-    ).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_pair")).where(
-        F.col("n_pair") >= limits.min_documents)
-    entities = base.where(F.size("spans") > 0).select(F.explode(F.array_distinct(F.transform(
-        "spans", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower(text_of()), F.lit(WORD), F.lit(0)))).alias("term")).groupBy("term").agg(
-        F.count("*").alias("n_term"))
-    size = F.lit(float(base.count()))
-    pmi = F.log2(size * F.col("n_pair") / F.col("n_entity") / F.col("n_term"))
-    content = F.log2(size / F.col("n_entity"))
-    return pairs.join(entities, "entity").join(terms, "term").where(
-        (content > 0) & (pmi >= limits.disclosure * content)).select("entity", "term")
+        text_of(), lambda t: let(base_spans(t), lambda s: F.struct(
+            s.alias("spans"), F.array_distinct(F.transform(s, _entity)).alias("entities"),
+            F.when(F.size(s) == 0, F.array().cast(_TERMS)).otherwise(_terms(t, s)).alias("terms")
+        ))).alias("b"))
+    return write_scratch(based.select("doc_id", "digest", "b.spans", "b.entities", "b.terms"), "pii")
+
+
+def _near(base: DataFrame, never: DataFrame) -> DataFrame:
+    """doc_id, digest, entity and term, start, end of all terms but those in ``never``."""
+    each = base.where(F.size("entities") > 0).select(
+        "doc_id", "digest", F.explode("entities").alias("entity"), "terms")
+    return each.select("doc_id", "digest", "entity", F.explode("terms").alias("x")).select(
+        "doc_id", "digest", "entity", "x.*").join(F.broadcast(never), "term", "left_anti")
+
+
+def _counts(docs: DataFrame, base: DataFrame, limits: Limits):
+    """The number of rows, n(e), n(t), and the commonest of the terms that are never risky.
+
+    As n(e,t) <= n(e), no entity makes a term risky that is in more than N (n/N) ** disclosure
+    documents, n being the largest n(e).  Leaving those out changes no result.
+    """
+    entities = write_scratch(base.where(F.size("entities") > 0).select(
+        F.explode("entities").alias("entity")).groupBy("entity").agg(
+        F.count("*").alias("n_entity")), "pii-entities")
+    terms = write_scratch(docs.select(F.explode(F.array_distinct(F.transform(
+        F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0)), F.lower))).alias("term")).groupBy(
+        "term").agg(F.count("*").alias("n_term")), "pii-terms")
+    size = base.count()
+    most = entities.agg(F.max("n_entity")).first()[0] or 0
+    bound = size * (most / max(size, 1)) ** limits.disclosure * (1 + 1e-6)
+    never = terms.where(F.col("n_term") > bound).orderBy(F.desc("n_term"), "term").limit(
+        COMMON).select("term")
+    return size, entities, terms, never
 
 
 def term_spans(docs: DataFrame, base: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Per document with risky terms: doc_id, digest and the distinct spans of the terms."""
-    near = base.where(F.size("near") > 0).dropDuplicates(["doc_id", "digest"]).select(
-        "doc_id", "digest", F.explode("near").alias("x")).select("doc_id", "digest", "x.*")
-    hit = near.join(risky_terms(docs, base, limits), ["entity", "term"])
+    rows, entities, terms, never = _counts(docs, base, limits)
+    distinct = base.withColumn("terms", F.transform(F.array_distinct(F.transform(
+        "terms", lambda x: x["term"])), lambda t: F.struct(t.alias("term"))))
+    pairs = _near(distinct, never).groupBy("entity", "term").agg(F.count("*").alias("n_pair"))
+    size = F.lit(float(rows))
+    pmi = F.log2(size * F.col("n_pair") / F.col("n_entity") / F.col("n_term"))
+    content = F.log2(size / F.col("n_entity"))
+    risky = pairs.join(entities, "entity").join(terms, "term").where(
+        (content > 0) & (pmi >= limits.disclosure * content - _EQUAL)).select("entity", "term")
+    hit = _near(base.where(F.size("entities") > 0).dropDuplicates(
+        ["doc_id", "digest"]), never).join(risky, ["entity", "term"])
     return hit.groupBy("doc_id", "digest").agg(F.collect_set(F.struct(
         F.lit(TERM).alias("kind"), "start", "end", F.col("term").alias("found"))).alias("terms"))
 
 
 def spans(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id and digest of every document with ``base`` and ``terms``, arrays of spans."""
-    base = found(docs, limits)
+    base = found(docs)
     extra = term_spans(docs, base, limits).select(
         F.col("doc_id").alias("id"), F.col("digest").alias("d"), F.array_sort("terms").alias("t"))
     return base.join(extra, F.col("doc_id").eqNullSafe(F.col("id"))
@@ -227,7 +247,7 @@ def _rewritten(text: Column, all_spans: Column) -> Column:
 
 def sanitize(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``docs`` with marks in place of personal data and of the terms that give it away."""
-    base = found(docs, limits)
+    base = found(docs)
     extra = term_spans(docs, base, limits)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"),
                        F.xxhash64(text_of(), F.lit(1)).alias("digest"))

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import itertools
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -204,6 +205,32 @@ def test_pii(result, documents):
     assert all(seen[k] for k in ("email", "ip", "card", "phone"))
 
 
+def test_pii_terms(result, documents):
+    """Term spans of the whole table, equal to counting every pair of entity and term."""
+    size, held = len(documents), []
+    n_term, n_entity, n_pair = Counter(), Counter(), Counter()
+    for doc, text in documents:
+        text = text or ""
+        words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]{3,}", text)]
+        n_term.update({w for w, _, _ in words})
+        spans = base_spans(text)
+        entities = {(k, text[a:b].lower() if k in ("email", "ip") else re.sub(r"[^0-9]", "", text[a:b]))
+                    for k, a, b in spans}
+        words = [w for w in words if not any(a < w[2] and w[1] < b for _, a, b in spans)]
+        n_entity.update(entities)
+        n_pair.update({(e, w) for e in entities for w, _, _ in words})
+        held.append((doc, spans, entities, words))
+    risky = {(e, t) for (e, t), n in n_pair.items() if n_entity[e] < size and math.log2(
+        size * n / n_entity[e] / n_term[t]) >= 0.5 * math.log2(size / n_entity[e]) - 1e-9}
+    rows = {r["doc_id"]: r["spans"] for r in result("op7_pii")}
+    terms = 0
+    for doc, spans, entities, words in held:
+        gone = [("term", a, b) for w, a, b in words if any((e, w) in risky for e in entities)]
+        terms += len(gone)
+        assert rows[doc] == ",".join(f"{k}:{a}:{b}" for k, a, b in [*spans, *gone])
+    assert max(n_entity.values()) < 3 and terms > 100
+
+
 def test_sharding(result, documents):
     rows = {r["doc_id"]: r for r in result("op9_sharding")}
     home, load, slots = {}, Counter(), defaultdict(list)

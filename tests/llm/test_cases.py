@@ -284,6 +284,23 @@ def test_pii_terms_that_give_an_entity_away(make):
     assert "[email]" in text and "[term]" in text and "Zanzibar" not in text and "corp" not in text
 
 
+def test_pii_terms_far_from_an_entity_of_one_document(make):
+    far = "Write to boss@corp.example soon. " + "and then " * 700 + "Zanzibar"
+    docs = [(0, far), *[(i, "Please write and then write soon again") for i in range(1, 40)]]
+    rows = pii.spans(make(*docs)).orderBy("doc_id").collect()
+    assert [(t["found"], t["start"], t["end"]) for t in rows[0]["terms"]] == [
+        ("zanzibar", len(far) - 8, len(far))]
+    assert not any(r["terms"] for r in rows[1:])
+
+
+def test_pii_terms_in_long_texts(make):
+    word = "wörd\U0001f600 "
+    text = "a@b.cd " + word * 100_000 + "İstanbul"
+    found = pii.spans(make((1, text), *[(i, "wörd") for i in range(2, 9)])).where(
+        "doc_id = 1").first()["terms"]
+    assert [(t["start"], t["end"]) for t in found] == [(len(text) - 8, len(text))]
+
+
 def test_packing_plan_is_gapless_and_tight():
     rng = np.random.default_rng(1)
     for lengths in (rng.integers(1, 4097, 4000), rng.integers(1, 60, 500), rng.integers(1500, 2600, 900),
