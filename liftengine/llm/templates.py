@@ -9,7 +9,8 @@
    are an equivalence class.  A class is valid if it has two tokens or more (an element has
    two, its start and its end) and each of them lies within an element of a valid class, or
    of the page itself, so that classes nest.
-   Valid classes are the template.  What reaches this step per host is bounded by the size
+   As elements are two tokens and their parents are as frequent, this rules out no element: it
+   tells fixed texts only, and slots are chosen by step 3 alone.  What reaches this step per host is bounded by the size
    of two pages, whatever the number of pages.
 3. Slots.  The blocks of a page that are no template text fill the template's slots.  The main
    slot of a host is its article or main element, where the template has one, else the
