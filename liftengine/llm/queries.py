@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftengine.llm import (
-    fingerprints, jaccard, mixing, packing, pii, quality, sharding, suffixes, templates,
-    token_files, twins,
+    conversations, fingerprints, jaccard, mixing, packing, pii, quality, sharding, suffixes,
+    templates, token_files, twins,
 )
 from liftengine.llm.common import table
 from liftengine.sources.scratch import scratch_path
@@ -78,6 +78,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+    hashed = conversations.digests(made.pieces).select(
+        F.col("conv_id").alias("of"), F.col("sha256").alias("repaired_sha256"))
+    return made.conversations.join(
+        hashed, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+
+
 def queries() -> dict:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -90,6 +98,7 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_sharding": op9_sharding,
         "op10_quality": op10_quality,
+        "op11_conversations": op11_conversations,
     }
 
 
