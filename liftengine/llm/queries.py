@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftengine.llm import (
-    conversations, fingerprints, jaccard, mixing, packing, pii, quality, sharding, suffixes,
-    templates, token_files, twins,
+    conversations, fingerprints, jaccard, mixing, mixture_packing, packing, pii, quality,
+    sharding, suffixes, templates, token_files, twins, vector_codes,
 )
 from liftengine.llm.common import table
 from liftengine.sources.scratch import scratch_path
@@ -86,6 +86,25 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
         hashed, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
 
 
+def byte_level() -> tuple[str, str, str]:
+    """The installed byte-level vocabulary: its file, its ranks and their pattern."""
+    import public_tokenizers
+
+    return (public_tokenizers.path("byte_bpe_50k.json"),
+            public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_packing.pack(table(spark, sf_dir, "documents"), byte_level(), end=1)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", F.array_join(digits, "").alias("code"), "error", "label_error",
+        "codebooks_sha256")
+
+
 def queries() -> dict:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -99,6 +118,8 @@ def queries() -> dict:
         "op9_sharding": op9_sharding,
         "op10_quality": op10_quality,
         "op11_conversations": op11_conversations,
+        "op12_mixture_packing": op12_mixture_packing,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 

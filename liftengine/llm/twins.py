@@ -96,5 +96,49 @@ FROM measured
 """
 
 
+_FAR = """
+far{r} AS MATERIALIZED (
+  SELECT p.vec_id, p.part, c.entry, sum((p.x - c.x) * (p.x - c.x)) AS d
+  FROM parts p JOIN book{r} c ON p.part = c.part AND p.pos = c.pos GROUP BY ALL),
+near{r} AS MATERIALIZED (
+  SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM far{r} GROUP BY vec_id, part)"""
+_MEAN = """
+sum{r} AS (
+  SELECT p.part, n.entry, p.pos, CAST(sum(p.x) AS BIGINT) AS s, count(*) AS n
+  FROM parts p JOIN near{r} n ON p.vec_id = n.vec_id AND p.part = n.part GROUP BY ALL),
+book{after} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, CASE WHEN s.n IS NULL THEN b.x
+    ELSE (s.s - (s.s % s.n + s.n) % s.n) // s.n END AS x
+  FROM book{r} b LEFT JOIN sum{r} s ON b.part = s.part AND b.entry = s.entry AND b.pos = s.pos)"""
+_LAST = 6
+
+VECTORS = """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, embedding AS e, len(embedding) // 8 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding,
+    lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, (i - 1) // w AS part, (i - 1) % w AS pos,
+    CAST(floor(4096 * CAST(e[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM kept)),
+book0 AS MATERIALIZED (
+  SELECT p.part, f.entry, p.pos, p.x FROM parts p JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry
+    FROM kept ORDER BY vec_id LIMIT 16) f ON p.vec_id = f.vec_id),
+""" + ",".join(_FAR.format(r=r) + "," + _MEAN.format(r=r, after=r + 1) for r in range(_LAST)) + (
+    "," + _FAR.format(r=_LAST)) + f""",
+hashed AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS h FROM book{_LAST}),
+coded AS (
+  SELECT k.vec_id, any_value(k.label) AS label,
+    string_agg(printf('%02x', n.entry), '' ORDER BY n.part) AS code,
+    CAST(sum(n.d) AS BIGINT) AS error
+  FROM kept k JOIN near{_LAST} n ON k.vec_id = n.vec_id GROUP BY k.vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  h AS codebooks_sha256 FROM coded, hashed
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op5_jaccard": JACCARD, "op10_quality": QUALITY}
+    return {"op5_jaccard": JACCARD, "op10_quality": QUALITY, "op13_vector_codes": VECTORS}
