@@ -25,6 +25,7 @@ from liftengine.sources.scratch import scratch_path, write_scratch
 from liftengine.sources.tracks import (
     clip_defaults, clip_problems, read_tracks, with_clip_metadata,
 )
+from liftengine.streaming.raw import track_raw_stream
 from liftengine.streaming.tracker import frame_stream, run_available
 
 try:  # the training-data operators and their pipeline are an optional part
@@ -422,6 +423,54 @@ def q_track_endcap_stream_bounded(f: Fleet):
     return stream_columns(f.spark.read.parquet(f"{path}/out"))
 
 
+def q_track_endcap_stream_gaps(f: Fleet):
+    """The stream without some frames, which come when their clips have gone on; all rows."""
+    path = scratch_path(f.spark, "stream")
+    last = f.frames.groupBy("clip_id").agg(F.max("frame").alias("last"))
+    rows = write_scratch(f.span.attach(
+        frame_stream(f.frames, f.candidates(), f.span), last).withColumn(
+        "lost", (F.col("frame") % 17 == 5) & (F.col("frame") < F.col("last"))).drop("last"))
+    day = F.lit("2024-01-01").cast("timestamp")
+    idle = f.spark.range(1).select(*[
+        F.lit(None).cast(field.dataType).alias(field.name) for field in rows.drop("lost").schema])
+    for days, part in enumerate((rows.where("not lost").drop("lost"), idle,
+                                 rows.where("lost").drop("lost"))):
+        part.withColumn("arrived", day + F.make_dt_interval(F.lit(3 * days))).write.mode(
+            "append").parquet(f"{path}/in")
+        stream = f.spark.readStream.schema(
+            f.spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
+        run_available(stream, f"{path}/out", f"{path}/checkpoint")
+    totals = ("total_shake_x", "total_shake_y", "barbell_x_stable", "barbell_y_stable")
+    return f.spark.read.parquet(f"{path}/out").select(
+        *KEY, "det_id", "cx", "cy", *[rounded(c) for c in totals],
+        F.col("late").cast("boolean").alias("late"))
+
+
+def q_track_endcap_raw_stream(f: Fleet):
+    """Four raw streams, delivered in parts that overlap in time, against the batch."""
+    path = scratch_path(f.spark, "raw")
+    raw = {"frames": f.frames.select(*KEY), "detections": f.tables.detections,
+           "landmarks": f.landmarks, "flow": f.tables.flow}
+    start = 1_704_067_200_000
+
+    def timed(rows):
+        return rows.withColumn("at", F.timestamp_millis(F.lit(start) + F.col("frame") * 33))
+
+    raw = {name: write_scratch(timed(rows)) for name, rows in raw.items()}
+    for delivery in range(3):
+        for name, rows in raw.items():
+            shaken = F.col("frame") + F.pmod(F.xxhash64(*rows.columns), F.lit(7))
+            part = (rows.where(shaken < 36), rows.where(shaken >= 36), rows.limit(1).select(*[
+                F.timestamp_millis(F.lit(2 * start)).alias(c) if c == "at"
+                else F.lit(None).cast(kind).alias(c) for c, kind in rows.dtypes]))[delivery]
+            part.write.mode("append").parquet(f"{path}/{name}")
+        streams = [f.spark.readStream.schema(rows.schema).parquet(f"{path}/{name}")
+                   for name, rows in raw.items()]
+        tracked = track_raw_stream(*streams, clips=f.clips, names=CLASS_NAMES)
+        run_available(streams[0], f"{path}/out", f"{path}/checkpoint", tracked=tracked)
+    return stream_columns(f.spark.read.parquet(f"{path}/out"))
+
+
 _QUERIES = {
     "read_tracks": q_read_tracks,
     "with_clip_metadata": lambda f: f.sized().select(
@@ -499,6 +548,8 @@ _QUERIES = {
     "validate_tracks": lambda f: clip_problems(f.tables.clips, f.frames),
     "track_endcap_stream": q_track_endcap_stream,
     "track_endcap_stream_bounded": q_track_endcap_stream_bounded,
+    "track_endcap_stream_gaps": q_track_endcap_stream_gaps,
+    "track_endcap_raw_stream": q_track_endcap_raw_stream,
 }
 
 

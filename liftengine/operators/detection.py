@@ -16,11 +16,11 @@ BOX = ("x1", "y1", "x2", "y2")
 FOLD_CHUNK = 256
 
 
-def filter_detections(
-    det: DataFrame, class_name: str = "endcap", conf: float = schema.MIN_CONFIDENCE,
+def is_wanted(
+    class_name: str = "endcap", conf: float = schema.MIN_CONFIDENCE,
     names: dict[int, str] | None = None,
-) -> DataFrame:
-    """Detections of the wanted class that are sure enough.
+) -> Column:
+    """Whether a detection is of the wanted class and sure enough.
 
     ``names`` are the detector's class names by id.  A class it does not know stands for
     the class with id 0; ids without a name match if they are 0.
@@ -31,7 +31,15 @@ def filter_detections(
     wanted = [i for i, name in names.items() if name == target]
     if 0 not in named:
         wanted.append(0)
-    return det.where(F.col("class_id").isin(wanted) & (F.col("conf") >= conf))
+    return F.col("class_id").isin(wanted) & (F.col("conf") >= conf)
+
+
+def filter_detections(
+    det: DataFrame, class_name: str = "endcap", conf: float = schema.MIN_CONFIDENCE,
+    names: dict[int, str] | None = None,
+) -> DataFrame:
+    """Detections of the wanted class that are sure enough (see `is_wanted`)."""
+    return det.where(is_wanted(class_name, conf, names))
 
 
 def clamp_boxes(det: DataFrame, clips: DataFrame, span=Whole()) -> DataFrame:

@@ -1,16 +1,27 @@
 """Following the bar on a stream of frames with their detections.
 
-Each row is one frame with all its candidates and ``seq``, its position in the clip counted
-from 0 without gaps.  State per clip: the centre chosen last, the camera shake added up, the
-next position, and frames that came before their turn.  So the order and the bounds in which
-a source delivers frames make no difference.  A frame that comes again, or after its clip
-has gone on without it, is late and goes to the table of late frames.
+Each row is one frame with all its candidates.  State per clip: the centre chosen last, the
+camera shake added up, the place of the next frame, and the frames that came before their
+turn.  These wait in a map state, ``CHUNK`` frames to an entry, so that a micro-batch reads
+and writes only the entries it touches, however long the clip is.
+
+Where rows carry ``seq``, their position in the clip counted from 0 without gaps, a frame
+waits for all before it: files may come in any order and any bounds.  A missing frame is
+given up when nothing more of the clip has come for ``patience``, measured in arrival time by
+the stream's watermark; then the clip goes on without it.  Nothing else gives up a frame.
+Where rows come from a stage that itself is complete up to the watermark (`raw`), there is
+nothing to wait for and a micro-batch is taken in order of frames.
+
+A frame that comes again, or after its clip has gone on without it, is late and goes to the
+table of late frames.  Rows that arrived before the watermark are dropped by Spark, which
+counts them.
 """
 
 from __future__ import annotations
 
 import json
 import sys
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,16 +29,20 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from liftengine.plans.span import RunningSum, Whole, join_frames
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not install this
 
-# frames of a clip that wait for a missing one before the clip goes on without it
-PATIENCE = 10_000
+# frames to an entry of the map state, and frames of a micro-batch kept outside it
+CHUNK = 256
+HELD = 20_000
+PATIENCE = "1 day"
 STATE = ("sx bigint, sy bigint, shake_x double, shake_y double, next_seq bigint, "
-         "late_frames bigint, waiting string")
+         "late_frames bigint, latest bigint")
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
 OUTPUT = {
     "clip_id": "int64", "frame": "int64", "det_id": "Int64", "cx": "Int64", "cy": "Int64",
     "total_shake_x": "float64", "total_shake_y": "float64", "barbell_x_stable": "float64",
@@ -36,7 +51,7 @@ OUTPUT = {
 KINDS = {"float64": "double", "bool": "boolean"}
 OUTPUT_DDL = ", ".join(f"{name} {KINDS.get(kind, 'bigint')}" for name, kind in OUTPUT.items())
 OPTIONS = ("det_ids", "first_keys", "cxs", "cys")
-COLUMNS = ("clip_id", "frame", "seq", "shake_dx", "shake_dy", *OPTIONS)
+COLUMNS = ("clip_id", "frame", "seq", "shake_dx", "shake_dy", *OPTIONS, "arrived")
 
 
 def frame_stream(frames: DataFrame, cands: DataFrame, span=Whole()) -> DataFrame:
@@ -61,67 +76,193 @@ def _nearest(frame, sx, sy):
     return min(zip(*frame[4:]), key=key, default=None)
 
 
-def _frames(batches: Iterator[pd.DataFrame]):
-    """(seq, [frame, seq, shake_dx, shake_dy, four lists]) of each row."""
-    for batch in batches:
-        plain = [batch[c].tolist() for c in ("frame", "seq", "shake_dx", "shake_dy")]
-        lists = [[x.tolist() for x in batch[c]] for c in OPTIONS]
-        for row in zip(*plain, *lists):
-            yield row[1], list(row)
-
-
-def follow(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState,
-) -> Iterator[pd.DataFrame]:
-    """Frames of one clip in one micro-batch, continued from the state."""
-    sx, sy, shake_x, shake_y, turn, late, waiting = (
-        state.get if state.exists else (None, None, 0.0, 0.0, 0, 0, "[]"))
-    held = {frame[1]: frame for frame in json.loads(waiting)}
-    out = []
-    none = (pd.NA, pd.NA, pd.NA)
-
-    def stable(seen):
-        return (np.nan, np.nan) if seen is none else (sx - shake_x, sy - shake_y)
-
-    for seq, frame in _frames(batches):
-        if seq < turn or seq in held:
-            late += 1
-            out.append((key[0], frame[0], *none, shake_x, shake_y, np.nan, np.nan, late, True))
-            continue
-        held[seq] = frame
-        if len(held) > PATIENCE and turn not in held:
-            turn = min(held)
-        while turn in held:
-            frame = held.pop(turn)
-            turn += 1
-            shake_x += float(np.nan_to_num(frame[2]))
-            shake_y += float(np.nan_to_num(frame[3]))
-            chosen, seen = _nearest(frame, sx, sy), none
-            if chosen:
-                sx, sy = int(chosen[2]), int(chosen[3])
-                seen = (int(chosen[0]), sx, sy)
-            out.append((key[0], frame[0], *seen, shake_x, shake_y, *stable(seen), late, False))
-    state.update((sx, sy, shake_x, shake_y, turn, late, json.dumps(list(held.values()))))
-    yield pd.DataFrame(out, columns=list(OUTPUT)).astype(OUTPUT)
-
-
-def track_endcap_stream(rows: DataFrame) -> DataFrame:
+def _frames(batch: pd.DataFrame):
+    """[frame, seq, shake_dx, shake_dy, four lists] of each row."""
+    plain = [batch[c].tolist() for c in ("frame", "seq", "shake_dx", "shake_dy")]
+    lists = [[[] if x is None else x.tolist() for x in batch[c]] for c in OPTIONS]
+    return map(list, zip(*plain, *lists))
+
+
+class Walk:
+    """One clip's walk through its frames, with the rows it gives."""
+
+    NONE = (pd.NA, pd.NA, pd.NA)
+
+    def __init__(self, clip, state, first_still=False):
+        self.clip, self.out, self.first_still = clip, [], first_still
+        (self.sx, self.sy, self.shake_x, self.shake_y, self.turn, self.late,
+         self.latest) = state or (None, None, 0.0, 0.0, 0, 0, 0)
+
+    def state(self):
+        return (self.sx, self.sy, self.shake_x, self.shake_y, self.turn, self.late, self.latest)
+
+    def step(self, frame):
+        if not (self.first_still and self.turn == 0):
+            self.shake_x += float(np.nan_to_num(frame[2]))
+            self.shake_y += float(np.nan_to_num(frame[3]))
+        self.turn = frame[1] + 1
+        chosen, seen, stable = _nearest(frame, self.sx, self.sy), self.NONE, (np.nan, np.nan)
+        if chosen:
+            self.sx, self.sy = int(chosen[2]), int(chosen[3])
+            seen = (int(chosen[0]), self.sx, self.sy)
+            stable = (self.sx - self.shake_x, self.sy - self.shake_y)
+        self.out.append((self.clip, frame[0], *seen, self.shake_x, self.shake_y, *stable,
+                         self.late, False))
+
+    def too_late(self, frame):
+        self.late += 1
+        self.out.append((self.clip, frame[0], *self.NONE, self.shake_x, self.shake_y, np.nan,
+                         np.nan, self.late, True))
+
+    def rows(self):
+        made, self.out = pd.DataFrame(self.out, columns=list(OUTPUT)).astype(OUTPUT), []
+        return made
+
+
+class BarTracker(StatefulProcessor):
+    """Frames of each clip in order, continued from the clip's state.
+
+    ``numbered`` clips have positions without gaps; others are complete in each micro-batch,
+    and the camera counts as still on their first frame.
+    """
+
+    def __init__(self, numbered: bool = True, chunk: int = CHUNK, held: int = HELD):
+        self.numbered, self.chunk, self.most = numbered, chunk, held
+
+    def init(self, handle):
+        self.handle = handle
+        self.last = handle.getValueState("last", STATE)
+        self.waiting = handle.getMapState("waiting", "chunk bigint", "frames string")
+
+    def _walk(self, clip) -> Walk:
+        state = self.last.get() if self.last.exists() else None
+        return Walk(clip, state, first_still=not self.numbered)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if pd.isna(key[0]):  # rows that only move the watermark
+            return
+        walk = self._walk(key[0])
+        held: dict[int, list] = {}
+        for batch in rows:
+            walk.latest = max(walk.latest, int(batch["arrived"].max().timestamp() * 1000))
+            for frame in _frames(batch):
+                if frame[1] < walk.turn or frame[1] in held:
+                    walk.too_late(frame)
+                else:
+                    held[frame[1]] = frame
+            if self.numbered:
+                self._go_on(walk, held)
+            if len(held) > self.most:
+                self._set_aside(walk, held)
+            yield walk.rows()
+        self._set_aside(walk, held)
+        if self.numbered:
+            self._go_on(walk, held)
+            self._wake_at(walk.latest)
+        else:
+            yield from self._without_missing(walk)
+        self.last.update(walk.state())
+        yield walk.rows()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        """Nothing came for as long as frames are waited for."""
+        walk = self._walk(key[0])
+        yield from self._without_missing(walk)
+        self.last.update(walk.state())
+        yield walk.rows()
+
+    def _wake_at(self, latest: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(latest)
+
+    def _chunk(self, number: int) -> dict[int, list]:
+        if not self.waiting.containsKey((number,)):
+            return {}
+        return {frame[1]: frame for frame in json.loads(self.waiting.getValue((number,))[0])}
+
+    def _go_on(self, walk: Walk, held: dict) -> None:
+        """Take frames while the next one is there, in ``held`` or in the state."""
+        while True:
+            while walk.turn in held:
+                walk.step(held.pop(walk.turn))
+            number = walk.turn // self.chunk
+            stored = self._chunk(number)
+            if walk.turn not in stored:
+                return
+            self.waiting.removeKey((number,))
+            for seq, frame in stored.items():
+                if seq in held:
+                    walk.too_late(held[seq])
+                held[seq] = frame
+
+    def _set_aside(self, walk: Walk, held: dict) -> None:
+        """Move what waits to the state."""
+        chunks = defaultdict(dict)
+        for seq, frame in held.items():
+            chunks[seq // self.chunk][seq] = frame
+        held.clear()
+        for number, frames in chunks.items():
+            stored = self._chunk(number)
+            for seq in frames.keys() & stored.keys():
+                walk.too_late(frames[seq])
+            self.waiting.updateValue((number,), (json.dumps(list((frames | stored).values())),))
+
+    def _without_missing(self, walk: Walk) -> Iterator[pd.DataFrame]:
+        """Take all frames that wait, in order, an entry at a time."""
+        for number in sorted(k[0] for k in list(self.waiting.keys())):
+            stored = self._chunk(number)
+            self.waiting.removeKey((number,))
+            for seq in sorted(stored):
+                walk.step(stored[seq])
+            yield walk.rows()
+
+    def close(self) -> None:
+        pass
+
+
+def _tracked(rows: DataFrame, numbered: bool) -> DataFrame:
+    return rows.select(*COLUMNS).groupBy("clip_id").transformWithStateInPandas(
+        BarTracker(numbered), OUTPUT_DDL, "append", "EventTime")
+
+
+def track_endcap_stream(rows: DataFrame, patience: str = PATIENCE) -> DataFrame:
     """Chosen bar and running shake for a stream in the layout of `frame_stream`.
 
-    Bound a micro-batch at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
-    Rows with ``late`` set hold a late frame's number and nothing else of note.
+    ``arrived`` says when a row was delivered; without that column it is when Spark reads it.
+    A clip's missing frames are given up once rows arrive that are later than its last by
+    more than ``patience``.  Bound a micro-batch at the source (``maxFilesPerTrigger``,
+    ``maxOffsetsPerTrigger``).  Rows with ``late`` set hold a late frame's number and nothing
+    else of note.
     """
-    return rows.select(*COLUMNS).groupBy("clip_id").applyInPandasWithState(
-        follow, OUTPUT_DDL, STATE, "append", GroupStateTimeout.NoTimeout)
+    if "arrived" not in rows.columns:
+        rows = rows.withColumn("arrived", F.current_timestamp())
+    return _tracked(rows.withWatermark("arrived", patience), numbered=True)
+
 
+def run_available(
+    rows: DataFrame, path: str, checkpoint: str, patience: str = PATIENCE, tracked=None,
+) -> int:
+    """Work off everything the source holds now; late frames go to ``late=true`` below ``path``.
 
-def run_available(rows: DataFrame, path: str, checkpoint: str) -> None:
-    """Work off everything the source holds now; late frames go to ``late=true`` below ``path``."""
-    tracked = track_endcap_stream(rows)
+    Returns how many rows came too late for the watermark, which are in neither folder.
+    """
+    tracked = track_endcap_stream(rows, patience) if tracked is None else tracked
+    spark = rows.sparkSession
     # a partitioned sink needs rows in Spark's own form, which a projection makes of them
     split = tracked.withColumn("late", F.coalesce("late", F.lit(False)))
-    query = (
-        split.writeStream.format("parquet").outputMode("append")
-        .partitionBy("late").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start(path))
+    before = spark.conf.get(STORE_KEY, None)
+    spark.conf.set(STORE_KEY, STORE)  # map state and timers need it; read when a query starts
+    try:
+        query = (
+            split.writeStream.format("parquet").outputMode("append")
+            .partitionBy("late").option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start(path))
+    finally:
+        if before is None:
+            spark.conf.unset(STORE_KEY)
+        else:
+            spark.conf.set(STORE_KEY, before)
     query.awaitTermination()
+    return sum(operator["numRowsDroppedByWatermark"] for progress in query.recentProgress
+               for operator in progress["stateOperators"])

@@ -815,6 +815,48 @@ STATEMENTS = {
 }
 STATEMENTS["track_endcap_stream_bounded"] = STATEMENTS["track_endcap_stream"]
 
+# the stream without some frames, which come late
+part("g_frames", """
+SELECT f.clip_id, f.frame, f.shake_dx, f.shake_dy, f.frame % 17 = 5 AND f.frame < l.frame AS late
+FROM fx_frames f JOIN (SELECT clip_id, max(frame) AS frame FROM fx_frames GROUP BY clip_id) l
+  ON f.clip_id = l.clip_id
+""")
+part("g_cands", """
+SELECT c.* EXCLUDE (step), dense_rank() OVER (PARTITION BY c.clip_id ORDER BY c.frame) AS step
+FROM cands c JOIN g_frames f ON c.clip_id = f.clip_id AND c.frame = f.frame WHERE NOT f.late
+""")
+part("g_walk", """
+SELECT clip_id, frame, step, det_id, cx, cy FROM (SELECT *, row_number() OVER (
+   PARTITION BY clip_id ORDER BY first_key, det_id) AS place FROM g_cands WHERE step = 1) q
+WHERE place = 1
+UNION ALL
+SELECT clip_id, frame, step, det_id, cx, cy FROM (
+  SELECT c.*, row_number() OVER (PARTITION BY c.clip_id ORDER BY
+    (c.cx - w.cx)*(c.cx - w.cx) + (c.cy - w.cy)*(c.cy - w.cy), c.det_id) AS place
+  FROM g_walk w JOIN g_cands c ON c.clip_id = w.clip_id AND c.step = w.step + 1) q
+WHERE place = 1
+""")
+part("g_shaken", """
+SELECT *, sum(CASE WHEN late THEN 0 ELSE shake_dx END) OVER up AS sx,
+  sum(CASE WHEN late THEN 0 ELSE shake_dy END) OVER up AS sy
+FROM (SELECT * FROM g_frames) q
+WINDOW up AS (PARTITION BY clip_id ORDER BY late, frame)
+""")
+STATEMENTS["track_endcap_stream_gaps"] = f"""
+    SELECT f.clip_id, f.frame, w.det_id, w.cx, w.cy, {r("f.sx")} AS total_shake_x,
+      {r("f.sy")} AS total_shake_y, {r("w.cx - f.sx")} AS barbell_x_stable,
+      {r("w.cy - f.sy")} AS barbell_y_stable, f.late
+    FROM g_shaken f LEFT JOIN g_walk w ON f.clip_id = w.clip_id AND f.frame = w.frame"""
+part("raw_shaken", """
+SELECT clip_id, frame, sum(shake_dx) OVER up AS sx, sum(shake_dy) OVER up AS sy
+FROM shake WINDOW up AS (PARTITION BY clip_id ORDER BY frame)
+""")
+STATEMENTS["track_endcap_raw_stream"] = f"""
+    SELECT f.clip_id, f.frame, w.det_id, w.cx, w.cy, {r("f.sx")} AS total_shake_x,
+      {r("f.sy")} AS total_shake_y, {r("w.cx - f.sx")} AS barbell_x_stable,
+      {r("w.cy - f.sy")} AS barbell_y_stable, CAST(0 AS BIGINT) AS late_frames
+    FROM raw_shaken f LEFT JOIN walk w ON f.clip_id = w.clip_id AND f.frame = w.frame"""
+
 
 def all_sql() -> dict[str, str]:
     return {name: sql(statement) for name, statement in STATEMENTS.items()}

@@ -267,3 +267,130 @@ def test_bounded_stream_loses_no_frame(spark, tracks, cands):
     run_available(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(
         f"{path}/in"), f"{path}/out", f"{path}/checkpoint")
     check_stream(tracks, cands, spark.read.parquet(f"{path}/out"))
+
+
+def hot_clip(spark, frames):
+    return spark.range(frames).selectExpr(
+        "1L AS clip_id", "id AS frame", "id AS seq", "0.5D AS shake_dx", "-0.25D AS shake_dy",
+        "array(0L, 1L) AS det_ids", "array(1D, 2D) AS first_keys",
+        "array(id % 7, 100L + id) AS cxs", "array(5L, 6L) AS cys")
+
+
+def deliver(spark, rows, path, files=1, **how):
+    rows.repartition(files, F.hash("frame")).sortWithinPartitions(F.desc("frame")).write.mode(
+        "append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(
+        f"{path}/in")
+    return run_available(stream, f"{path}/out", f"{path}/checkpoint", **how)
+
+
+def test_a_hot_clip_loses_no_frame(spark):
+    """50,000 frames of one clip over four files, each in descending order."""
+    path = scratch_path(spark, "stream")
+    assert deliver(spark, hot_clip(spark, 50_000), path, files=4) == 0
+    out = spark.read.parquet(f"{path}/out")
+    assert out.where("cast(late as boolean)").isEmpty()
+    assert out.agg(F.count("*"), F.countDistinct("frame"), F.max("total_shake_x"),
+                   F.max("late_frames")).first() == (50_000, 50_000, 25_000.0, 0)
+
+
+def arriving(rows, day):
+    return rows.withColumn("arrived", F.lit(f"2024-01-{day:02}").cast("timestamp"))
+
+
+def test_missing_frames_are_given_up_by_the_watermark_alone(spark):
+    path = scratch_path(spark, "stream")
+    rows = hot_clip(spark, 2_000)
+    other = rows.where("frame = 0").withColumn("clip_id", F.lit(2).cast("bigint"))
+    deliver(spark, arriving(rows.where("frame <> 700"), 1), path)
+    shown = spark.read.parquet(f"{path}/out")
+    assert shown.count() == 700  # however many wait, they wait
+    deliver(spark, arriving(other, 4), path)
+    out = spark.read.parquet(f"{path}/out").where("clip_id = 1")
+    assert out.count() == 1_999 and out.where("cast(late as boolean)").isEmpty()
+    assert out.agg(F.max("total_shake_y")).first()[0] is not None
+    deliver(spark, arriving(rows.where("frame = 700"), 5), path)
+    late = spark.read.parquet(f"{path}/out").where("cast(late as boolean)")
+    assert rows_of(late.select("clip_id", "frame", "late_frames")) == [(1, 700, 1)]
+
+
+def test_rows_behind_the_watermark_are_counted(spark):
+    path = scratch_path(spark, "stream")
+    rows = hot_clip(spark, 10)
+    deliver(spark, arriving(rows.where("frame < 5"), 9), path)
+    assert deliver(spark, arriving(rows.where("frame >= 5"), 2), path) == 5
+
+
+class FakeState(dict):
+    """A map or value state of one key, in memory."""
+
+    def exists(self):
+        return "v" in self
+
+    def get(self, key="v"):
+        return super().get(key)
+
+    def update(self, value):
+        self["v"] = value
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self
+
+    getValue = dict.__getitem__  # noqa: N815
+    updateValue = dict.__setitem__  # noqa: N815
+    removeKey = dict.pop  # noqa: N815
+
+
+class FakeHandle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self.states.setdefault(name, FakeState())
+
+    getMapState = lambda self, name, key, value: self.getValueState(name, key)  # noqa: N815, E731
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+
+@pytest.mark.parametrize("chunk, held", [(1, 0), (3, 2), (256, 20_000)])
+def test_any_order_over_any_chunks(chunk, held):
+    """The processor alone, on shuffled frames with repeats, in batches of any size."""
+    import random
+
+    import pandas as pd
+
+    from liftengine.streaming.tracker import BarTracker
+
+    rng = random.Random(chunk)
+    order = [*range(40), 7, 7, 30]
+    rng.shuffle(order)
+    tracker, seen, handle = BarTracker(chunk=chunk, held=held), [], FakeHandle()
+    tracker.init(handle)
+    while order:
+        batches = []
+        for _ in range(rng.randint(1, 3)):
+            took = [order.pop() for _ in range(min(len(order), rng.randint(1, 6)))]
+            if took:
+                import numpy as np
+
+                batches.append(pd.DataFrame({
+                    "frame": [10 + 2 * i for i in took], "seq": took,
+                    "shake_dx": 1.0, "shake_dy": 0.0, "det_ids": [np.array([0])] * len(took),
+                    "first_keys": [np.array([0.0])] * len(took),
+                    "cxs": [np.array([i]) for i in took], "cys": [np.array([0])] * len(took),
+                    "arrived": pd.Timestamp("2024-01-01")}))
+        seen += [row for out in tracker.handleInputRows((5,), iter(batches), None)
+                 for row in out.itertuples()]
+    taken = [row for row in seen if not row.late]
+    assert [(r.frame, r.cx, r.total_shake_x) for r in taken] == [
+        (10 + 2 * i, i, i + 1.0) for i in range(40)]
+    assert sorted(r.frame for r in seen if r.late) == [24, 24, 70]
+    assert not handle.states["waiting"] and len(handle.timers) == 1
