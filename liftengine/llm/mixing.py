@@ -72,35 +72,20 @@ def _rank(p: Column) -> Column:
     return F.when(p > 0, odds / (1 + odds)).otherwise(F.lit(1.0))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0,
-        seed: int = 7, columns=None) -> DataFrame:
-    """Each row with size, source_size, target, copies and taken.
+def _plan(sized: DataFrame, weights, share: float, most: float) -> DataFrame:
+    """One row per source: its target, and the bin and place in which the target is reached.
 
-    ``columns`` are those of ``docs`` to carry along, all by default.  Texts are read once:
-    sizes and hashes go to a scratch table with the carried columns.
+    ``sized`` has source, size and hashed.  The plan is written down, so that its size is
+    known where it is joined to the rows, which then stay where they are.
     """
-    made = {"size", "source_size", "target", "copies", "taken"}
-    own = [c for c in (columns or docs.columns) if c.lower() not in made]
-    # what is carried goes in one struct, so that no name of it can clash
-    sized = write_scratch(docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("source"),
-        F.size(words(text_of())).cast("bigint").alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id"), text_of()).alias("hashed")), "mix")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    aims = targets(per_source, weights, share, most).select(
-        F.col("source").alias("aim_source"), "source_size", "target",
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
-        .otherwise(F.lit(0.0)).alias("ratio"),
-    ).withColumn("certain", F.floor("ratio")).withColumn(
-        "p", F.col("ratio") - F.col("certain"))
-    ranked = sized.join(aims, F.col("source").eqNullSafe(F.col("aim_source"))).drop(
-        "aim_source").withColumn("rank_at", _rank(F.col("p"))).withColumn(
-        "bin", F.least(F.floor(F.col("rank_at") * (BINS * BINS)), F.lit(BINS * BINS - 1))
-    ).withColumn("high", F.floor(F.col("bin") / BINS))
-    narrow = ranked.select("source", "high", "bin", "size",
-                           (F.col("p") * F.col("source_size")).alias("wanted"))
-    fine = narrow.groupBy("source", "high", "bin").agg(
-        F.sum("size").alias("words"), F.max("wanted").alias("wanted"))
+    aims = write_scratch(targets(per_source, weights, share, most).withColumn(
+        "ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
+        .otherwise(F.lit(0.0))).withColumn("certain", F.floor("ratio")).withColumn(
+        "p", F.col("ratio") - F.col("certain")), "aims")
+    fine = _binned(sized, aims).groupBy("source", "high", "bin").agg(
+        F.sum("size").alias("words"),
+        F.max(F.col("p") * F.col("source_size")).alias("wanted"))
     coarse = fine.groupBy("source", "high").agg(
         F.sum("words").alias("words"), F.max("wanted").alias("wanted"))
     # the bin in which the target is reached: first of 256, then of the 256 within it
@@ -111,20 +96,56 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     cut = _crossing(inner, "bin", F.col("outside")).select(
         F.col("source").alias("cut_source"), F.col("bin").alias("cut_bin"),
         F.col("before").alias("cut_before"))
-    placed = ranked.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left")
-    results = [F.col(c) for c in ("row", "size", "source_size", "target", "certain")]
-    sums = Window.partitionBy("source").orderBy("rank_at", "hashed", "size").rowsBetween(
+    return write_scratch(aims.join(
+        cut, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source"), "cuts")
+
+
+def _binned(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows (source, hashed, ...) with their source's plan and the bin of their rank."""
+    named = plan.withColumnRenamed("source", "plan_source")
+    return rows.join(named, F.col("source").eqNullSafe(F.col("plan_source"))).drop(
+        "plan_source").withColumn("rank_at", _rank(F.col("p"))).withColumn(
+        "bin", F.least(F.floor(F.col("rank_at") * (BINS * BINS)), F.lit(BINS * BINS - 1))
+    ).withColumn("high", F.floor(F.col("bin") / BINS))
+
+
+def _taken(rows: DataFrame, plan: DataFrame, results: list[str], size: Column) -> DataFrame:
+    """``results`` of each row with its ``copies``; ``size`` is worked out only where needed."""
+    placed = _binned(rows, plan)
+    sums = Window.partitionBy("source").orderBy("rank_at", "hashed", "words_at_edge").rowsBetween(
         Window.unboundedPreceding, -1)
-    before = F.col("cut_before") + F.coalesce(F.sum("size").over(sums), F.lit(0))
+    before = F.col("cut_before") + F.coalesce(F.sum("words_at_edge").over(sums), F.lit(0))
     # the document that crosses the target is taken if that comes nearer to it
-    edge = placed.where(F.col("bin") == F.col("cut_bin")).select(
-        *results, (before + F.col("size") / 2.0 <= F.col("p") * F.col("source_size"))
+    edge = placed.where(F.col("bin") == F.col("cut_bin")).withColumn(
+        "words_at_edge", size).select(*results, "certain", (
+            before + F.col("words_at_edge") / 2.0 <= F.col("p") * F.col("source_size"))
         .cast("int").alias("extra"))
     others = placed.where(F.col("cut_bin").isNull() | (F.col("bin") != F.col("cut_bin"))).select(
-        *results, F.coalesce(F.col("bin") < F.col("cut_bin"), F.lit(False))
+        *results, "certain", F.coalesce(F.col("bin") < F.col("cut_bin"), F.lit(False))
         .cast("int").alias("extra"))
-    copies = (F.col("certain") + F.col("extra")).cast("int")
-    return others.unionByName(edge).withColumn("copies", copies).select(
+    return others.unionByName(edge).select(
+        *results, (F.col("certain") + F.col("extra")).cast("int").alias("copies"))
+
+
+def _hashed(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), text_of()).alias("hashed")
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0,
+        seed: int = 7, columns=("doc_id",)) -> DataFrame:
+    """Each row with size, source_size, target, copies and taken.
+
+    ``columns`` are those of ``docs`` to carry along; they go to a scratch table with sizes
+    and hashes, so that texts are read once.
+    """
+    made = {"size", "source_size", "target", "copies", "taken"}
+    own = [c for c in columns if c.lower() not in made]
+    # what is carried goes in one struct, so that no name of it can clash
+    sized = write_scratch(docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("source"),
+        F.size(words(text_of())).cast("bigint").alias("size"), _hashed(seed)), "mix")
+    plan = _plan(sized.select("source", "size", "hashed"), weights, share, most)
+    return _taken(sized, plan, ["row", "size", "source_size", "target"], F.col("size")).select(
         *[F.col("row")[c].alias(c) for c in own], "size", "source_size", "target", "copies",
         (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -139,11 +160,20 @@ def _crossing(bins: DataFrame, key: str, start: Column | None = None) -> DataFra
         & (F.col("before") + F.col("words") >= F.col("wanted")))
 
 
-def sample(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"),
-                         "doc_id", "source", "text")
+def sample(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0,
+           seed: int = 7) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with the columns of ``docs``.
+
+    Only sizes and hashes are sent anywhere for the decision.  Texts stay where they are read,
+    but for the few in the bins in which targets are reached.
+    """
+    narrow = write_scratch(docs.select(
+        "source", F.size(words(text_of())).cast("bigint").alias("size"), _hashed(seed)), "mix")
+    plan = _plan(narrow, weights, share, most)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"),
+                       "source", _hashed(seed))
+    held_text = F.coalesce(F.col("held")["text"], F.lit(""))
+    taken = _taken(rows, plan, ["held"], F.size(words(held_text)).cast("bigint"))
     repeats = F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))).otherwise(
         F.array().cast("array<int>"))
-    return mix(packed, columns=("held",), **how).select(
-        "held", F.explode(repeats).alias("copy")).select("held.*")
+    return taken.select("held", F.explode(repeats).alias("copy")).select("held.*")
