@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracle
-from fixtures.events import CLASS_NAMES, EventTables
+from fixtures.events import CLASS_NAMES, EventTables, RoughTables
 from liftengine import schema
-from liftengine.functions.geometry import to_normalized, to_pixels
+from liftengine.functions.geometry import to_normalized, to_pixels, truncate
 from liftengine.functions.text import (
     box_to_text, landmarks_to_text, text_to_box, text_to_landmarks,
 )
@@ -23,7 +23,7 @@ from liftengine.plans.span import ROWS_PER_TASK
 from liftengine.sources import sinks
 from liftengine.sources.scratch import scratch_path, write_scratch
 from liftengine.sources.tracks import (
-    clip_defaults, clip_problems, read_tracks, with_clip_metadata,
+    clip_defaults, clip_problems, read_tracks, validate_tracks, with_clip_metadata,
 )
 from liftengine.streaming.raw import track_raw_stream
 from liftengine.streaming.tracker import frame_stream, run_available
@@ -107,6 +107,33 @@ class Fleet:
         return faults.critique(self.analysis(), self.clips, self.span)
 
 
+class RoughFleet(Fleet):
+    """The clips that are left of a rough fleet once the unusable ones are set aside."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, rows_per_task: int = ROWS_PER_TASK):
+        super().__init__(spark, sf_dir, rows_per_task)
+        self.tables = RoughTables(spark, sf_dir, rows_per_task)
+
+    @cached_property
+    def good(self):
+        return validate_tracks(self.tables.tracks())[0]
+
+    @cached_property
+    def clips(self):
+        return clip_defaults(self.good.clips)
+
+    @property
+    def frames(self):
+        return self.good.frames
+
+    @property
+    def landmarks(self):
+        return self.good.landmarks
+
+    def sized(self):
+        return with_clip_metadata(self.frames, self.good.clips, self.span)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the technique faults of every clip."""
     return faults.faults(Fleet(spark, "/root/testdata/sf0.001").critique())
@@ -332,6 +359,33 @@ def q_path_trail_last_frame(f: Fleet):
         overlay.path_trail(analysed, f.span), overlay.last_states(f.states(analysed)), f.span)
 
 
+def q_trail_frames(f: Fleet, top=overlay.TOP):
+    """Every frame's trail as polylines, with the pixels that each begins and ends at."""
+    analysed = write_scratch(f.full_analysis())
+    pieces = overlay.trail_pieces(overlay.path_trail(analysed, f.span), top)
+    ends = pieces.select(
+        "clip_id", "level", "number", F.col("segments")[0].alias("a"),
+        F.element_at("segments", -1).alias("b"))
+    shown = overlay.frame_pieces(f.states(analysed), top)
+    # of a run of the longest, its last polyline
+    last = shown.withColumn("number", F.col("number") + F.col("count") - 1)
+    return last.join(ends, ["clip_id", "level", "number"]).select(
+        *KEY, F.col("level").cast("bigint").alias("level"), "number", "count",
+        F.col("a.segment").alias("first_segment"), F.col("b.segment").alias("last_segment"),
+        *[truncate(F.col(end)[c] + F.col(f"shake_{c[0]}")).alias(c)
+          for end, c in (("a", "x1"), ("a", "y1"), ("b", "x2"), ("b", "y2"))])
+
+
+def q_trail_all_frames(f: Fleet):
+    """Segments and pixel sums of every frame's whole trail, written out piece by piece."""
+    analysed = write_scratch(f.full_analysis())
+    drawn = overlay.trail_on_frames(
+        overlay.path_trail(analysed, f.span), f.states(analysed), f.span, top=3)
+    return drawn.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("segments"),
+        *[F.sum(c).alias(f"sum_{c}") for c in ("x1", "y1", "x2", "y2")])
+
+
 def q_edge_colors(f: Fleet):
     edges = overlay.skeleton_edges(f.full_analysis())
     bgr = F.create_map(*[
@@ -394,6 +448,11 @@ def q_analyze_detections(f: Fleet):
     return summary.withColumn("detection_rate", rounded("detection_rate"))
 
 
+def q_analyze_rough(f: RoughFleet, part):
+    """A table of the whole run over the rough fleet, which sets its bad clips aside itself."""
+    return fleet.analyze(f.tables.tracks())[part]
+
+
 def stream_columns(out: DataFrame):
     totals = ("total_shake_x", "total_shake_y", "barbell_x_stable", "barbell_y_stable")
     return out.where("not cast(late as boolean)").select(
@@ -526,6 +585,9 @@ _QUERIES = {
     "frame_state": q_frame_state,
     "path_trail": q_path_trail,
     "path_trail_last_frame": q_path_trail_last_frame,
+    "trail_frames": q_trail_frames,
+    "trail_frames_short": lambda f: q_trail_frames(f, top=3),
+    "trail_all_frames": q_trail_all_frames,
     "box_primitives": lambda f: overlay.box_primitives(f.full_analysis()),
     "skeleton_edges": lambda f: overlay.skeleton_edges(f.full_analysis()),
     "edge_colors": q_edge_colors,
@@ -553,9 +615,30 @@ _QUERIES = {
 }
 
 
+#: Queries over the rough fleet, in which every kind of problem occurs.
+_ROUGH = {
+    "validate_tracks_rough": lambda f: clip_problems(f.tables.clips, f.tables.frames),
+    "chart_status_rough": lambda f: q_chart_status(f, charts.chart_status),
+    "skipped_charts_rough": lambda f: q_chart_status(f, charts.skipped_charts),
+    "lift_phases_rough": _QUERIES["lift_phases"],
+    "fault_sp_jump_rough": _QUERIES["fault_sp_jump"],
+    "fault_sp_jump_px_rough": _QUERIES["fault_sp_jump_px"],
+    "critique_status_rough": _QUERIES["critique_status"],
+    "final_projection_rough": _QUERIES["final_projection"],
+    "empty_columns_rough": lambda f: schema.empty_columns(
+        f.analysis().drop("right_shoulder_y"), phases.REQUIRED),
+    "analyze_quarantined": lambda f: q_analyze_rough(f, "quarantined"),
+    "analyze_faults": lambda f: q_analyze_rough(f, "faults"),
+    "analyze_status": lambda f: q_analyze_rough(f, "critique_status"),
+    "analyze_skipped_charts": lambda f: q_analyze_rough(f, "skipped_charts"),
+    "analyze_report": lambda f: q_analyze_rough(f, "report"),
+    "analyze_run_summary": lambda f: q_analyze_rough(f, "run_summary").withColumn(
+        "detection_rate", rounded("detection_rate")),
+}
+
 #: Queries that are also run with their clips cut into blocks, as very long clips are.
 _BLOCKED = ("final_projection", "track_endcap", "faults", "overlay", "chart_series",
-            "bar_path_segments", "frame_state", "analyze_detections")
+            "bar_path_segments", "frame_state", "analyze_detections", "trail_all_frames")
 BLOCKED_ROWS = 20
 
 
@@ -574,7 +657,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             Fleet(spark, sf_dir, BLOCKED_ROWS)))
         for name in _BLOCKED
     }
-    return whole | blocked | optional_queries()
+    rough = {
+        name: (lambda spark, sf_dir, build=build: build(RoughFleet(spark, sf_dir)))
+        for name, build in _ROUGH.items()
+    }
+    return whole | rough | blocked | optional_queries()
 
 
 def oracle_sql() -> dict[str, str]:

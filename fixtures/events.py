@@ -206,6 +206,42 @@ class EventTables:
             detections=self.detections, flow=self.flow, span=self.span)
 
 
+class RoughTables(EventTables):
+    """The same clips as a careless recording gives them, by their number modulo 7.
+
+    1: the ankles rise; 2: the bar stays down; 3: no frame rate; 4: a frame comes twice;
+    5: no frames; 6: no bar at all, and of the odd ones no more than the first two frames.
+    """
+
+    @cached_property
+    def clips(self):
+        return super().clips.withColumn("fps", F.expr(
+            "CASE WHEN clip_id % 7 = 3 THEN 0D ELSE fps END"))
+
+    def _kept(self, rows):
+        return rows.where("clip_id % 7 <> 5 AND (clip_id % 14 <> 13 OR frame < 2)")
+
+    @cached_property
+    def frames(self):
+        rows = self._kept(super().frames).withColumns({
+            "barbell_x_raw": F.expr("CASE WHEN clip_id % 7 <> 6 THEN barbell_x_raw END"),
+            "barbell_y_raw": F.expr("""CASE WHEN clip_id % 7 = 6 THEN NULL
+                WHEN clip_id % 7 = 2 AND barbell_y_raw IS NOT NULL THEN 918D
+                ELSE barbell_y_raw END""")})
+        times = "CASE WHEN clip_id % 7 = 4 AND frame = 10 THEN array(1, 2) ELSE array(1) END"
+        return rows.select("*", F.explode(F.expr(times)).alias("_time")).drop("_time")
+
+    @cached_property
+    def landmarks(self):
+        return self._kept(super().landmarks).withColumn("y", F.expr("""
+            CASE WHEN clip_id % 7 = 1 AND landmark LIKE '%ankle'
+            THEN y - 4 * least(greatest(frame - 24, 0), 20) / 1000D ELSE y END"""))
+
+    def tracks(self) -> Tracks:
+        return Tracks(clips=self.clips, frames=self.frames, landmarks=self.landmarks,
+                      span=self.span)
+
+
 def tracks_from_events(
     spark: SparkSession, sf_dir: str, rows_per_task: int = ROWS_PER_TASK,
 ) -> Tracks:

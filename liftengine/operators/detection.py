@@ -184,8 +184,8 @@ def track_endcap(cands: DataFrame, span=Whole()) -> DataFrame:
 
     Each choice depends on the one before, so a clip is folded in frame order.  Long
     clips are cut into blocks: every block is folded once from each option of its first
-    frame, the short list of outcomes is chained along the clip, and only then the
-    block's own choices are written out.
+    frame, outcomes are composed over groups of blocks, groups of groups and so on, and
+    only then the blocks' own choices are written out.
     """
     frames = _steps_by_frame(cands)
     if isinstance(span, Whole):
@@ -203,29 +203,62 @@ def track_endcap(cands: DataFrame, span=Whole()) -> DataFrame:
     return steps.select("clip_id", F.inline(path))
 
 
-def _blocked_steps(frames: DataFrame, span) -> DataFrame:
-    """Steps per block of a clip, with the entry choice that the earlier blocks lead to."""
-    cut = frames.withColumn(BLOCK, F.floor(F.col("frame") / F.lit(span.fold_size)).cast("bigint"))
-    blocks = write_scratch(cut.groupBy("clip_id", BLOCK).agg(_ordered_steps()))
+def _summed_up(groups: DataFrame, leave) -> DataFrame:
+    """Per group of steps, the options of its first step with the centre that each leads to.
+
+    ``leave(option)`` is the centre after an option of a single step.
+    """
+    rest = F.slice("steps", 2, F.size("steps"))
 
     def outcome(c):
-        rest = F.slice("steps", 2, F.size("steps"))
-        leaves = F.aggregate(
-            rest, _state(c["cx"], c["cy"]),
-            lambda s, step: _bind(_pick(step["options"], s), lambda p: _state(*_center(p))))
-        return F.struct(c["det_id"].alias("det_id"), c["first_key"].alias("first_key"),
-                        c["cx"].alias("cx"), c["cy"].alias("cy"), leaves.alias("leaves"))
-
-    summary = blocks.select(
+        left = F.aggregate(
+            rest, _state(*leave(c)),
+            lambda s, step: _bind(_pick(step["options"], s), lambda p: _state(*leave(p))))
+        return _bind(left, lambda s: F.struct(
+            *[c[name].alias(name) for name in ("det_id", "first_key", "cx", "cy")],
+            s["sx"].alias("lx"), s["sy"].alias("ly")))
+
+    return groups.select(
         "clip_id", BLOCK, F.transform(F.col("steps")[0]["options"], outcome).alias("options"))
-    chain = summary.groupBy("clip_id").agg(
-        F.sort_array(F.collect_list(F.struct(BLOCK, "options"))).alias("steps"))
-    entries = _follow(
-        F.col("steps"), _no_state(),
-        lambda step, c: F.struct(step[BLOCK].alias(BLOCK), c["det_id"].alias("_entry")),
-        lambda c: (c["leaves"]["sx"], c["leaves"]["sy"]),
-        f"struct<{BLOCK}:bigint,_entry:bigint>")
-    return blocks.join(chain.select("clip_id", F.inline(entries)), ["clip_id", BLOCK])
+
+
+def _left(c):
+    return c["lx"], c["ly"]
+
+
+def _blocked_steps(frames: DataFrame, span) -> DataFrame:
+    """Steps per block of a clip, with the entry choice that the earlier blocks lead to.
+
+    An option's way through a block is a map from options to centres, and such maps compose.
+    So blocks are grouped by ``fold_fan``, each group becomes one step of the level above, and
+    so on until a clip is one group.  Its first choice then goes down again, level by level.
+    No row holds more than ``fold_fan`` blocks or ``fold_size`` frames.
+    """
+    cut = frames.withColumn(BLOCK, F.floor(F.col("frame") / F.lit(span.fold_size)).cast("bigint"))
+    blocks = write_scratch(cut.groupBy("clip_id", BLOCK).agg(_ordered_steps()))
+    summary, groups = write_scratch(_summed_up(blocks, _center)), []
+    highest = blocks.agg(F.max(BLOCK)).first()[0] or 0
+    while highest:
+        up = F.floor(F.col(BLOCK) / span.fold_fan).cast("bigint")
+        groups.append(write_scratch(summary.groupBy("clip_id", up.alias("_up")).agg(
+            F.sort_array(F.collect_list(F.struct(BLOCK, "options"))).alias("steps")
+        ).withColumnRenamed("_up", BLOCK)))
+        summary = write_scratch(_summed_up(groups[-1], _left))
+        highest //= span.fold_fan
+    first = _pick(F.col("options"), _no_state())
+    entries = summary.select("clip_id", BLOCK, first["det_id"].alias("_entry"))
+    for group in reversed(groups):
+        head, rest = F.col("steps")[0], F.slice("steps", 2, F.size("steps"))
+        entry = F.filter(head["options"], lambda c: c["det_id"] == F.col("_entry"))[0]
+
+        def note(step, c):
+            return F.struct(step[BLOCK].alias("_child"), c["det_id"].alias("_entry"))
+
+        chosen = F.concat(F.array(note(head, entry)), _follow(
+            rest, _state(*_left(entry)), note, _left, "struct<_child:bigint,_entry:bigint>"))
+        entries = group.join(entries, ["clip_id", BLOCK]).select(
+            "clip_id", F.inline(chosen)).withColumnRenamed("_child", BLOCK)
+    return blocks.join(entries, ["clip_id", BLOCK])
 
 
 # --- shake -----------------------------------------------------------------------

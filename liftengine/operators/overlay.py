@@ -3,15 +3,20 @@
 The bar trail of a frame is every earlier path segment moved by that frame's shake.
 Written out for all frames this grows with the square of a clip's length, so it is kept
 in two linear tables: the segments, each with the frame it appears on, and per frame the
-shift and the number of points in sight.  `trail_on_frames` joins the two for the frames
-one wants to draw.
+shift and the number of points in sight.
+
+For drawing, `trail_pieces` cuts the path into polylines of 1, 2, 4, ... segments, and
+`frame_pieces` says of which few a frame's trail consists: one for every digit 1 of its
+number of segments in binary, and a run of the longest.  So all frames of a clip need
+n log n references and as many stored segments.  `trail_on_frames` joins the two into whole
+pixels for the frames one wants to draw; its size is what is asked for.
 """
 
 from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liftengine.functions.geometry import body_part, to_pixels, truncate
@@ -22,8 +27,8 @@ from liftengine.schema import LANDMARKS, SKELETON_EDGES
 from liftengine.sources.tracks import clip_defaults
 
 
-# frames of one clip for which the trail may be written out
-TRAIL_FRAMES = 64
+# the longest polyline has 2 to the power of this many segments
+TOP = 10
 
 
 def render_plan(analysis: DataFrame, clips: DataFrame, span=Whole()) -> DataFrame:
@@ -97,21 +102,55 @@ def last_states(states: DataFrame) -> DataFrame:
         "clip_id", *[f"s.{name}" for name in fields])
 
 
-def trail_on_frames(trail: DataFrame, states: DataFrame, span=Whole()) -> DataFrame:
-    """The trail in whole pixels on chosen frames: a few rows of `frame_state` per clip.
+def trail_pieces(trail: DataFrame, top: int = TOP) -> DataFrame:
+    """Polylines (clip_id, level, number, segments): ``number`` counts runs of 2^level segments.
+
+    Segments are gathered once, in runs of the longest length; shorter pieces are cut from
+    these within the row.  The unfinished run at the end of a clip has its shorter pieces only.
+    """
+    fields = F.struct("segment", "x1", "y1", "x2", "y2", "color")
+    runs = trail.groupBy(
+        "clip_id", F.shiftright(F.col("segment") - 1, top).alias("_run")).agg(
+        F.sort_array(F.collect_list(fields)).alias("_all"))
+
+    def cut(level):
+        count = F.shiftright(F.size("_all"), level)
+        return F.transform(
+            F.filter(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda j: j < count),
+            lambda j: F.struct(
+                F.lit(level).alias("level"),
+                (F.shiftleft("_run", top - level) + j).alias("number"),
+                F.slice("_all", j * (1 << level) + 1, F.lit(1 << level)).alias("segments")))
+
+    return runs.select("clip_id", F.inline(F.flatten(F.array(*[cut(k) for k in range(top + 1)]))))
+
+
+def frame_pieces(states: DataFrame, top: int = TOP) -> DataFrame:
+    """The polylines of each frame's trail, with the frame's shift.
 
-    Each chosen frame repeats the trail before it, so all frames of a clip would be all
-    pairs of its rows; more than ``TRAIL_FRAMES`` of a clip are an error.
+    ``count`` polylines of ``level`` from ``number`` on; only the longest come in runs.
     """
-    chosen = F.count(F.lit(1)).over(Window.partitionBy("clip_id"))
-    shown = states.select(
-        "clip_id", F.col("frame").alias("on_frame"), "shake_x", "shake_y",
-        F.when(chosen > TRAIL_FRAMES, F.raise_error(F.lit(
-            f"choose at most {TRAIL_FRAMES} frames of a clip"))).otherwise(F.col("path_points"))
-        .alias("path_points"))
-    moved = span.attach(trail, shown).where("segment < path_points")
-    return moved.select(
-        "clip_id", F.col("on_frame").alias("frame"), "segment", "color",
+    length = F.greatest(F.col("path_points") - 1, F.lit(0))
+    digits = [F.when(
+        F.shiftright(length, level) % 2 == 1, F.struct(
+            F.lit(level).alias("level"), (F.shiftright(length, level) - 1).alias("number"),
+            F.lit(1).cast("bigint").alias("count"))) for level in range(top)]
+    longest = F.shiftright(length, top)
+    digits.append(F.when(longest > 0, F.struct(
+        F.lit(top).alias("level"), F.lit(0).cast("bigint").alias("number"),
+        longest.alias("count"))))
+    return states.select("clip_id", "frame", "shake_x", "shake_y", F.inline(
+        F.filter(F.array(*digits), lambda d: d.isNotNull())))
+
+
+def trail_on_frames(trail: DataFrame, states: DataFrame, span=Whole(), top: int = TOP):
+    """The trail in whole pixels on the frames of ``states`` (rows of `frame_state`)."""
+    wanted = span.spread(frame_pieces(states, top), F.col("count"), "_nth").withColumn(
+        "number", F.col("number") + F.col("_nth"))
+    drawn = wanted.join(trail_pieces(trail, top), ["clip_id", "level", "number"])
+    return drawn.select(
+        "clip_id", "frame", "shake_x", "shake_y", F.inline("segments")).select(
+        "clip_id", "frame", "segment", "color",
         *[truncate(F.col(c) + F.col(f"shake_{c[0]}")).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 

@@ -32,6 +32,9 @@ from liftengine.sources.scratch import write_scratch
 # rows of one clip that a single task may sort and scan
 ROWS_PER_TASK = 32_768
 BLOCK = "_blk"
+# where blocks are folded row by row: rows of a block, and blocks of a group
+FOLD_ROWS = 4096
+FOLD_FAN = 256
 
 
 def _up(window):
@@ -249,15 +252,16 @@ class Blocks:
     key: str = "clip_id"
     order: tuple[str, ...] = ("frame",)
     block: Column | None = field(default=None, compare=False)
-    longest: int | None = field(default=None, compare=False)
 
     @property
     def fold_size(self) -> int:
-        """Block length where a block is folded row by row and blocks are chained.
+        """Rows of a block that is folded row by row, in one list."""
+        return min(self.size, FOLD_ROWS)
 
-        Near the square root of the longest clip: as many steps in a block as blocks.
-        """
-        return self.size if self.longest is None else max(256, math.isqrt(self.longest))
+    @property
+    def fold_fan(self) -> int:
+        """Blocks, or groups of them, that one row of the level above holds."""
+        return max(4, min(self.size // 8, FOLD_FAN))
 
     def _with_block(self, df):
         if BLOCK in df.columns:
@@ -340,7 +344,7 @@ def span_for(longest: int | None, rows_per_task: int = ROWS_PER_TASK):
     """The span for clips of which the longest has ``longest`` rows."""
     if (longest or 0) <= rows_per_task:
         return Whole()
-    return Blocks(max(rows_per_task, math.isqrt(longest)), longest=longest)
+    return Blocks(max(rows_per_task, math.isqrt(longest)))
 
 
 def longest_group(df: DataFrame, *keys: str) -> int:

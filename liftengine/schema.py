@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # --- fixed values -------------------------------------------------------------
@@ -165,6 +166,21 @@ def require_columns(df, names):
     return df
 
 
+def empty_columns(df, names, key="clip_id"):
+    """One row (key, column) for each of ``names`` that has no value in that clip.
+
+    A column that the table lacks has no value in any clip.  One pre-aggregated pass.
+    """
+    have = set(df.columns)
+    counts = df.groupBy(key).agg(*[
+        (F.count(name) if name in have else F.lit(0).cast("bigint")).alias(f"_n_{name}")
+        for name in names])
+    empty = F.filter(F.array(*[
+        F.when(F.col(f"_n_{name}") == 0, F.lit(name)) for name in names]),
+        lambda name: name.isNotNull())
+    return counts.select(key, F.explode(empty).alias("column"))
+
+
 def with_missing_columns(df, schema):
     """Add each column of ``schema`` that ``df`` lacks, as typed NULL, and cast the rest."""
     have = {f.name: f.dataType for f in df.schema.fields}

@@ -73,22 +73,22 @@ def part(name: str, text: str) -> None:
     PARTS[name] = text.strip()
 
 
-def sql(statement: str) -> str:
+def sql(statement: str, parts: dict[str, str] = PARTS) -> str:
     """``statement`` with every part it uses, directly or not, as a common table."""
     needed: list[str] = []
 
     def visit(text):
         for word in re.findall(r"\b[a-z_0-9]+\b", text):
-            if word in PARTS and word not in needed and word not in open_parts:
+            if word in parts and word not in needed and word not in open_parts:
                 open_parts.append(word)
-                visit(PARTS[word])
+                visit(parts[word])
                 needed.append(word)
 
     open_parts: list[str] = []
     visit(statement)
     if not needed:
         return statement
-    tables = ",\n".join(f"{name} AS MATERIALIZED (\n{PARTS[name]}\n)" for name in needed)
+    tables = ",\n".join(f"{name} AS MATERIALIZED (\n{parts[name]}\n)" for name in needed)
     return f"WITH RECURSIVE {tables}\n{statement.strip()}"
 
 
@@ -815,6 +815,34 @@ STATEMENTS = {
 }
 STATEMENTS["track_endcap_stream_bounded"] = STATEMENTS["track_endcap_stream"]
 
+# trails of all frames as polylines
+def _trail_frames(top: int) -> str:
+    return f"""
+        SELECT s.clip_id, s.frame, s.level, s.number, s.number_of AS count,
+          a.segment AS first_segment, b.segment AS last_segment,
+          CAST(trunc(a.x1 + s.shake_x) AS BIGINT) AS x1, CAST(trunc(a.y1 + s.shake_y) AS BIGINT) AS y1,
+          CAST(trunc(b.x2 + s.shake_x) AS BIGINT) AS x2, CAST(trunc(b.y2 + s.shake_y) AS BIGINT) AS y2
+        FROM (SELECT clip_id, frame, shake_x, shake_y, CAST(l.level AS BIGINT) AS level,
+            CAST(((path_points - 1) >> l.level) - 1 AS BIGINT) AS number,
+            CAST(CASE WHEN l.level = {top} THEN (path_points - 1) >> {top} ELSE 1 END AS BIGINT) AS number_of
+          FROM c_states JOIN (SELECT unnest(range(0, {top} + 1)) AS level) l
+            ON path_points > 1 AND CASE WHEN l.level = {top} THEN (path_points - 1) >> {top} > 0
+              ELSE ((path_points - 1) >> l.level) % 2 = 1 END) s
+        JOIN c_trail a ON a.clip_id = s.clip_id AND a.segment = (s.number << s.level) + 1
+        JOIN c_trail b ON b.clip_id = s.clip_id AND b.segment = (s.number + 1) << s.level"""
+
+
+STATEMENTS["trail_frames"] = _trail_frames(10)
+STATEMENTS["trail_frames_short"] = _trail_frames(3)
+STATEMENTS["trail_all_frames"] = """
+    SELECT s.clip_id, s.frame, CAST(count(*) AS BIGINT) AS segments,
+      CAST(sum(trunc(t.x1 + s.shake_x)) AS BIGINT) AS sum_x1,
+      CAST(sum(trunc(t.y1 + s.shake_y)) AS BIGINT) AS sum_y1,
+      CAST(sum(trunc(t.x2 + s.shake_x)) AS BIGINT) AS sum_x2,
+      CAST(sum(trunc(t.y2 + s.shake_y)) AS BIGINT) AS sum_y2
+    FROM c_states s JOIN c_trail t ON s.clip_id = t.clip_id AND t.segment < s.path_points
+    GROUP BY s.clip_id, s.frame"""
+
 # the stream without some frames, which come late
 part("g_frames", """
 SELECT f.clip_id, f.frame, f.shake_dx, f.shake_dy, f.frame % 17 = 5 AND f.frame < l.frame AS late
@@ -858,5 +886,59 @@ STATEMENTS["track_endcap_raw_stream"] = f"""
     FROM raw_shaken f LEFT JOIN walk w ON f.clip_id = w.clip_id AND f.frame = w.frame"""
 
 
+# --- the rough fleet: other inputs below the same steps ------------------------------------
+ROUGH = {
+    "plain_clips": PARTS["fx_clips"], "plain_frames": PARTS["fx_frames"],
+    "plain_landmarks": PARTS["fx_landmarks"],
+    "all_clips": """
+SELECT clip_id, frame_width, frame_height, CASE WHEN clip_id % 7 = 3 THEN 0e0 ELSE fps END AS fps,
+  total_frames, lift_type FROM plain_clips""",
+    "all_frames": """
+SELECT clip_id, frame, CASE WHEN clip_id % 7 = 6 THEN NULL ELSE barbell_x_raw END AS barbell_x_raw,
+  CASE WHEN clip_id % 7 = 6 OR barbell_y_raw IS NULL THEN NULL WHEN clip_id % 7 = 2 THEN 918e0
+    ELSE barbell_y_raw END AS barbell_y_raw, shake_dx, shake_dy
+FROM plain_frames JOIN (VALUES (1), (2)) t(time)
+  ON t.time = 1 OR (clip_id % 7 = 4 AND frame = 10)
+WHERE clip_id % 7 <> 5 AND (clip_id % 14 <> 13 OR frame < 2)""",
+    "counted": """
+SELECT clip_id, sum(n) AS n, max(n) AS most FROM (
+  SELECT clip_id, frame, count(*) AS n FROM all_frames GROUP BY clip_id, frame) q
+GROUP BY clip_id""",
+    "judged": """
+SELECT c.clip_id, CAST(coalesce(f.n, 0) AS BIGINT) AS n_frames,
+  CASE WHEN f.n IS NULL THEN 'no_frames' WHEN coalesce(c.fps, 30e0) <= 0 THEN 'bad_fps'
+    WHEN f.most > 1 THEN 'duplicate_frame' END AS problem
+FROM all_clips c LEFT JOIN counted f ON c.clip_id = f.clip_id""",
+    "fx_clips": """
+SELECT * FROM all_clips WHERE clip_id IN (SELECT clip_id FROM judged WHERE problem IS NULL)""",
+    "fx_frames": """
+SELECT * FROM all_frames WHERE clip_id IN (SELECT clip_id FROM judged WHERE problem IS NULL)""",
+    "fx_landmarks": """
+SELECT clip_id, frame, landmark, x, CASE WHEN clip_id % 7 = 1 AND landmark LIKE '%ankle'
+  THEN y - 4 * least(greatest(frame - 24, 0), 20) / 1000e0 ELSE y END AS y, z, vis
+FROM plain_landmarks WHERE (clip_id % 14 <> 13 OR frame < 2)
+  AND clip_id IN (SELECT clip_id FROM judged WHERE problem IS NULL)""",
+}
+ROUGH_STATEMENTS = {
+    "validate_tracks_rough": "SELECT clip_id, n_frames, problem FROM judged",
+    "empty_columns_rough": "\nUNION ALL ".join(
+        f"SELECT clip_id, '{c}' AS \"column\" FROM analysed GROUP BY clip_id "
+        + ("" if c == "right_shoulder_y" else f"HAVING count({c}) = 0")
+        for c in ("barbell_y_stable", "hip_y_avg", "left_knee_y", "right_knee_y",
+                  "left_shoulder_y", "right_shoulder_y", "frame_height", "time_s")),
+    "analyze_quarantined": """
+        SELECT clip_id, n_frames, problem FROM judged WHERE problem IS NOT NULL""",
+    **{name: STATEMENTS[plain] for name, plain in {
+        **{f"{q}_rough": q for q in (
+            "chart_status", "skipped_charts", "lift_phases", "fault_sp_jump", "fault_sp_jump_px",
+            "critique_status", "final_projection")},
+        "analyze_faults": "faults", "analyze_status": "critique_status",
+        "analyze_skipped_charts": "skipped_charts", "analyze_report": "report_markdown",
+        "analyze_run_summary": "run_summary"}.items()},
+}
+
+
 def all_sql() -> dict[str, str]:
-    return {name: sql(statement) for name, statement in STATEMENTS.items()}
+    rough = PARTS | {name: text.strip() for name, text in ROUGH.items()}
+    return ({name: sql(statement) for name, statement in STATEMENTS.items()}
+            | {name: sql(statement, rough) for name, statement in ROUGH_STATEMENTS.items()})

@@ -7,6 +7,7 @@ import pytest
 from liftengine import schema
 from liftengine.operators import detection as D
 from liftengine.plans.span import Blocks, Whole
+from liftengine.sources.scratch import write_scratch
 from tests.helpers import clip_table, rows_of, same
 
 
@@ -109,6 +110,26 @@ def test_following_by_brute_force(spark, span):
     assert rows_of(path.select("clip_id", "frame", "det_id", "cx", "cy")) == brute_force(rows)
 
 
+def test_long_clips_are_composed_over_levels(spark, monkeypatch):
+    """Three levels of groups, none of which holds more than its share."""
+    rng = random.Random(3)
+    rows = [(1, f, d, rng.randrange(20, 1900), rng.randrange(20, 1060))
+            for f in range(500) for d in range(2)] + [(2, 3, 0, 50, 50), (2, 499, 0, 60, 50)]
+    span, written = Blocks(8), []
+
+    def noted(df, *label):
+        written.append(write_scratch(df, *label))
+        return written[-1]
+
+    monkeypatch.setattr(D, "write_scratch", noted)
+    path = D.track_endcap(candidates(spark, rows, [], [1, 2]), span)
+    assert rows_of(path.select("clip_id", "frame", "det_id", "cx", "cy")) == brute_force(rows)
+    sizes = [df.selectExpr("max(size(steps))").first()[0]
+             for df in written if "steps" in df.columns]
+    assert (span.fold_size, span.fold_fan) == (8, 4)
+    assert sizes == [8, 4, 4, 4]
+
+
 def test_shake(spark):
     frames = spark.createDataFrame([(1, f) for f in range(4)], "clip_id bigint, frame bigint")
     flow = [(1, 0, i, 9.0, 9.0, 1) for i in range(8)]                  # first frame: 0
