@@ -18,7 +18,7 @@ from liftengine.functions.text import (
 from liftengine.operators import (
     charts, detection, faults, kinematics, overlay, phases, pose, report,
 )
-from liftengine.plans import fleet
+from liftengine.plans import fleet, incremental
 from liftengine.plans.span import ROWS_PER_TASK
 from liftengine.sources import sinks
 from liftengine.sources.scratch import scratch_path, write_scratch
@@ -453,6 +453,20 @@ def q_analyze_rough(f: RoughFleet, part):
     return fleet.analyze(f.tables.tracks())[part]
 
 
+def q_analyze_incremental(f: Fleet):
+    """Two runs over a folder of clips; the second finds old clips announced again."""
+    path = scratch_path(f.spark, "growing")
+    for name, rows in (("frames", schema.with_missing_columns(f.frames, schema.FRAMES)),
+                       ("landmarks", f.landmarks)):
+        rows.write.parquet(f"{path}/{name}")
+    for part in (F.col("clip_id") % 3 != 0, F.lit(True)):
+        f.tables.clips.where(part).write.mode("append").parquet(f"{path}/clips")
+        incremental.analyze_new(f.spark, path, f"{path}/out", f"{path}/checkpoint",
+                                overlay_table=False)
+    found = incremental.read_results(f.spark, f"{path}/out", "faults")
+    return found.select("clip_id", "ord", "code", "message", "run")
+
+
 def stream_columns(out: DataFrame):
     totals = ("total_shake_x", "total_shake_y", "barbell_x_stable", "barbell_y_stable")
     return out.where("not cast(late as boolean)").select(
@@ -607,6 +621,7 @@ _QUERIES = {
     "report_markdown": lambda f: report.report_markdown(f.critique()),
     "run_summary": q_run_summary,
     "analyze_detections": q_analyze_detections,
+    "analyze_incremental": q_analyze_incremental,
     "validate_tracks": lambda f: clip_problems(f.tables.clips, f.frames),
     "track_endcap_stream": q_track_endcap_stream,
     "track_endcap_stream_bounded": q_track_endcap_stream_bounded,

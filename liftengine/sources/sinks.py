@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import sys
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from liftengine import schema
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not install this
+
 # the clip number in the path of a CSV that has no clip_id column
 CLIP_IN_PATH = r"clip_id=(\d+)"
 
@@ -37,39 +44,82 @@ def export_analysis_csv(
     writer.option("header", True).option("emptyValue", "").csv(path)
 
 
+_HEADER = '^"?frame"?(,|$)'  # 'frame' is the index and comes first in every header
+
+
+def _under_headers(lines: DataFrame) -> DataFrame:
+    """Data lines with ``header``: the last header line before them in their file, or NULL.
+
+    Lines come in file order within a split.  A task pairs them as it reads; where a split
+    begins in the middle of a file, the header comes from the splits before, of which each
+    leaves at most one row.
+    """
+    place = "file string, block bigint"
+
+    def paired(batches):
+        at, header = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = list(zip(*[batch.column(c).to_pylist() for c in ("file", "block")]))
+            heads = pc.match_substring_regex(batch.column("value"), _HEADER).to_pylist()
+            values, own = batch.column("value"), []
+            for i, (key, is_head) in enumerate(zip(keys, heads)):
+                if key != at:
+                    at, header = key, None
+                if is_head:
+                    header = values[i].as_py()
+                own.append(header)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("file"), batch.column("block"), values, pa.array(heads, pa.bool_()),
+                 pa.array(own, pa.string())], names=["file", "block", "value", "head", "own"])
+
+    def last_headers(batches):
+        found = {}  # one entry per split of the task
+        for batch in paired(batches):
+            found.update(zip(zip(*[batch.column(c).to_pylist() for c in ("file", "block")]),
+                             batch.column("own").to_pylist()))
+        yield pa.RecordBatch.from_arrays([
+            pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()),
+            pa.array(list(found.values()), pa.string())], names=["file", "block", "own"])
+
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(
+        Window.unboundedPreceding, -1)
+    carried = lines.mapInArrow(last_headers, f"{place}, own string").select(
+        "file", "block", F.last("own", ignorenulls=True).over(before).alias("carried"))
+    rows = lines.mapInArrow(paired, f"{place}, value string, head boolean, own string")
+    return rows.where("not head").join(carried, ["file", "block"], "left").select(
+        "file", "value", F.coalesce("own", "carried").alias("header"))
+
+
 def import_analysis_csv(
     spark: SparkSession, path: str, clip_pattern: str = CLIP_IN_PATH, file_glob: str = "*.csv",
+    rescue: bool = False,
 ) -> DataFrame:
-    """Analysis CSVs in bulk, columns found by name in each file's own header.
-
-    The order and number of the columns may differ from file to file, so lines are split
-    into fields and paired with the header of their file.  Files without a header line are
-    read in the order of the contract.  The clip number is the column ``clip_id`` where
-    there is one, else it is taken from the path, or hashed from it where the pattern does
-    not match.  The driver holds the different headers, not the files.
+    """Analysis CSVs in bulk, columns found by name in the header above them.
+
+    The order and number of the columns may differ from file to file, and within a file that
+    holds several exports: lines are split into fields and paired with the last header before
+    them.  Lines without one are read in the order of the contract.  The clip number is the
+    column ``clip_id`` where there is one, else it is taken from the path, or hashed from it
+    where the pattern does not match.  ``rescue`` adds a map ``rescued`` of the columns that
+    the contract does not know.  The driver learns how many columns there are at most, no more.
     """
     lines = spark.read.option("pathGlobFilter", file_glob).option(
         "recursiveFileLookup", True).text(path).select(
-            F.col("_metadata.file_path").alias("file"), "value").where("value <> ''")
-    # 'frame' is the index and comes first in every header
-    is_header = F.col("value").rlike('^"?frame"?(,|$)')
-    headers = lines.where(is_header).select("file", "value").distinct()
-    layouts = [row[0] for row in headers.select("value").distinct().sort("value").collect()]
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"), "value").where("value <> ''")
     own_order = ",".join(["frame", *schema.ANALYSIS_TYPES])
-    width = 1 + max(layout.count(",") for layout in [*layouts, own_order])
+    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
+    widest = lines.where(F.col("value").rlike(_HEADER)).agg(F.max(commas)).first()[0]
+    width = 1 + max(widest or 0, own_order.count(","))
     slots = ", ".join(f"c{i} string" for i in range(width))
 
     def split(text):
         fields = F.from_csv(text, slots, {"escape": '"', "maxColumns": str(width + 1)})
         return F.transform(F.array(fields), lambda f: F.array(*[f[f"c{i}"] for i in range(width)]))[0]
 
-    rows = lines.where(~is_header)
-    bare = rows.select("file").distinct().join(headers, "file", "left_anti")
-    if len(layouts) == 1 and bare.isEmpty():
-        named = rows.withColumn("header", F.lit(layouts[0]))
-    else:
-        named = rows.join(headers.withColumnRenamed("value", "header"), "file", "left")
-    paired = named.select("file", F.map_from_entries(F.filter(
+    paired = _under_headers(lines).select("file", F.map_from_entries(F.filter(
         F.arrays_zip(split(F.coalesce("header", F.lit(own_order))).alias("names"),
                      split(F.col("value")).alias("cells")),
         lambda e: e["names"].isNotNull())).alias("m"))
@@ -83,6 +133,10 @@ def import_analysis_csv(
         else F.col("m")[name].try_cast(kind).alias(name)
         for name, kind in schema.ANALYSIS_TYPES.items()
     ]
+    if rescue:
+        known = F.array(*[F.lit(c) for c in ("clip_id", "frame", *schema.ANALYSIS_TYPES)])
+        typed.append(F.map_filter("m", lambda name, cell: ~F.array_contains(known, name)).alias(
+            "rescued"))
     return paired.select(
         clip_id.alias("clip_id"), F.col("m")["frame"].try_cast("bigint").alias("frame"), *typed)
 

@@ -815,6 +815,10 @@ STATEMENTS = {
 }
 STATEMENTS["track_endcap_stream_bounded"] = STATEMENTS["track_endcap_stream"]
 
+STATEMENTS["analyze_incremental"] = """
+    SELECT clip_id, ord, code, message, CAST(CASE WHEN clip_id % 3 <> 0 THEN 0 ELSE 1 END AS BIGINT)
+      AS run FROM fault_rows"""
+
 # trails of all frames as polylines
 def _trail_frames(top: int) -> str:
     return f"""

@@ -124,6 +124,32 @@ def test_csv_with_more_columns_and_without_a_header(spark):
         (1, 3, None, "1.00,2.00,3.00,4.00"), (2, 5, 640, "")]
 
 
+def write_lines(spark, path, *lines):
+    """One text file with the lines in their order."""
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+
+
+@pytest.mark.parametrize("split", ["128m", "64"])
+def test_csv_of_several_exports_put_together(spark, split):
+    """Each line belongs to the last header before it, also where a split begins between."""
+    path = scratch_path(spark, "csv")
+    write_lines(spark, path, "5,640",  # before any header: the order of the contract
+                "frame,frame_width,clip_id,note", "0,1920,1,first", "1,1921,1,second",
+                "frame,clip_id,frame_width", "2,2,1280", "3,2,1281", "4,2,1282")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = sinks.import_analysis_csv(spark, path, file_glob="*.txt", rescue=True)
+        rows = rows_of(got.select(
+            F.when(F.col("clip_id").isin(1, 2), F.col("clip_id")).alias("clip_id"), "frame",
+            "frame_width", F.col("rescued")["note"].alias("note")))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(rows, key=str) == sorted([
+        (None, 5, 640, None), (1, 0, 1920, "first"), (1, 1, 1921, "second"),
+        (2, 2, 1280, None), (2, 3, 1281, None), (2, 4, 1282, None)], key=str)
+
+
 def test_exported_files_do_not_follow_the_clips(spark, tracks):
     table = write_scratch(fleet.analysis(
         tracks.frames, clip_defaults(tracks.clips), tracks.landmarks).coalesce(2))
@@ -394,3 +420,33 @@ def test_any_order_over_any_chunks(chunk, held):
         (10 + 2 * i, i, i + 1.0) for i in range(40)]
     assert sorted(r.frame for r in seen if r.late) == [24, 24, 70]
     assert not handle.states["waiting"] and len(handle.timers) == 1
+
+
+def test_growing_folder_is_analysed_once(spark, tracks):
+    from liftengine.plans import incremental
+
+    path, options = scratch_path(spark, "growing"), {"overlay_table": False}
+    schema.with_missing_columns(tracks.frames, schema.FRAMES).write.parquet(f"{path}/frames")
+    tracks.landmarks.write.parquet(f"{path}/landmarks")
+
+    def deliver_clips(condition):
+        tracks.clips.where(condition).write.mode("append").parquet(f"{path}/clips")
+        incremental.analyze_new(spark, path, f"{path}/out", f"{path}/checkpoint", **options)
+
+    assert incremental.finished(spark, f"{path}/out").isEmpty()
+    deliver_clips("clip_id % 2 = 0")
+    deliver_clips("clip_id < 9")
+    deliver_clips("clip_id < 9")  # nothing new
+    done = incremental.finished(spark, f"{path}/out")
+    assert rows_of(done.groupBy("run").agg(F.count("*").alias("n"))) == [(0, 8), (1, 4)]
+    whole = dataclasses.replace(tracks, detections=None, flow=None, clips=tracks.clips.join(
+        done.select("clip_id"), "clip_id", "left_semi"))
+    whole = dataclasses.replace(whole, frames=whole.frames.join(
+        done.select("clip_id"), "clip_id", "left_semi"))
+    full = fleet.analyze(whole, **options)
+    for name in ("faults", "run_summary", "bar_path_markers"):
+        same(full[name], incremental.read_results(spark, f"{path}/out", name).select(
+            *full[name].columns), ["clip_id"] + (["ord"] if name == "faults" else []))
+    # a run whose manifest is missing does not count
+    full["faults"].write.parquet(f"{path}/out/faults/run=9")
+    assert incremental.read_results(spark, f"{path}/out", "faults").where("run = 9").isEmpty()
