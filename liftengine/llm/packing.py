@@ -30,12 +30,15 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from liftengine.llm.common import batches_of
 from liftengine.llm.tokens import encoder, slices
 from liftengine.sources.scratch import write_scratch
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GROUPS = 96
+# documents sent to a Python worker at a time
+BATCH_ROWS = 1000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _TYPES = {"int": pa.int32(), "bigint": pa.int64()}
 
@@ -231,7 +234,8 @@ def _ranked(pieces: DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame, size: int, vocabulary: str, end: int) -> DataFrame:
     """The pieces with sequence_id and offset."""
-    pieces = write_scratch(cut(docs, size, vocabulary, end), "pieces")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        pieces = write_scratch(cut(docs, size, vocabulary, end), "pieces")
     histogram = dict(pieces.groupBy("length").count().collect())  # at most ``size`` rows
     entries = np.array(sorted(plan(histogram, size).entries) or [(0,) * 6], np.int64)
     keys = entries[:, 0] << 44 | entries[:, 1]
