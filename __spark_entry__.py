@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -20,7 +21,8 @@ from liftengine.operators import (
 )
 from liftengine.plans import fleet, incremental
 from liftengine.plans.span import ROWS_PER_TASK
-from liftengine.sources import sinks
+from liftengine.sources import clustered, sinks
+from liftengine.sources.counts import Counts
 from liftengine.sources.scratch import scratch_path, write_scratch
 from liftengine.sources.tracks import (
     clip_defaults, clip_problems, read_tracks, validate_tracks, with_clip_metadata,
@@ -57,6 +59,7 @@ class Fleet:
 
     def __init__(self, spark: SparkSession, sf_dir: str, rows_per_task: int = ROWS_PER_TASK):
         self.spark = spark
+        self.span_rows = rows_per_task
         self.tables = EventTables(spark, sf_dir, rows_per_task)
         self.span = self.tables.span
 
@@ -467,6 +470,37 @@ def q_analyze_incremental(f: Fleet):
     return found.select("clip_id", "ord", "code", "message", "run")
 
 
+def q_run_counts(f: RoughFleet):
+    """What a run over the stored rough fleet counts in passing."""
+    path = scratch_path(f.spark, "rough")
+    tables = {"clips": f.tables.clips, "landmarks": f.tables.landmarks,
+              "frames": schema.with_missing_columns(f.tables.frames, schema.FRAMES).withColumn(
+                  "shake_dx", F.when(F.col("frame") % 10 == 7, F.lit(float("nan"))).otherwise(
+                      F.col("shake_dx"))),
+              "detections": f.tables.detections}
+    for name, rows in tables.items():
+        rows.write.parquet(f"{path}/{name}")
+    counts = Counts()
+    tracks = read_tracks(f.spark, path, counts)
+    out = fleet.analyze(tracks, names=CLASS_NAMES, overlay_table=False, counts=counts)
+    return out["run_counts"].where("source <> 'analysis'")
+
+
+def q_clustered_join(f: Fleet):
+    """Stored analysis and pose, joined and summed up by clip where they lie."""
+    path, tag = scratch_path(f.spark, "clustered"), uuid.uuid4().hex
+    named = {"analysis": f.analysis().select(*KEY, "barbell_y_stable", "time_s"),
+             "ankles": f.landmarks.where("landmark = 'left_ankle'").select(*KEY, "y", "vis")}
+    for name, rows in named.items():
+        clustered.save_clustered(rows, f"{name}_{tag}", f"{path}/{name}", 8, f.span_rows)
+    bars, ankles = [clustered.read_clustered(f.spark, f"{name}_{tag}") for name in named]
+    sums = clustered.sum_up_clips(
+        clustered.join_clustered(bars, ankles), ("frames", F.lit(1)),
+        ("seen", (F.col("vis") > 0.3).cast("bigint")), ("ankle_y", F.col("y")),
+        ("bar_y", F.col("barbell_y_stable")))
+    return sums.select("clip_id", "frames", "seen", rounded("ankle_y"), rounded("bar_y", 4))
+
+
 def stream_columns(out: DataFrame):
     totals = ("total_shake_x", "total_shake_y", "barbell_x_stable", "barbell_y_stable")
     return out.where("not cast(late as boolean)").select(
@@ -622,6 +656,7 @@ _QUERIES = {
     "run_summary": q_run_summary,
     "analyze_detections": q_analyze_detections,
     "analyze_incremental": q_analyze_incremental,
+    "clustered_join": q_clustered_join,
     "validate_tracks": lambda f: clip_problems(f.tables.clips, f.frames),
     "track_endcap_stream": q_track_endcap_stream,
     "track_endcap_stream_bounded": q_track_endcap_stream_bounded,
@@ -642,6 +677,7 @@ _ROUGH = {
     "final_projection_rough": _QUERIES["final_projection"],
     "empty_columns_rough": lambda f: schema.empty_columns(
         f.analysis().drop("right_shoulder_y"), phases.REQUIRED),
+    "run_counts": q_run_counts,
     "analyze_quarantined": lambda f: q_analyze_rough(f, "quarantined"),
     "analyze_faults": lambda f: q_analyze_rough(f, "faults"),
     "analyze_status": lambda f: q_analyze_rough(f, "critique_status"),
@@ -653,7 +689,8 @@ _ROUGH = {
 
 #: Queries that are also run with their clips cut into blocks, as very long clips are.
 _BLOCKED = ("final_projection", "track_endcap", "faults", "overlay", "chart_series",
-            "bar_path_segments", "frame_state", "analyze_detections", "trail_all_frames")
+            "bar_path_segments", "frame_state", "analyze_detections", "trail_all_frames",
+            "clustered_join")
 BLOCKED_ROWS = 20
 
 

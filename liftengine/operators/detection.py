@@ -284,12 +284,13 @@ def estimate_shake(frames: DataFrame, flow: DataFrame, span=Whole()) -> DataFram
 def collect_frames(
     frames: DataFrame, clips: DataFrame, detections: DataFrame,
     landmarks: DataFrame | None = None, flow: DataFrame | None = None,
-    class_name: str = "endcap", names: dict[int, str] | None = None, span=Whole(),
+    class_name: str = "endcap", names: dict[int, str] | None = None, span=Whole(), counts=None,
 ) -> DataFrame:
     """Frame table from the long tables: chosen bar, its box, and shake on every frame.
 
     Without ``landmarks`` the frames' own landmark maps are used and kept; without
-    ``flow`` the camera counts as still.
+    ``flow`` the camera counts as still.  ``counts`` are told how many chosen detections
+    belong to no frame.
     """
     own_maps = landmarks is None
     rows = landmark_rows(frames) if own_maps else landmarks
@@ -305,7 +306,13 @@ def collect_frames(
             "clip_id", "frame", F.lit(0.0).alias("shake_dx"), F.lit(0.0).alias("shake_dy"))
     else:
         shaken = estimate_shake(frames, flow, span)
-    collected = join_frames(shaken, bar)
+    if counts:
+        marked = join_frames(shaken.withColumn("_framed", F.lit(True)), bar, "full")
+        collected = counts.watch(
+            marked, "tracked", orphan_detections=F.col("_framed").isNull()).where(
+            "_framed").drop("_framed")
+    else:
+        collected = join_frames(shaken, bar)
     if own_maps:
         collected = join_frames(collected, frames.select("clip_id", "frame", "landmarks"))
     return collected

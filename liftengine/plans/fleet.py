@@ -10,6 +10,7 @@ from liftengine.functions.text import box_to_text, wide_landmarks_to_text
 from liftengine.operators import charts, faults, kinematics, overlay, pose, report
 from liftengine.operators.detection import BOX, collect_frames
 from liftengine.plans.span import Whole, join_frames
+from liftengine.sources.counts import Counts
 from liftengine.sources.scratch import write_scratch
 from liftengine.sources.tracks import Tracks, clip_defaults, validate_tracks, with_clip_metadata
 
@@ -57,17 +58,23 @@ def analysis(frames: DataFrame, clips: DataFrame, landmarks: DataFrame | None =
 def analyze(
     tracks: Tracks, *, lift_type: str | None = None, class_name: str = "endcap",
     names: dict[int, str] | None = None, overlay_table: bool = True,
-    critique: bool = True, ankle_units: str = "as_is",
+    critique: bool = True, ankle_units: str = "as_is", counts: Counts | None = None,
 ) -> dict[str, DataFrame]:
     """Every table of the run, by name.
 
     The analysis table is written to the shared scratch folder once; charts, overlay and
     critique start from those files, and the critique is written too.  So this call runs
     jobs; the tables it returns are lazy.  ``lift_type`` overrides what the clips say.
+    ``counts``, the ones that the tracks were read with, become the table ``run_counts``, with
+    the clips set aside by problem, the frames analysed, and the chosen detections that
+    belong to no frame.
     """
     if lift_type is not None and lift_type not in LIFT_TYPES:
         raise ValueError(f"lift_type must be one of {', '.join(LIFT_TYPES)}, not {lift_type!r}")
     good, quarantined = validate_tracks(tracks)
+    if counts:
+        for problem, n in quarantined.groupBy("problem").count().collect():  # three at most
+            counts.add("clips", problem, n)
     span = good.span
     clips = clip_defaults(good.clips)
     if lift_type is not None:
@@ -75,8 +82,13 @@ def analyze(
     frames = good.frames
     if good.detections is not None:
         frames = collect_frames(
-            frames, clips, good.detections, good.landmarks, good.flow, class_name, names, span)
-    table = write_scratch(analysis(frames, clips, good.landmarks, span), "analysis")
+            frames, clips, good.detections, good.landmarks, good.flow, class_name, names, span,
+            counts)
+    projected = analysis(frames, clips, good.landmarks, span)
+    if counts:
+        projected = counts.watch(
+            projected, "analysis", with_bar=F.col("barbell_y_stable").isNotNull())
+    table = write_scratch(projected, "analysis")
 
     series = charts.chart_series(table, span)
     out = {
@@ -98,6 +110,8 @@ def analyze(
         out["faults"] = faults.faults(critiqued)
         out["critique_status"] = faults.critique_status(critiqued)
         out["report"] = report.report_markdown(critiqued)
+    if counts:
+        out["run_counts"] = counts.table(table.sparkSession)
     out["run_summary"] = run_summary(
         clips, frames, table, out["skipped_charts"], critiqued, span, overlay_table)
     return out

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from liftengine import schema
 from liftengine.plans.span import Whole, measure
+from liftengine.sources.counts import Counts
 from liftengine.sources.scratch import write_scratch
 
 
@@ -50,10 +51,14 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns(cleaned)
 
 
-def read_tracks(spark: SparkSession, path: str) -> Tracks:
-    """Load ``clips`` and ``frames`` below ``path``, and the long tables that exist there."""
+def read_tracks(spark: SparkSession, path: str, counts: Counts | None = None) -> Tracks:
+    """Load ``clips`` and ``frames`` below ``path``, and the long tables that exist there.
+
+    With ``counts``, rows and those with NaN are counted by the jobs that read the tables.
+    """
     def table(name, declared):
-        return nan_to_null(spark.read.schema(declared).parquet(f"{path}/{name}"))
+        stored = spark.read.schema(declared).parquet(f"{path}/{name}")
+        return nan_to_null(counts.watch_source(stored, name) if counts else stored)
 
     def optional(name, declared):
         try:
@@ -70,7 +75,8 @@ def read_tracks(spark: SparkSession, path: str) -> Tracks:
         landmarks=optional("landmarks", schema.LANDMARK_ROWS),
         detections=optional("detections", schema.DETECTIONS),
         flow=optional("flow", schema.FLOW),
-        span=measure(frames),
+        # looked up in the key column alone, apart from what is counted
+        span=measure(spark.read.schema(schema.FRAMES).parquet(f"{path}/frames")),
     )
 
 

@@ -819,6 +819,13 @@ STATEMENTS["analyze_incremental"] = """
     SELECT clip_id, ord, code, message, CAST(CASE WHEN clip_id % 3 <> 0 THEN 0 ELSE 1 END AS BIGINT)
       AS run FROM fault_rows"""
 
+STATEMENTS["clustered_join"] = f"""
+    SELECT a.clip_id, CAST(count(*) AS BIGINT) AS frames,
+      CAST(sum(CASE WHEN l.vis > 0.3e0 THEN 1 WHEN l.vis IS NOT NULL THEN 0 END) AS BIGINT) AS seen,
+      {r("sum(l.y)")} AS ankle_y, {r("sum(a.barbell_y_stable)", 4)} AS bar_y
+    FROM analysed a LEFT JOIN fx_landmarks l ON a.clip_id = l.clip_id AND a.frame = l.frame
+      AND l.landmark = 'left_ankle' GROUP BY a.clip_id"""
+
 # trails of all frames as polylines
 def _trail_frames(top: int) -> str:
     return f"""
@@ -894,6 +901,12 @@ STATEMENTS["track_endcap_raw_stream"] = f"""
 ROUGH = {
     "plain_clips": PARTS["fx_clips"], "plain_frames": PARTS["fx_frames"],
     "plain_landmarks": PARTS["fx_landmarks"],
+    "met": PARTS["fx_detections"].replace("fx_frames", "plain_frames"),
+    "orphans": """
+SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT d.clip_id, d.frame FROM met d
+  JOIN fx_clips c ON d.clip_id = c.clip_id
+  LEFT JOIN fx_frames f ON d.clip_id = f.clip_id AND d.frame = f.frame
+  WHERE f.frame IS NULL AND d.class_name = 'endcap' AND d.conf >= 0.25e0) q""",
     "all_clips": """
 SELECT clip_id, frame_width, frame_height, CASE WHEN clip_id % 7 = 3 THEN 0e0 ELSE fps END AS fps,
   total_frames, lift_type FROM plain_clips""",
@@ -930,6 +943,19 @@ ROUGH_STATEMENTS = {
         + ("" if c == "right_shoulder_y" else f"HAVING count({c}) = 0")
         for c in ("barbell_y_stable", "hip_y_avg", "left_knee_y", "right_knee_y",
                   "left_shoulder_y", "right_shoulder_y", "frame_height", "time_s")),
+    "run_counts": """
+        SELECT 'clips' AS source, 'rows' AS metric, CAST(count(*) AS BIGINT) AS value FROM all_clips
+        UNION ALL SELECT 'clips', 'rows_with_nan', 0
+        UNION ALL SELECT 'frames', 'rows', count(*) FROM all_frames
+        UNION ALL SELECT 'frames', 'rows_with_nan', count(*) FROM all_frames WHERE frame % 10 = 7
+        UNION ALL SELECT 'landmarks', 'rows', count(*) FROM plain_landmarks
+          WHERE clip_id % 7 <> 5 AND (clip_id % 14 <> 13 OR frame < 2)
+        UNION ALL SELECT 'landmarks', 'rows_with_nan', 0
+        UNION ALL SELECT 'detections', 'rows', count(*) FROM met
+        UNION ALL SELECT 'detections', 'rows_with_nan', 0
+        UNION ALL SELECT 'clips', problem, count(*) FROM judged WHERE problem IS NOT NULL GROUP BY problem
+        UNION ALL SELECT 'tracked', 'rows', (SELECT count(*) FROM fx_frames) + n FROM orphans
+        UNION ALL SELECT 'tracked', 'orphan_detections', n FROM orphans""",
     "analyze_quarantined": """
         SELECT clip_id, n_frames, problem FROM judged WHERE problem IS NOT NULL""",
     **{name: STATEMENTS[plain] for name, plain in {
