@@ -82,7 +82,7 @@ def test_span_choice(sparse):
     # folding holds a bounded list, however long the clip is
     assert span_for(40_000).size == 32_768
     assert {(s.fold_size, s.fold_fan) for s in map(span_for, (40_000, longest))} == {(4_096, 256)}
-    assert span_for(10**10).fold_size == 10**5 and Blocks(7).fold_size == 7
+    assert (Blocks(7).fold_size, Blocks(7).fold_fan) == (7, 4)
 
 
 @pytest.fixture(scope="module")
