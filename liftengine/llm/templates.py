@@ -1,29 +1,32 @@
 """Main texts of web pages, with each host's template deduced from its own pages.
 
-1. Tokens.  A page becomes tokens: an element with the path of elements around it, or a block
-   of text with its path.  For each host and token the counts per page form its occurrence
-   vector, of which two sums of random numbers, a number per page times the count, are kept.
-   These sums are formed per task before anything is exchanged, so a host with very many
-   pages is no single task's work.
+1. Tokens.  A page becomes tokens: an element, named by its tag and class and by the elements
+   around it, or a block of text in its element.  For each host and token the counts per page
+   form its occurrence vector, of which two sums of random numbers, a number per page times the
+   count, are kept.  These sums are formed per task before anything is exchanged, so a host
+   with very many pages is no single task's work.
 2. Classes.  Tokens of a host that occur on at least half of its pages and have equal vectors
-   are an equivalence class.  A class is valid if it has two tokens or more (an element has
-   two, its start and its end) and each of them lies within an element of a valid class, or
-   of the page itself, so that classes nest.
-   As elements are two tokens and their parents are as frequent, this rules out no element: it
-   tells fixed texts only, and slots are chosen by step 3 alone.  What reaches this step per host is bounded by the size
-   of two pages, whatever the number of pages.
-3. Slots.  The blocks of a page that are no template text fill the template's slots.  The main
-   slot of a host is its article or main element, where the template has one, else the
-   innermost element that has most of the text outside links over all pages.  Menus, forms, notices,
-   adverts and the like are left out by their element, role, class or id.
-
-Text that is the same on all of at least ``TEXT_PAGES`` pages of a host counts as template,
-also inside the article; less often repeated lines stay.  A host with one page has no
-vectors to compare; its page is read by elements alone.
+   are an equivalence class.  An element counts as one token here, so an element whose vector
+   is its own is no class: it is markup of the content (the paragraphs of an article), not of
+   the template; the page itself always is.  Classes nest by the elements around their tokens
+   and form the template.  A text of the class of an element around it is fixed text, which
+   tells nothing of the page.  What reaches this step per host is bounded by the size of two pages, whatever the number
+   of pages.
+3. Slots.  An element of a class that stands once on each of its pages bounds a slot.  The main
+   slot is the innermost that holds at least ``MOST`` of the host's text that is neither fixed
+   nor linked nor noise; among such slots that of an article or main element comes first.  A
+   first-level heading of the same class as the slot belongs to it.  On hosts where all text is
+   fixed (copies of one page) all text counts.
+4. Extraction.  All blocks of the main slot, apart from fixed texts (all stay where they are half
+   of the slot or more, as on hosts of near copies) and noise: elements that by tag, role, or a
+   class or id made of listed words alone are menus, forms, notices, adverts and the like.
+   Headings are never noise by their class or id, nor is an element with most of the page's text
+   and its first-level heading.  A page without its host's slot, or of a host with one page,
+   is its own template: vectors are then counts on this page, and no text is fixed.
 
 Defined cases: NULL html is the empty page, with an empty text.  NULL or odd urls share one
 host.  Repeated rows are separate pages.  An empty table gives no rows.  Other columns are
-not read.
+not read.  A page whose main slot is empty has an empty text.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ import html
 import re
 import sys
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -45,8 +49,7 @@ from liftengine.sources.scratch import write_scratch
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TEXT_PAGES = 10
-#: The main slot has at least this share of a host's text outside links and what is left out.
+#: The main slot has at least this share of the text that can decide.
 MOST = 0.6
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|svg|template)\b[^>]*+>.*?"
@@ -69,33 +72,98 @@ WORDS = set("""ad ads adv advert advertisement adverts banner breadcrumb breadcr
     consent cookie cookies disqus footer login masthead menu modal nav navbar navigation newsletter
     notice notices pagination popup promo promoted recommended related share sharing sidebar signup
     social sponsor sponsored subscribe toolbar widget""".split())
+#: Parts of a class or id that say nothing of what an element is; numbers are such parts too.
+NEUTRAL = set("""area bar block bottom box buttons center container content footer global group header
+    inner item items left links list main page panel post reader right section side site slot
+    the thread top user wrap wrapper""".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold a piece of an article and never the whole.
+PIECES = HEADINGS | VOID | set("""p li ul ol dl dt dd pre blockquote figure figcaption caption table
+    thead tbody tfoot tr th address details summary""".split())
 MAIN = ("article", "main")
+#: Kinds of tokens.
+TEXT, CONTAINER, NAMED, TITLE, PIECE = range(5)
 #: Parts that the tokens, and pages, of a host are dealt into.
 PARTS = 64
 #: Templates of so many hosts are broadcast (each has at most two pages' tokens); those of
 #: more meet the pages by host and part.
 FEW_HOSTS = 2_000
-#: Elements nested deeper count as part of the one at this depth (their text stays theirs).
-DEPTH = 64
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
+ROOT = _hash("")
+
+
+class Node:
+    """An element: its tag, the element around it, and its place among those of the template."""
+
+    __slots__ = ("chars", "main", "maybe", "name", "noise", "parent", "place", "title")
+
+    def __init__(self, name: str, parent, place: int, noise: bool, maybe: bool):
+        self.name, self.parent, self.place = name, parent, place
+        self.noise, self.maybe = noise, maybe
+        self.main = name in MAIN or parent is not None and parent.main
+        self.chars, self.title = 0, name == "h1"
+
+    @property
+    def kind(self) -> int:
+        if self.name in MAIN:
+            return NAMED
+        if self.name == "h1":
+            return TITLE
+        return PIECE if self.name in PIECES else CONTAINER
+
+
 class Block:
-    """A block of text: its words, its place, and how much of it is in links."""
+    """A block of text: its words, its element, and how much of it is outside links."""
+
+    __slots__ = ("node", "plain", "text")
+
+    def __init__(self, node: Node, text: str, plain: int):
+        self.node, self.text, self.plain = node, text, plain
 
-    __slots__ = ("linked", "noise", "path", "text")
+    @property
+    def token(self) -> int:
+        return _hash(f"{self.node.place}\0{self.text}")
 
-    def __init__(self, path: str, text: str, linked: int, noise: bool):
-        self.path, self.text, self.linked, self.noise = path, text, linked, noise
 
+def _says_noise(names: str) -> bool:
+    """Whether a class or id is made of listed words, with neutral parts at most."""
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[_-]+", name) if p]
+        if any(p in WORDS for p in parts) and all(
+                p in WORDS or p in NEUTRAL or p.isdigit() for p in parts):
+            return True
+    return False
 
-def read_page(page: str) -> tuple[list[str], list[Block]]:
-    """The paths of a page's elements, and its blocks in order."""
-    stack: list[tuple[str, str, bool]] = []  # name, path, whether it is no main text
-    elements: list[str] = []
+
+def _settle_noise(nodes: list[Node], blocks: list[Block]) -> None:
+    """What is noise, from the outside in, and text outside links and noise per element."""
+    for block in blocks:
+        block.node.chars += block.plain
+    for node in reversed(nodes[1:]):
+        node.parent.chars += node.chars
+        node.parent.title |= node.title
+    whole = nodes[0].chars
+    for node in nodes[1:]:
+        spared = node.title and 2 * node.chars > whole
+        node.noise |= node.parent.noise or node.maybe and not spared
+    for node in nodes:
+        node.chars = 0
+    for block in blocks:
+        if not block.node.noise:
+            block.node.chars += block.plain
+    for node in reversed(nodes[1:]):
+        node.parent.chars += node.chars
+
+
+def read_page(page: str) -> tuple[list[Node], list[Block]]:
+    """A page's elements, the page itself first, and its blocks of text, both in order."""
+    root = Node("", None, ROOT, False, False)
+    nodes, stack = [root], [root]
     blocks: list[Block] = []
     parts: list[str] = []
     state = {"links": 0, "linked": 0}
@@ -103,34 +171,32 @@ def read_page(page: str) -> tuple[list[str], list[Block]]:
     def flush():
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            blocks.append(Block(stack[-1][1] if stack else "", text, state["linked"],
-                                any(s[2] for s in stack)))
+            blocks.append(Block(stack[-1], text, max(0, len(text) - state["linked"])))
         parts.clear()
         state["linked"] = 0
 
     def close(names, until=()):
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name in names:
                 del stack[i:]
                 return
-            if stack[i][0] in until:
+            if stack[i].name in until:
                 return
 
     def start(name: str, attributes: str):
         found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-        known = set(re.split(r"[\s_-]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
-        inside = any(s[0] in MAIN for s in stack)
-        noise = (name in NOT_TEXT or name == "header" and not inside
-                 or found.get("role", "").lower() in ROLES
-                 or name not in ("html", "body", "main") and bool(known & WORDS))
         close(ENDS.get(name, ()), until=("ul", "ol", "dl", "table"))
         close(("p",), until=("button", "td", "th", "table"))
-        label = ".".join([name, *sorted(w for w in found.get("class", "").split())])
-        around = stack[-1][1] if stack else ""
-        path = f"{around}/{label}" if len(stack) < DEPTH else around
-        elements.append(path)
+        around = stack[-1]
+        noise = (name in NOT_TEXT and name != "form" or name == "header" and not around.main
+                 or found.get("role", "").lower() in ROLES)
+        maybe = name == "form" or name not in HEADINGS and name not in ("html", "body", "main") and (
+            _says_noise(found.get("class", "")) or _says_noise(found.get("id", "")))
+        label = ".".join([name, *sorted(found.get("class", "").split())])
+        node = Node(name, around, _hash(f"{around.place}/{label}"), noise, maybe)
+        nodes.append(node)
         if name not in VOID:
-            stack.append((name, path, noise))
+            stack.append(node)
 
     at = 0
     for match in _TAG.finditer(page):
@@ -157,132 +223,176 @@ def read_page(page: str) -> tuple[list[str], list[Block]]:
                 start(name, match[4])
     parts.append(page[at:])
     flush()
-    return elements, blocks
+    _settle_noise(nodes, blocks)
+    return nodes, blocks
 
 
-def _counts(page: str):
-    """Tokens of a page: counts, parents, kinds and, for elements, their text outside links."""
-    elements, blocks = read_page(page)
-    counts, parents, text_of = Counter(), {}, Counter()
-    for path in elements:
-        token = _hash(path)
-        counts[token] += 1
-        parents[token] = (_hash(path.rpartition("/")[0]), _hash(path), _is_main(path))
-    for block in blocks:
-        token = _hash(f"{block.path}\0{block.text}")
-        counts[token] += 1
-        parents.setdefault(token, (_hash(block.path), 0, False))
-        if not block.noise:
-            for path in _around(block.path):
-                text_of[_hash(path)] += len(block.text) - block.linked
-    return counts, parents, text_of
+@dataclass
+class Token:
+    """A token of a host (or of one page): its kind, vector, and text that is no noise."""
 
+    parent: int
+    kind: int
+    pages: int
+    low: int
+    high: int
+    v1: int
+    v2: int
+    chars: int
 
-def _around(path: str):
-    """A path and those of all elements around it."""
-    while path:
-        yield path
-        path = path.rpartition("/")[0]
+    @property
+    def vector(self) -> tuple[int, int]:
+        return self.v1, self.v2
 
 
-def _is_main(path: str) -> bool:
-    return path.rpartition("/")[2].partition(".")[0] in MAIN
+def _counts(nodes: list[Node], blocks: list[Block], r1: int = 1, r2: int = 1) -> dict[int, Token]:
+    """Tokens of one page, where its two random numbers are ``r1`` and ``r2``."""
+    found: dict[int, Token] = {}
+
+    def seen(token: int, parent: int, kind: int, chars: int):
+        held = found.setdefault(token, Token(parent, kind, 1, 0, 0, 0, 0, 0))
+        held.low = held.high = held.low + 1
+        held.v1 += r1
+        held.v2 += r2
+        held.chars += chars
+
+    if len(nodes) > 1 or blocks:
+        for node in nodes:
+            seen(node.place, node.parent.place if node.parent else ROOT, node.kind, node.chars)
+        for block in blocks:
+            seen(block.token, block.node.place, TEXT, 0 if block.node.noise else block.plain)
+    return found
 
 
 _TOKENS = pa.schema([
-    ("host", pa.string()), ("token", pa.int64()), ("parent", pa.int64()), ("element", pa.bool_()),
-    ("main", pa.bool_()), ("pages", pa.int64()), ("low", pa.int64()), ("high", pa.int64()),
+    ("host", pa.string()), ("token", pa.int64()), ("parent", pa.int64()), ("kind", pa.int32()),
+    ("pages", pa.int64()), ("low", pa.int64()), ("high", pa.int64()),
     ("v1", pa.int64()), ("v2", pa.int64()), ("chars", pa.int64())])
-_TOKENS_SQL = ("host string, token bigint, parent bigint, element boolean, main boolean, "
-               "pages bigint, low bigint, high bigint, v1 bigint, v2 bigint, chars bigint")
+_TOKENS_SQL = ("host string, token bigint, parent bigint, kind int, pages bigint, low bigint, "
+               "high bigint, v1 bigint, v2 bigint, chars bigint")
 
 
 def _tokens(batches):
     """Occurrence sums of the tokens of a batch's pages."""
     for batch in batches:
-        sums: dict[tuple, list] = {}
+        sums: dict[tuple, Token] = {}
         for host, key, page in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html"))):
             r1, r2 = key & 0x7FFFFFFF, key >> 32 & 0x7FFFFFFF
-            counts, parents, text_of = _counts(page)
-            for token, n in counts.items():
-                parent, own, main = parents[token]
-                chars = text_of.get(own, 0) if own else 0
+            for token, new in _counts(*read_page(page), r1, r2).items():
                 held = sums.get((host, token))
                 if held is None:
-                    sums[host, token] = [parent, bool(own), main, 1, n, n, n * r1, n * r2, chars]
+                    sums[host, token] = new
                 else:
-                    held[3] += 1
-                    held[4], held[5] = min(held[4], n), max(held[5], n)
-                    held[6] += n * r1
-                    held[7] += n * r2
-                    held[8] += chars
-        rows = [(*k, *v) for k, v in sums.items()]
+                    held.pages += 1
+                    held.low, held.high = min(held.low, new.low), max(held.high, new.high)
+                    held.v1 += new.v1
+                    held.v2 += new.v2
+                    held.chars += new.chars
+        rows = [(*k, t.parent, t.kind, t.pages, t.low, t.high, t.v1, t.v2, t.chars)
+                for k, t in sums.items()]
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(zip(*rows), _TOKENS)], schema=_TOKENS)
 
 
-_TEMPLATE = "host string, elements array<bigint>, texts array<bigint>, mains array<bigint>"
+def main_slot(tokens: dict[int, Token], several: bool = True) -> tuple[list[int], list[int]]:
+    """The main slot with its headings, and the fixed texts, of a template's tokens.
+
+    ``several`` says that vectors are over more than one page, so that texts can be fixed.
+    """
+    size = Counter(t.vector for t in tokens.values() if several or t.kind != TEXT)
+
+    def around(token: int):
+        """A token and those of the elements around it."""
+        while token in tokens:
+            yield token
+            if token == ROOT:
+                return
+            token = tokens[token].parent
+
+    fixed = [k for k, t in tokens.items() if several and t.kind == TEXT and any(
+        tokens[a].vector == t.vector for a in around(t.parent))]
+    deciding = {k: t.chars for k, t in tokens.items() if t.kind != TEXT}
+    for text in fixed:
+        for token in around(tokens[text].parent):
+            deciding[token] -= tokens[text].chars
+    if not any(deciding.values()):
+        deciding, fixed = {k: tokens[k].chars for k in deciding}, []
+    most = max(deciding.values(), default=0)
+    slots = [k for k, t in tokens.items() if most and t.kind in (CONTAINER, NAMED)
+             and (size[t.vector] >= 2 or k == ROOT) and t.low == t.high == 1 and deciding[k] >= MOST * most]
+    if not slots:
+        return [], fixed
+    named = [k for k in slots if tokens[k].kind == NAMED]
+    # slots that each hold more than half of the text lie within one another
+    slot = max(named or slots, key=lambda k: (sum(1 for _ in around(k)), k))
+    titles = [k for k, t in tokens.items() if t.kind == TITLE and deciding[k] > 0
+              and t.vector == tokens[slot].vector]
+    if 2 * deciding[slot] <= tokens[slot].chars:
+        fixed = []
+    return [slot, *titles], fixed
+
+
+_TEMPLATE = "host string, texts array<bigint>, mains array<bigint>"
 
 
 def _deduce(found: pd.DataFrame) -> pd.DataFrame:
     """The template of a host from its tokens on at least half of the pages."""
-    host, total = found["host"].iloc[0], int(found["total"].iloc[0])
-    # an element is two tokens, its start and its end
-    size = (found["element"] + 1).groupby([found["v1"], found["v2"]]).transform("sum")
-    found = found[size >= 2]
-    inside = {_hash("")}
-    rows = {int(r.token): r for r in found.itertuples()}
-    pending = True
-    while pending:  # as often as elements are nested
-        more = {t for t, r in rows.items() if t not in inside and r.element and r.parent in inside}
-        pending = bool(more)
-        inside |= more
-    valid = [r for r in rows.values() if r.token in inside or r.parent in inside]
-    every = [r for r in valid if r.pages == total and r.low == r.high == 1]
-    mains = [r.token for r in valid if r.main]
-    if not mains:
-        # text is counted for all elements around it: the innermost that still has most
-        fit = [r for r in every if r.element and r.chars > 0]
-        most = max((r.chars for r in fit), default=0)
-        fit = [r for r in fit if r.chars >= MOST * most]
-        mains = [min(fit, key=lambda r: (r.chars, r.token)).token] if fit else []
-    texts = [r.token for r in every if not r.element] if total >= TEXT_PAGES else []
+    columns = ["parent", "kind", "pages", "low", "high", "v1", "v2", "chars"]
+    tokens = {int(k): Token(*map(int, row)) for k, *row in found[["token", *columns]].itertuples(
+        index=False, name=None)}
+    mains, texts = main_slot(tokens)
     return pd.DataFrame({
-        "host": [host],
-        "elements": [np.array([r.token for r in valid if r.element], np.int64)],
-        "texts": [np.array(texts, np.int64)], "mains": [np.array(mains, np.int64)]})
+        "host": [found["host"].iloc[0]], "texts": [np.array(texts, np.int64)],
+        "mains": [np.array(mains, np.int64)]})
 
 
-def main_text(page: str, elements=(), texts=(), mains=()) -> str:
-    """The main text of a page under its host's template."""
-    blocks = [b for b in read_page(page)[1] if not b.noise]
-    fixed, wanted = set(texts), set(mains)
-
-    chosen = [b for b in blocks if any(_hash(p) in wanted for p in _around(b.path))]
-    if not chosen:
-        chosen = [b for b in blocks if any(_is_main(p) for p in _around(b.path))]
-    if not chosen and blocks:  # neither a known slot nor an article: the fullest element
-        fullest = Counter()
-        for b in blocks:
-            fullest[b.path] += len(b.text) - b.linked
-        path, most = max(fullest.items(), key=lambda x: (x[1], x[0]))
-        chosen = [b for b in blocks if most > 0 and (b.path + "/").startswith(path + "/")]
-    return "\n\n".join(b.text for b in chosen if _hash(f"{b.path}\0{b.text}") not in fixed)
+def main_text(page: str, texts=(), mains=()) -> str:
+    """The main text of a page under its host's template: main slot first, then its headings."""
+    nodes, blocks = read_page(page)
+    mains = list(mains)
+    if not mains or all(n.place != mains[0] for n in nodes):
+        texts, (mains, _) = (), main_slot(_counts(nodes, blocks), several=False)
+    if not mains:
+        return ""
+    fixed = set(texts)
+
+    def within(starts) -> set[int]:
+        """The elements that start so, and all inside them."""
+        held: set[int] = set()
+        for node in nodes:
+            if starts(node) or node.parent is not None and id(node.parent) in held:
+                held.add(id(node))
+        return held
+
+    slot = within(lambda n: n.place == mains[0])
+    top = [n for n in nodes if n.place == mains[0]]
+    named = within(lambda n: n.name in MAIN and not n.noise and id(n) in slot)
+    inside = [b for b in blocks if id(b.node) in slot and not b.node.noise]
+    held = sum(b.plain for b in inside if id(b.node) in named)
+    titles = within(lambda n: n.place in mains[1:])
+    if any(n.name not in MAIN for n in top) and held > 0 and held >= MOST * sum(
+            b.plain for b in inside):
+        # the slot is wider than an article with most of it; its headings stay
+        titles |= within(lambda n: n.name == "h1" and id(n) in slot)
+        slot = named
+    return "\n\n".join(
+        b.text for b in blocks if not b.node.noise and (
+            id(b.node) in slot or id(b.node) in titles) and b.token not in fixed)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """One row per host: hashes of its template's elements, fixed texts and main slots."""
+    """One row per host: hashes of its fixed texts, and of the main slot and its headings."""
     rows = pages.select(
         _host().alias("host"), F.coalesce("html", F.lit("")).alias("html"),
         F.xxhash64("page_id", "html").alias("key"))
     found = rows.mapInArrow(_tokens, _TOKENS_SQL).groupBy("host", "token").agg(
-        F.first("parent").alias("parent"), F.first("element").alias("element"),
-        F.first("main").alias("main"), F.sum("pages").alias("pages"), F.min("low").alias("low"),
+        F.first("parent").alias("parent"), F.first("kind").alias("kind"), F.sum("pages").alias("pages"), F.min("low").alias("low"),
         F.max("high").alias("high"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"),
         F.sum("chars").alias("chars"))
     # a host's tokens meet its number of pages in many parts, and few of them are left
-    count = pages.groupBy(_host().alias("host")).agg(F.count("*").alias("total")).where(
+    count = rows.groupBy("host").agg(F.count(
+        F.when(F.trim("html") != "", 1)).alias("total")).where(
         F.col("total") > 1).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     often = found.where(F.col("pages") > 1).withColumn(
@@ -304,8 +414,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def extracted(batches):
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("html", "elements", "texts", "mains")))
-            texts = [main_text(page, e or (), t or (), m or ()) for page, e, t, m in rows]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("html", "texts", "mains")))
+            texts = [main_text(page, t or (), m or ()) for page, t, m in rows]
             yield pa.RecordBatch.from_arrays([
                 batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                 pa.array([len(t) for t in texts], pa.int64())], schema=out)
@@ -320,5 +430,5 @@ def extract(pages: DataFrame) -> DataFrame:
             F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")).join(
             spread, ["host", "part"], "left")
     return joined.select(
-        "page_id", "url", "html", "elements", "texts", "mains").mapInArrow(
+        "page_id", "url", "html", "texts", "mains").mapInArrow(
         extracted, "page_id bigint, url string, text string, n_chars bigint")
