@@ -1,11 +1,13 @@
 """Line-first quality rules, as column expressions only.
 
-Every line is judged by itself; failing lines go; a document that loses too much of its
-text that way is rejected.  Two measures of the whole document come first: too few words,
-and too many words in repeated eight-word windows.
+Every line is judged by itself, and runs of short lines without an end as a menu; failing lines
+go; a document that loses too much of its text that way is rejected.  Boilerplate phrases count
+by their share of the line's words, so that one mention costs no paragraph.  Two measures of
+the whole document come first: too few words, and too many words in repeated eight-word windows.
 
 Defined cases: NULL text counts as empty.  An empty text, or one of white space only, has
 no words, fails the base rule and is rejected.  Blank lines are neither kept nor lost.
+A line that is lost as part of a menu is lost wherever else it stands in the document.
 Repeated rows are judged alike, each by itself.  Columns of the table that have the name
 of a result column are not read and give way to the result.
 """
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftengine.llm.common import SPACE, free_name, let, text_of, total, words
+from liftengine.llm.common import SPACE, SPACES, free_name, let, text_of, total, words
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases of lines that belong to the page and not to its text, in lower case.
@@ -28,6 +30,10 @@ BOILERPLATE = (
 )
 #: Words that separate entries of a menu or a breadcrumb.
 SEPARATORS = ("|", ">", "»", "›", "•", "·")
+#: A sentence ends somewhere in the line.
+ENDED = r"[.!?…。！？][\"'”’»)\]]*(?:\s|$)"
+#: What may stand at the end of a line that is no entry of a menu.
+PAUSED = r"[.!?…。！？,;:][\"'”’»)\]]*[\x20\x09-\x0D]*\z"
 
 
 @dataclass(frozen=True)
@@ -35,6 +41,8 @@ class Limits:
     """``min_words`` and ``max_repeat_pct`` are the base rule, the rest judge lines.
 
     Shares are of the words of a line, ``max_lost`` is of the characters of a document.
+    ``menu_lines`` lines one after another, of at most ``menu_words`` words and no punctuation
+    at the end, are a menu.
     """
 
     min_words: int = 20
@@ -43,6 +51,9 @@ class Limits:
     max_separators: float = 0.2
     max_stutter: float = 0.2
     unpunctuated_words: int = 12
+    max_boilerplate: float = 0.1
+    menu_words: int = 3
+    menu_lines: int = 5
     max_lost: float = 0.5
 
 
@@ -81,9 +92,10 @@ def repeated_words(found: Column, width: int = 8) -> Column:
 def line_passes(line: Column, limits: Limits = Limits()) -> Column:
     """Whether a line that is not blank is text: punctuation, navigation, boilerplate."""
     low = F.lower(line)
-    boilerplate = F.lit(False)
+    # words of the phrases in the line, each phrase once
+    boilerplate = F.lit(0)
     for phrase in BOILERPLATE:
-        boilerplate = boilerplate | low.contains(phrase)
+        boilerplate = boilerplate + F.when(low.contains(phrase), len(phrase.split())).otherwise(0)
 
     def judged(w: Column) -> Column:
         n = F.size(w)
@@ -91,17 +103,40 @@ def line_passes(line: Column, limits: Limits = Limits()) -> Column:
             F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2.0
         separators = F.size(F.filter(w, lambda x: x.isin(*SEPARATORS)))
         stutter = F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1)))
-        ended = line.rlike(r"[.!?…。！？][\"'”’»)\]]*(?:\s|$)")
+        ended = line.rlike(ENDED)
         return ~(
             (symbols > limits.max_symbols * n)
             | (separators > limits.max_separators * n)
             | ((n >= 5) & (stutter > limits.max_stutter * n))
             | ((n >= limits.unpunctuated_words) & ~ended)
-            | boilerplate)
+            | (boilerplate > limits.max_boilerplate * n))
 
     return let(words(line), judged)
 
 
+def menu_lines(lines: Column, limits: Limits = Limits()) -> Column:
+    """Those of a text's lines, none of them blank, that lie in a run of menu entries."""
+    many = limits.menu_lines
+
+    def entry(x: Column) -> Column:
+        return (F.size(F.split(F.btrim(x, F.lit(SPACE)), SPACES)) <= limits.menu_words) & ~x.rlike(PAUSED)
+
+    def runs(flags: Column) -> Column:
+        """Whether ``many`` entries start at each line."""
+        return F.transform(flags, lambda f, i: F.forall(
+            F.sequence(F.lit(0), F.lit(many - 1)), lambda d: F.coalesce(F.get(flags, i + d), F.lit(False))))
+
+    def held(starts: Column) -> Column:
+        return F.filter(lines, lambda x, i: F.exists(
+            F.sequence(F.lit(0), F.lit(many - 1)),
+            lambda d: (d <= i) & F.coalesce(F.get(starts, i - d), F.lit(False))))
+
+    none = F.array().cast("array<string>")
+    return let(F.transform(lines, entry), lambda flags: F.when(
+        total(F.transform(flags, lambda f: f.cast("int"))) < many, none,
+    ).otherwise(let(runs(flags), held)))
+
+
 def _nonblank(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACE)) != ""
 
@@ -113,7 +148,9 @@ def measures(text: Column, limits: Limits = Limits()) -> Column:
         n_words = F.size(found).cast("bigint")
         repeats = repeated_words(found)
         once = F.array_distinct(lines)
-        kept = F.filter(once, lambda x: line_passes(x, limits))
+        passed = F.filter(once, lambda x: line_passes(x, limits))
+        kept = let(menu_lines(lines, limits), lambda m: F.when(
+            F.size(m) == 0, passed).otherwise(F.array_except(passed, m)))
 
         def verdict(repeated: Column, good: Column) -> Column:
             failed = (n_words < limits.min_words) | (

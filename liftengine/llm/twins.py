@@ -62,17 +62,28 @@ lines AS (
   SELECT doc_id, line, min(k) AS k
   FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM found)
   GROUP BY doc_id, line),
+entries AS (
+  SELECT doc_id, line, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run
+  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM found)
+  WHERE len(regexp_extract_all(line, '{_WORD}')) <= 3
+    AND NOT regexp_matches(line, '[.!?…。！？,;:]["''”’»)\]]*[\x20\x09-\x0D]*\z')),
+menus AS (
+  SELECT DISTINCT e.doc_id, e.line FROM entries e JOIN (
+    SELECT doc_id, run FROM entries GROUP BY doc_id, run HAVING count(*) >= 5) r
+  ON e.doc_id = r.doc_id AND e.run = r.run),
 judged AS (
   SELECT doc_id, line, k, regexp_extract_all(line, '{_WORD}') AS w,
     (length(line) - length(translate(line, '#*$%&|<>', ''))) / 3.0
       + (length(line) - length(replace(line, '!!', ''))) / 2.0 AS symbols,
-    {" OR ".join(f"contains(lower(line), '{p}')" for p in _PHRASES)} AS boilerplate
+    {" + ".join(f"{len(p.split())} * CAST(contains(lower(line), '{p}') AS INT)" for p in _PHRASES)}
+      AS boilerplate
   FROM lines),
 good AS (
   SELECT doc_id, count(*) AS n, sum(length(line)) AS size,
     string_agg(line, chr(10) ORDER BY k) AS clean
   FROM judged
-  WHERE NOT (symbols > 0.3 * len(w) OR boilerplate
+  WHERE (doc_id, line) NOT IN (SELECT doc_id, line FROM menus)
+    AND NOT (symbols > 0.3 * len(w) OR boilerplate > 0.1 * len(w)
     OR len(list_filter(w, lambda x: x IN ('|', '>', '»', '›', '•', '·'))) > 0.2 * len(w)
     OR (len(w) >= 5 AND len(list_filter(list_zip(w[2:], w[:-2]), lambda p: p[1] = p[2])) > 0.2 * len(w))
     OR (len(w) >= 12 AND NOT regexp_matches(line, '[.!?…。！？]["''”’»)\]]*(\s|$)')))

@@ -385,6 +385,25 @@ def test_quality_lines(make):
     assert rows[4]["n_dup_lines"] == 6 and rows[4]["base_failed"]
 
 
+def test_quality_weighs_phrases_and_menus(make):
+    """One mention costs no paragraph; runs of short bare lines go, single ones stay."""
+    long = " ".join(varied(12, i) for i in range(40)) + " We have no cookies here."
+    good = "\n".join(f"{varied(12, i)}" for i in range(6))
+    menu = "\n".join(f"Entry {i}" for i in range(10))
+    rows = {r["doc_id"]: r for r in quality.judge(make(
+        (1, long), (2, "\n".join(f"word{i}" for i in range(22))), (3, f"{menu}\n{good}"),
+        (4, f"A title\n{good}\nMilk\nEggs\n \nFlour, fine\nSalt"), (5, f"{good}\nEntry 3\n{menu}"),
+        (6, f"{good}\nWe use cookies to help you.\nOne,\ntwo,\nthree,\nfour,\nfive."),
+    )).collect()}
+    assert rows[1]["kept"] and rows[1]["clean_text"] == long
+    assert not rows[2]["kept"] and rows[2]["n_lost_lines"] == 22
+    assert rows[3]["kept"] and rows[3]["clean_text"] == good and rows[3]["n_lost_lines"] == 10
+    assert rows[4]["kept"] and rows[4]["n_lost_lines"] == 0
+    assert rows[5]["clean_text"] == good and rows[5]["n_lost_lines"] == 11
+    assert rows[6]["clean_text"].endswith("\nOne,\ntwo,\nthree,\nfour,\nfive.")
+    assert rows[6]["n_lost_lines"] == 1
+
+
 def test_pipeline_small(spark, medium):
     """What each stage must leave behind, on the whole medium table."""
     docs = spark.read.parquet(f"{medium}/documents.parquet")
