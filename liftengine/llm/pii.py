@@ -6,10 +6,11 @@ method then asks which other words reveal such an entity e.  Over all documents,
     IC(e)    = log2(N / n(e))                       how much learning e tells
     PMI(e,t) = log2(N n(e,t) / (n(e) n(t)))         how much of it the term t tells
 
-a term in a document of e is risky if PMI(e,t) >= disclosure * IC(e), that is, if it gives
-away at least that share of what identifies e.  This holds for entities of any number of
-documents: with e in one document only, its terms in at most N ** (1 - disclosure) documents
-are risky.  n(t) counts documents with the term anywhere, n(e,t) those of e that have it
+a term in a document of e is risky if PMI(e,t) n(e,t) / (n(e,t) + 1) >= disclosure * IC(e),
+that is, if it gives away at least that share of what identifies e, after a discount for small
+counts: one joint document is little evidence.  This holds for entities of any number of
+documents: with e in one document only, and half of IC(e) as the limit, its terms that no other
+document has are risky; with e in two, both with t, those in at most N ** 0.25 * 2 ** 0.75.  n(t) counts documents with the term anywhere, n(e,t) those of e that have it
 outside the base spans.  Risky terms are removed from every document of that entity, wherever
 in the text they stand, and stay in other documents: a number becomes a number mark, any
 other word a term mark.
@@ -193,7 +194,8 @@ def term_spans(docs: DataFrame, base: DataFrame, limits: Limits = Limits()) -> D
         "terms", lambda x: x["term"])), lambda t: F.struct(t.alias("term"))))
     pairs = _near(distinct, never).groupBy("entity", "term").agg(F.count("*").alias("n_pair"))
     size = F.lit(float(rows))
-    pmi = F.log2(size * F.col("n_pair") / F.col("n_entity") / F.col("n_term"))
+    pmi = F.log2(size * F.col("n_pair") / F.col("n_entity") / F.col("n_term")) * (
+        F.col("n_pair") / (F.col("n_pair") + 1))
     content = F.log2(size / F.col("n_entity"))
     risky = pairs.join(entities, "entity").join(terms, "term").where(
         (content > 0) & (pmi >= limits.disclosure * content - _EQUAL)).select("entity", "term")

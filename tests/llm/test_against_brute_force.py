@@ -221,14 +221,15 @@ def test_pii_terms(result, documents):
         n_pair.update({(e, w) for e in entities for w, _, _ in words})
         held.append((doc, spans, entities, words))
     risky = {(e, t) for (e, t), n in n_pair.items() if n_entity[e] < size and math.log2(
-        size * n / n_entity[e] / n_term[t]) >= 0.5 * math.log2(size / n_entity[e]) - 1e-9}
+        size * n / n_entity[e] / n_term[t]) * n / (n + 1) >= 0.5 * math.log2(size / n_entity[e]) - 1e-9}
     rows = {r["doc_id"]: r["spans"] for r in result("op7_pii")}
-    terms = 0
+    terms = of = 0
     for doc, spans, entities, words in held:
         gone = [("term", a, b) for w, a, b in words if any((e, w) in risky for e in entities)]
         terms += len(gone)
+        of += len(words) if entities else 0
         assert rows[doc] == ",".join(f"{k}:{a}:{b}" for k, a, b in [*spans, *gone])
-    assert max(n_entity.values()) < 3 and terms > 100
+    assert max(n_entity.values()) < 3 and 100 < terms < 0.25 * of
 
 
 def test_sharding(result, documents):
