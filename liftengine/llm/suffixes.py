@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftengine.llm.common import text_of
+from liftengine.llm.tokens import slices
 from liftengine.sources.scratch import write_scratch
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -48,8 +49,8 @@ SPAN = WINDOW - GRAM + 1
 CYCLE, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 #: A segment's row in a block: its anchor stands at a multiple of the cycle.
 ANCHOR, STRIDE = 2 * CYCLE, 4 * CYCLE
-CHUNK = 2 << 20
-BLOCK_SEGMENTS = 8_000
+CHUNK = 1 << 19
+BLOCK_SEGMENTS = 4_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BYTES = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = [np.uint64(x) for x in np.random.default_rng(8).integers(1 << 62, 1 << 63, 5, np.uint64)
@@ -284,7 +285,7 @@ _RESULT = pa.schema([
 
 def _removed(batches):
     """Each text without the bytes that its repeats cover."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         out = []
         for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"),
                                        batch.column("spans").to_pylist()):

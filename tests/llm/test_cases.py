@@ -4,6 +4,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -418,3 +419,25 @@ def test_pipeline_small(spark, medium):
     fill = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(
         F.col("offset") + F.col("length")).alias("end"))
     assert fill.where("n <> end or end > 4096").isEmpty()
+
+
+def test_suffixes_work_in_small_pieces():
+    """A worker's share of an executor's memory does not follow the batch."""
+    import tracemalloc
+
+    words = np.random.default_rng(1).integers(97, 123, 6 << 20, np.uint8).tobytes().decode()
+    texts = [words[i:i + 4096] for i in range(0, len(words), 4096)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["key", "text"])
+    tracemalloc.start()
+    try:
+        assert sum(len(found) for found in suffixes._find([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 << 20
+    whole = pa.RecordBatch.from_arrays(
+        [batch.column("key"), batch.column("text"), pa.nulls(len(texts), pa.list_(pa.struct(
+            [("lo", pa.int32()), ("hi", pa.int32())])))], names=["doc_id", "text", "spans"])
+    parts = [len(part) for part in suffixes._removed([whole])]
+    assert len(parts) > 1 and sum(parts) == len(texts)
