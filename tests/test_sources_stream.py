@@ -422,6 +422,43 @@ def test_any_order_over_any_chunks(chunk, held):
     assert not handle.states["waiting"] and len(handle.timers) == 1
 
 
+@pytest.mark.parametrize("numbered", [True, False])
+def test_clips_without_gaps_ask_the_state_twice(numbered):
+    """Frames that come in turn are neither set aside nor waited for, and make one table."""
+    import numpy as np
+    import pandas as pd
+
+    from liftengine.streaming.tracker import OUTPUT, BarTracker
+
+    class Counted(FakeState):
+        asked = []
+
+        def __getattribute__(self, name):
+            if name in ("exists", "get", "update", "containsKey", "getValue", "updateValue", "keys"):
+                Counted.asked.append(name)
+            return super().__getattribute__(name)
+
+    class Handle(FakeHandle):
+        def getValueState(self, name, schema):  # noqa: N802
+            return self.states.setdefault(name, Counted())
+
+    tracker, handle = BarTracker(numbered), Handle()
+    tracker.init(handle)
+    Counted.asked.clear()
+    batch = pd.DataFrame({
+        "frame": [0, 1, 2], "seq": [0, 1, 2], "shake_dx": [1.0, np.nan, 1.0], "shake_dy": 0.0,
+        "det_ids": [np.array([0]), np.array([]), np.array([3])],
+        "first_keys": [np.array([0.0]), np.array([]), np.array([0.0])],
+        "cxs": [np.array([4]), np.array([]), np.array([6])],
+        "cys": [np.array([0]), np.array([]), np.array([0])],
+        "arrived": pd.Timestamp("2024-01-01")})
+    tables = list(tracker.handleInputRows((5,), iter([batch]), None))
+    assert Counted.asked == ["get", "update"] and not handle.timers and len(tables) == 1
+    assert tables[0].dtypes.astype(str).to_dict() == OUTPUT
+    assert tables[0]["cx"].astype(object).tolist() == [4, pd.NA, 6]
+    assert tables[0]["total_shake_x"].tolist() == ([1.0, 1.0, 2.0] if numbered else [0.0, 0.0, 1.0])
+
+
 def test_growing_folder_is_analysed_once(spark, tracks):
     from liftengine.plans import incremental
 
