@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
@@ -48,47 +49,45 @@ _HEADER = '^"?frame"?(,|$)'  # 'frame' is the index and comes first in every hea
 
 
 def _under_headers(lines: DataFrame) -> DataFrame:
-    """Data lines with ``header``: the last header line before them in their file, or NULL.
+    """Data lines with ``header``: the MD5 of the last header line before them in their file, or NULL.
 
     Lines come in file order within a split.  A task pairs them as it reads; where a split
     begins in the middle of a file, the header comes from the splits before, of which each
-    leaves at most one row.
+    leaves one row.
     """
-    place = "file string, block bigint"
+    marked = lines.withColumn("head", F.when(F.col("value").rlike(_HEADER), F.md5("value")))
 
     def paired(batches):
-        at, header = None, None
+        at, own = None, None
         for batch in batches:
             if not len(batch):
                 continue
-            keys = list(zip(*[batch.column(c).to_pylist() for c in ("file", "block")]))
-            heads = pc.match_substring_regex(batch.column("value"), _HEADER).to_pylist()
-            values, own = batch.column("value"), []
-            for i, (key, is_head) in enumerate(zip(keys, heads)):
-                if key != at:
-                    at, header = key, None
-                if is_head:
-                    header = values[i].as_py()
-                own.append(header)
+            file, block, head = (batch.column(c) for c in ("file", "block", "head"))
+            heads = head.is_valid().to_numpy(zero_copy_only=False)
+            moved = np.ones(len(batch), bool)
+            moved[1:] = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(
+                block[1:], block[:-1])).to_numpy(zero_copy_only=False)
+            first = (file[0].as_py(), block[0].as_py())
+            moved[0] = first != at
+            turns = np.flatnonzero(moved | heads)
+            # the header before the first turn, and that from each turn on
+            found = [own, *head.take(pa.array(turns)).to_pylist()]
+            own, at = found[-1], (file[-1].as_py(), block[-1].as_py())
+            turn = np.zeros(len(batch), np.int64)
+            turn[turns] = 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column("file"), batch.column("block"), values, pa.array(heads, pa.bool_()),
-                 pa.array(own, pa.string())], names=["file", "block", "value", "head", "own"])
-
-    def last_headers(batches):
-        found = {}  # one entry per split of the task
-        for batch in paired(batches):
-            found.update(zip(zip(*[batch.column(c).to_pylist() for c in ("file", "block")]),
-                             batch.column("own").to_pylist()))
-        yield pa.RecordBatch.from_arrays([
-            pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()),
-            pa.array(list(found.values()), pa.string())], names=["file", "block", "own"])
+                [file, block, batch.column("value"),
+                 pa.array(found, pa.string()).take(pa.array(np.cumsum(turn)))],
+                names=["file", "block", "value", "own"]).filter(pa.array(~heads))
 
     before = Window.partitionBy("file").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1)
-    carried = lines.mapInArrow(last_headers, f"{place}, own string").select(
+    is_head = F.col("head").isNotNull()
+    carried = marked.withColumn("at", F.monotonically_increasing_id()).groupBy(
+        "file", "block").agg(F.max_by("head", F.when(is_head, F.col("at"))).alias("own")).select(
         "file", "block", F.last("own", ignorenulls=True).over(before).alias("carried"))
-    rows = lines.mapInArrow(paired, f"{place}, value string, head boolean, own string")
-    return rows.where("not head").join(carried, ["file", "block"], "left").select(
+    rows = marked.mapInArrow(paired, "file string, block bigint, value string, own string")
+    return rows.join(carried, ["file", "block"], "left").select(
         "file", "value", F.coalesce("own", "carried").alias("header"))
 
 
@@ -119,26 +118,40 @@ def import_analysis_csv(
         fields = F.from_csv(text, slots, {"escape": '"', "maxColumns": str(width + 1)})
         return F.transform(F.array(fields), lambda f: F.array(*[f[f"c{i}"] for i in range(width)]))[0]
 
-    paired = _under_headers(lines).select("file", F.map_from_entries(F.filter(
-        F.arrays_zip(split(F.coalesce("header", F.lit(own_order))).alias("names"),
-                     split(F.col("value")).alias("cells")),
-        lambda e: e["names"].isNotNull())).alias("m"))
+    # what a header says is worked out once for each different one, not for every line under it
+    wanted = ["clip_id", "frame", *[c for c in schema.ANALYSIS_TYPES if c not in ("clip_id", "frame")]]
+    headers = lines.where(F.col("value").rlike(_HEADER)).select(
+        F.md5("value").alias("header"), F.col("value").alias("line")).unionByName(
+        lines.sparkSession.range(1).select(F.lit("").alias("header"), F.lit(own_order).alias("line")))
+    named = headers.distinct().select("header", split(F.col("line")).alias("names")).withColumn(
+        "place", F.map_from_entries(F.filter(F.transform(
+            "names", lambda name, i: F.struct(name.alias("name"), i.alias("i"))),
+            lambda e: e["name"].isNotNull()))).select(
+        "header", "names", F.array(*[F.col("place")[name] for name in wanted]).alias("places"))
+    paired = _under_headers(lines).withColumn("header", F.coalesce("header", F.lit(""))).join(
+        named, "header").select("file", "names", "places", split(F.col("value")).alias("cells"))
+
+    def cell(name):
+        return F.get("cells", F.col("places")[wanted.index(name)])
+
     number = F.regexp_extract("file", clip_pattern, 1)
     clip_id = F.coalesce(
-        F.col("m")["clip_id"].try_cast("bigint"),
+        cell("clip_id").try_cast("bigint"),
         F.when(number != "", number.try_cast("bigint")).otherwise(F.xxhash64("file")))
     texts = {"landmarks_str": "{}", "barbell_box_str": ""}
     typed = [
-        F.coalesce(F.col("m")[name], F.lit(texts[name])).alias(name) if name in texts
-        else F.col("m")[name].try_cast(kind).alias(name)
+        F.coalesce(cell(name), F.lit(texts[name])).alias(name) if name in texts
+        else cell(name).try_cast(kind).alias(name)
         for name, kind in schema.ANALYSIS_TYPES.items()
     ]
     if rescue:
-        known = F.array(*[F.lit(c) for c in ("clip_id", "frame", *schema.ANALYSIS_TYPES)])
-        typed.append(F.map_filter("m", lambda name, cell: ~F.array_contains(known, name)).alias(
+        known = F.array(*[F.lit(c) for c in wanted])
+        typed.append(F.map_from_entries(F.filter(
+            F.arrays_zip("names", "cells"),
+            lambda e: e["names"].isNotNull() & ~F.array_contains(known, e["names"]))).alias(
             "rescued"))
     return paired.select(
-        clip_id.alias("clip_id"), F.col("m")["frame"].try_cast("bigint").alias("frame"), *typed)
+        clip_id.alias("clip_id"), cell("frame").try_cast("bigint").alias("frame"), *typed)
 
 
 def write_report(reports: DataFrame, path: str, mode: str = "errorifexists") -> None:

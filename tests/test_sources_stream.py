@@ -422,6 +422,16 @@ def test_any_order_over_any_chunks(chunk, held):
     assert not handle.states["waiting"] and len(handle.timers) == 1
 
 
+def test_csv_lines_pass_through_python_once(spark):
+    """And the header's columns are worked out per header, not as a map per line."""
+    path = scratch_path(spark, "csv")
+    spark.createDataFrame([("frame,time_s,clip_id\n1,0.5,7\n2,,7",)], "value string").write.text(path)
+    got = sinks.import_analysis_csv(spark, path, file_glob="*.txt")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "arrays_zip" not in plan
+    assert rows_of(got.select("clip_id", "frame", "time_s")) == [(7, 1, 0.5), (7, 2, None)]
+
+
 @pytest.mark.parametrize("numbered", [True, False])
 def test_clips_without_gaps_ask_the_state_twice(numbered):
     """Frames that come in turn are neither set aside nor waited for, and make one table."""
