@@ -3,10 +3,10 @@
 1. A document's set: hashes of its distinct n-grams.  Documents with equal sets are one
    class, represented by the smallest doc_id; only representatives are compared.
 2. Candidates.  Sets of similar size share a band of sizes, and a band deals hashes into a
-   fixed number of cells.  Two linked sets differ in at most d = n/9 n-grams, so of the first
-   d + 1 cells that are not empty at least one has the same n-grams in both.  Each set names
-   these cells by number and content.  Sets that name a common cell are candidates; chains
-   of candidates form clusters.
+   fixed number of cells.  Two linked sets differ in at most d = n/9 n-grams, so of any d + 1
+   cells of one at least one has the same n-grams in the other.  Each set names its cells by
+   number and content, and asks by the d + 1 fullest.  Sets with a common name by which one of
+   them asks are candidates; chains of candidates form clusters.
 3. Tiles.  Each cluster is cut by bands of sizes into blocks, and compatible blocks are
    paired into tiles.  In a tile hashed bitmap signatures bound the overlap from above.  Tiles
    of bitmaps alone go first: sets that may link by that bound form smaller clusters.  Their
@@ -45,6 +45,7 @@ BAND, CELLS = 1.5, 1.3
 SMALL = 64
 #: A block has about a twelfth of its band, but no fewer documents and no more n-grams.
 BLOCKS, BLOCK_DOCS, BLOCK_GRAMS = 12, 128, 1_000_000
+_ASKS = np.uint64(1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -95,33 +96,45 @@ def _band_of(size: float) -> int:
     return int(np.floor(np.log(size) / np.log(BAND)))
 
 
-def _cells(grams: np.ndarray, band: int, percent: int) -> np.ndarray:
-    """The first d + 1 cells that are not empty, each as a hash of band, cell and content.
+def _cells(grams: np.ndarray, band: int, need: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The band's cells that are not empty, each as a hash of band, cell and content, and a flag.
 
-    Of two linked sets at most d cells differ.  The first equal one comes, in either set,
-    behind differing ones only, so it is among the first d + 1.  A set has many more n-grams
-    than cells; that d + 1 are not empty fails with a chance like that of equal hashes.
+    The flag marks the ``need`` fullest cells.  Of two linked sets at most need - 1 cells differ,
+    so one of any ``need`` cells of the smaller set is a cell of the larger too.  Cells with several
+    n-grams are rarely alike by a phrase that both texts happen to have.  A set has many more
+    n-grams than cells; that ``need`` are not empty fails with a chance like that of equal hashes.
     """
-    need = _allowed(len(grams), percent) + 1
     top = int(BAND ** (band + 1)) + 1
     salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
     if top <= SMALL:
-        return _mixed(grams[:need] ^ salt)
+        return _mixed(grams[:need] ^ salt), np.ones(min(need, len(grams)), bool)
     count = np.uint64(int(CELLS * (_allowed(top, percent) + 1)))
     cell = _mixed(grams ^ salt) % count
     order = np.argsort(cell, kind="stable")
     at = np.flatnonzero(np.diff(cell[order].astype(np.int64), prepend=-1))
     content = np.add.reduceat(_mixed(grams[order]), at)
-    return _mixed(content ^ _mixed(cell[order][at] + salt))[:need]
+    asked = np.zeros(len(at), bool)
+    asked[np.argsort(-np.diff(at, append=len(grams)), kind="stable")[:need]] = True
+    return _mixed(content ^ _mixed(cell[order][at] + salt)), asked
 
 
 def names(grams: np.ndarray, percent: int) -> np.ndarray:
-    """What the candidates of a set are found by, in its band and that of larger partners."""
+    """What the candidates of a set are found by; the lowest bit says that the set asks by it.
+
+    Of two linked sets the larger answers to all its cells in its own band, and the smaller asks
+    by some of its cells there, which is its own band or that of larger partners.
+    """
     size = len(grams)
-    if not _allowed(size, percent):
+    need = _allowed(size, percent) + 1
+    if need == 1:
         return np.empty(0, np.uint64)  # links with equal sets only, and those are one class
-    bands = {_band_of(size), _band_of(size * 100 / percent)}
-    return np.unique(np.concatenate([_cells(grams, b, percent) for b in bands]))
+    own, above = _band_of(size), _band_of(size * 100 / percent)
+    found, asked = _cells(grams, own, need, percent)
+    found = found & ~_ASKS | asked
+    if above != own:
+        more, asked = _cells(grams, above, need, percent)
+        found = np.concatenate([found, more[asked] | _ASKS])
+    return np.unique(found)
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
@@ -204,11 +217,13 @@ def _summary(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _candidates(named: DataFrame) -> DataFrame:
-    """Pairs (u, v) that connect all sets with a common name.
+    """Pairs (u, v) that connect all sets with a common name by which one of them asks.
 
-    Each task already joins its sets with a common name to the first of them, so a name that
-    very many sets have is sent once per batch.  Such a joint is itself sent as a name.
+    Each batch sends a name once, with the first of its sets.  If one of them asks, they are
+    joined to the first there and then; else the others go along, for a set elsewhere may ask.
     """
+    out = pa.schema([("name", pa.int64()), ("doc", pa.int64()), ("asked", pa.bool_()),
+                     ("more", pa.list_(pa.int64()))])
 
     def combined(batches):
         for batch in batches:
@@ -218,23 +233,38 @@ def _candidates(named: DataFrame) -> DataFrame:
                 continue
             name = np.frombuffer(b"".join(raw.to_pylist()), np.uint64)
             doc = np.repeat(batch.column("doc_id").to_numpy(), counts)
+            asks = (name & _ASKS) == _ASKS
+            name = name >> _ASKS
             order = np.lexsort((doc, name))
-            name, doc = name[order], doc[order]
+            name, doc, asks = name[order], doc[order], asks[order]
             first = np.concatenate([[True], name[1:] != name[:-1]])
-            lead = doc[first][np.cumsum(first) - 1]
-            joint = np.unique(np.stack([lead[~first], doc[~first]]), axis=1)
-            joint = joint[:, joint[0] != joint[1]]
-            key = _mixed(joint[0].view(np.uint64) ^ _M2) ^ _mixed(joint[1].view(np.uint64))
+            group, at = np.cumsum(first) - 1, np.flatnonzero(first)
+            asked = np.logical_or.reduceat(asks, at)
+            other = ~first & (doc != doc[at][group])
+            joint = other & asked[group]
+            joints = np.unique(np.stack([doc[at][group[joint]], doc[joint]]), axis=1)
+            key = _mixed(joints[0].view(np.uint64) ^ _M2) ^ _mixed(joints[1].view(np.uint64))
+            waiting = other & ~joint
+            more = np.bincount(group[waiting], minlength=len(at))
+            lists = np.concatenate([more, np.ones(len(key), np.int64)])
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([name[first], key, key]).view(np.int64)),
-                pa.array(np.concatenate([doc[first], joint[0], joint[1]]))],
-                names=["name", "doc"])
-
-    sent = named.select("doc_id", "names").mapInArrow(combined, "name bigint, doc bigint")
-    least = F.min("doc").over(Window.partitionBy("name"))
-    return sent.select("doc", least.alias("least")).where(
-        F.col("doc") != F.col("least")).select(
-        F.col("doc").alias("u"), F.col("least").alias("v")).distinct()
+                pa.array(np.concatenate([name[at], key]).view(np.int64)),
+                pa.array(np.concatenate([doc[at], joints[0]])),
+                pa.array(np.concatenate([asked, np.ones(len(key), bool)])),
+                pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(lists)]), pa.int32()),
+                    pa.array(np.concatenate([doc[waiting], joints[1]])),
+                    mask=pa.array(lists == 0))], schema=out)
+
+    sent = named.select("doc_id", "names").mapInArrow(
+        combined, "name bigint, doc bigint, asked boolean, more array<bigint>")
+    name = Window.partitionBy("name")
+    met = sent.select("doc", "more", F.min("doc").over(name).alias("least"),
+                      F.max("asked").over(name).alias("asked")).where(
+        F.col("asked") & ((F.col("doc") != F.col("least")) | F.col("more").isNotNull()))
+    docs = F.concat(F.array("doc"), F.coalesce("more", F.array().cast("array<bigint>")))
+    return met.select(F.explode(docs).alias("u"), F.col("least").alias("v")).where(
+        F.col("u") != F.col("v")).distinct()
 
 
 def _tiles(members: DataFrame, percent: int) -> DataFrame:

@@ -441,3 +441,34 @@ def test_suffixes_work_in_small_pieces():
             [("lo", pa.int32()), ("hi", pa.int32())])))], names=["doc_id", "text", "spans"])
     parts = [len(part) for part in suffixes._removed([whole])]
     assert len(parts) > 1 and sum(parts) == len(texts)
+
+
+def test_jaccard_common_phrase_makes_no_candidates(make, spark):
+    """Different texts with a few phrases in common are not candidates; near copies are."""
+    phrase = varied(12, 999)
+    docs = [(i, f"{varied(200, i)} {phrase} {varied(200, 500 + i)}") for i in range(60)]
+    docs.append((60, docs[0][1] + " end"))
+    held = jaccard._summary(make(*docs), 5, 80)
+    pairs = {(r["u"], r["v"]) for r in jaccard._candidates(held).collect()}
+    assert (60, 0) in pairs
+    assert len(pairs) < 6
+
+
+def test_jaccard_names_find_every_link():
+    """The smaller of two sets asks by a name that the larger has, at sizes around the bands."""
+    rng = np.random.default_rng(3)
+    for percent in (80, 90):
+        for size in range(4, 700, 7):
+            grams = np.unique(rng.integers(1, 1 << 62, size).astype(np.uint64))
+            allowed = jaccard._allowed(len(grams), percent)
+            for lost in {0, allowed // 2, allowed}:
+                fresh = rng.integers(1, 1 << 62, allowed - lost).astype(np.uint64)
+                other = np.unique(np.concatenate([rng.permutation(grams)[lost:], fresh]))
+                common = len(np.intersect1d(grams, other))
+                if 100 * common < percent * (len(grams) + len(other) - common) or not allowed:
+                    continue
+                one, two = (jaccard.names(s, percent) for s in (grams, other))
+                met = {int(n) >> 1 for n in one} & {int(n) >> 1 for n in two}
+                asked = {int(n) >> 1 for n in np.concatenate([one, two]) if int(n) & 1}
+                if len(grams) != len(other) or lost:
+                    assert met & asked, (percent, size, lost)
