@@ -105,6 +105,16 @@ def test_events_are_numbered_alike(both):
                     if c in a.columns])
 
 
+def test_events_are_numbered_once(both):
+    """No table goes back to the events: all read the rows that were numbered once."""
+    for tracks in both:
+        read = {name: {file for file in getattr(tracks, name).inputFiles()}
+                for name in ("frames", "landmarks", "detections", "flow")}
+        assert len({frozenset(files) for files in read.values()}) == 1
+        for name in ("clips", "frames"):
+            assert not any("events.parquet" in file for file in getattr(tracks, name).inputFiles())
+
+
 def test_time_slices_shrink_until_a_burst_fits(spark):
     rows = [(1, i, f"2024-01-01 00:{i // 2:02d}:{i % 2 * 30:02d}") for i in range(80)]
     rows += [(1, 100, "2024-12-31 00:00:00")]
