@@ -106,3 +106,29 @@ def test_columns_without_a_value(spark):
         [(1, 1.0, None), (1, None, None), (2, None, 3.0)], "clip_id bigint, a double, b double")
     assert rows_of(schema.empty_columns(table, ["a", "b", "c"])) == [
         (1, "b"), (1, "c"), (2, "a"), (2, "c")]
+
+
+def _stored_columns(monkeypatch, *modules):
+    """The columns of every table that these modules write to the scratch folder."""
+    seen = []
+
+    def noted(df, label="step"):
+        seen.append(df.columns)
+        return write_scratch(df, label)
+
+    for module in modules:
+        monkeypatch.setattr(module, "write_scratch", noted)
+    return seen
+
+
+def test_what_is_drawn_is_stored_without_the_rest(spark, small, monkeypatch):
+    """Trails store no pose, states no landmarks, and the overlay no landmark text."""
+    import __spark_entry__ as entry
+
+    seen = _stored_columns(monkeypatch, entry)
+    for name, wanted in (("trail_frames", overlay.SHIFTED), ("trail_all_frames", overlay.SHIFTED),
+                         ("path_trail_last_frame", overlay.SHIFTED),
+                         ("frame_state", overlay.STATED), ("overlay", overlay.DRAWN)):
+        entry._QUERIES[name](entry.Fleet(spark, small))
+        assert [tuple(columns) for columns in seen] == [wanted]
+        seen.clear()
