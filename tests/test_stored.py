@@ -132,3 +132,13 @@ def test_what_is_drawn_is_stored_without_the_rest(spark, small, monkeypatch):
         entry._QUERIES[name](entry.Fleet(spark, small))
         assert [tuple(columns) for columns in seen] == [wanted]
         seen.clear()
+
+
+def test_scratch_tables_have_no_dictionaries(spark):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    (file, *_) = write_scratch(spark.range(1000).selectExpr("id % 3 * 0.5D AS x")).inputFiles()
+    column = pq.ParquetFile(Path(file.removeprefix("file://"))).metadata.row_group(0).column(0)
+    assert not column.has_dictionary_page
