@@ -13,7 +13,7 @@ from liftengine.sources import clustered
 from liftengine.sources.counts import Counts
 from liftengine.sources.scratch import scratch_path, write_scratch
 from liftengine.sources.tracks import read_tracks
-from tests.helpers import clip_table, rows_of
+from tests.helpers import clip_table, rows_of, same
 
 
 def plan_of(df):
@@ -142,3 +142,17 @@ def test_scratch_tables_have_no_dictionaries(spark):
     (file, *_) = write_scratch(spark.range(1000).selectExpr("id % 3 * 0.5D AS x")).inputFiles()
     column = pq.ParquetFile(Path(file.removeprefix("file://"))).metadata.row_group(0).column(0)
     assert not column.has_dictionary_page
+
+
+def test_the_stored_analysis_is_numbers(spark, small, monkeypatch):
+    """Texts are worked out where they are asked for; the table is the same."""
+    import __spark_entry__ as entry
+
+    seen = _stored_columns(monkeypatch, fleet)
+    f = entry.Fleet(spark, small)
+    table = fleet.analyze(f.tables.tracks(), names=CLASS_NAMES)["analysis"]
+    assert any("_left_hip_x" in columns for columns in seen)
+    assert not any("landmarks_str" in columns for columns in seen)
+    keys = ["clip_id", "frame"]
+    assert table.columns == [*keys, *schema.ANALYSIS_TYPES]
+    same(table, f.full_analysis(), keys)
