@@ -17,6 +17,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not
 
 # the clip number in the path of a CSV that has no clip_id column
 CLIP_IN_PATH = r"clip_id=(\d+)"
+# CSVs as they are and as gzip packs them
+CSV_FILES = "*.{csv,csv.gz}"
+# rows of a compressed file, which one task reads from its start
+PACKED_ROWS = 100_000
+# fields of all different headers, up to which they are sent to every task
+SENT_FIELDS = 1_000_000
 
 
 def write_analysis(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -30,19 +36,24 @@ def read_analysis(spark: SparkSession, path: str) -> DataFrame:
 
 def export_analysis_csv(
     df: DataFrame, path: str, mode: str = "errorifexists", clip_folders: bool = False,
+    compression: str = "none",
 ) -> None:
     """CSV files with a header; missing values are empty.
 
     Files hold many clips each, with ``clip_id`` as their second column, so their number
     follows the data and not the clips.  ``clip_folders`` makes a folder per clip instead;
-    choose the clips first.
+    choose the clips first.  ``compression`` ``gzip`` makes files ``.csv.gz`` of a bounded number
+    of rows, since a compressed file is read by one task.
     """
     rows = df.select("frame", *[c for c in df.columns if c != "frame"])
     writer = rows.sortWithinPartitions("clip_id", "frame").write.mode(mode)
     if clip_folders:
         writer = rows.repartition("clip_id").sortWithinPartitions(
             "clip_id", "frame").write.mode(mode).partitionBy("clip_id")
-    writer.option("header", True).option("emptyValue", "").csv(path)
+    if compression != "none":
+        writer = writer.option("maxRecordsPerFile", PACKED_ROWS)
+    writer.option("header", True).option("emptyValue", "").option(
+        "compression", compression).csv(path)
 
 
 _HEADER = '^"?frame"?(,|$)'  # 'frame' is the index and comes first in every header
@@ -52,8 +63,9 @@ def _under_headers(lines: DataFrame) -> DataFrame:
     """Data lines with ``header``: the MD5 of the last header line before them in their file, or NULL.
 
     Lines come in file order within a split.  A task pairs them as it reads; where a split
-    begins in the middle of a file, the header comes from the splits before, of which each
-    leaves one row.
+    begins in the middle of a file, the header comes from the splits before.  Each such split
+    leaves one short row, a file's first split none, so these rows are sent to the lines: Spark
+    would take them for as large as the lines, and move and sort all of those.
     """
     marked = lines.withColumn("head", F.when(F.col("value").rlike(_HEADER), F.md5("value")))
 
@@ -85,14 +97,15 @@ def _under_headers(lines: DataFrame) -> DataFrame:
     is_head = F.col("head").isNotNull()
     carried = marked.withColumn("at", F.monotonically_increasing_id()).groupBy(
         "file", "block").agg(F.max_by("head", F.when(is_head, F.col("at"))).alias("own")).select(
-        "file", "block", F.last("own", ignorenulls=True).over(before).alias("carried"))
+        "file", "block", F.last("own", ignorenulls=True).over(before).alias("carried")).where(
+        "block > 0")
     rows = marked.mapInArrow(paired, "file string, block bigint, value string, own string")
-    return rows.join(carried, ["file", "block"], "left").select(
+    return rows.join(F.broadcast(carried), ["file", "block"], "left").select(
         "file", "value", F.coalesce("own", "carried").alias("header"))
 
 
 def import_analysis_csv(
-    spark: SparkSession, path: str, clip_pattern: str = CLIP_IN_PATH, file_glob: str = "*.csv",
+    spark: SparkSession, path: str, clip_pattern: str = CLIP_IN_PATH, file_glob: str = CSV_FILES,
     rescue: bool = False,
 ) -> DataFrame:
     """Analysis CSVs in bulk, columns found by name in the header above them.
@@ -102,7 +115,9 @@ def import_analysis_csv(
     them.  Lines without one are read in the order of the contract.  The clip number is the
     column ``clip_id`` where there is one, else it is taken from the path, or hashed from it
     where the pattern does not match.  ``rescue`` adds a map ``rescued`` of the columns that
-    the contract does not know.  The driver learns how many columns there are at most, no more.
+    the contract does not know.  The driver learns how many columns there are at most and about
+    how many different headers, no more.  Lines are read, split and cast where they lie; only where
+    the headers are too many to be sent to every task are lines moved to them.
     """
     lines = spark.read.option("pathGlobFilter", file_glob).option(
         "recursiveFileLookup", True).text(path).select(
@@ -110,7 +125,8 @@ def import_analysis_csv(
             F.col("_metadata.file_block_start").alias("block"), "value").where("value <> ''")
     own_order = ",".join(["frame", *schema.ANALYSIS_TYPES])
     commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
-    widest = lines.where(F.col("value").rlike(_HEADER)).agg(F.max(commas)).first()[0]
+    widest, different = lines.where(F.col("value").rlike(_HEADER)).agg(
+        F.max(commas), F.approx_count_distinct("value")).first()
     width = 1 + max(widest or 0, own_order.count(","))
     slots = ", ".join(f"c{i} string" for i in range(width))
 
@@ -128,6 +144,8 @@ def import_analysis_csv(
             "names", lambda name, i: F.struct(name.alias("name"), i.alias("i"))),
             lambda e: e["name"].isNotNull()))).select(
         "header", "names", F.array(*[F.col("place")[name] for name in wanted]).alias("places"))
+    if (different + 1) * width <= SENT_FIELDS:
+        named = F.broadcast(named)
     paired = _under_headers(lines).withColumn("header", F.coalesce("header", F.lit(""))).join(
         named, "header").select("file", "names", "places", split(F.col("value")).alias("cells"))
 

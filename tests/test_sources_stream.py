@@ -432,6 +432,35 @@ def test_csv_lines_pass_through_python_once(spark):
     assert rows_of(got.select("clip_id", "frame", "time_s")) == [(7, 1, 0.5), (7, 2, None)]
 
 
+def test_csv_lines_are_not_moved(spark, monkeypatch):
+    """Headers go to the lines; only where they are too many do lines go to their headers."""
+    path = scratch_path(spark, "csv")
+    write_lines(spark, path, "frame,time_s,clip_id", "1,0.5,7", "frame,clip_id,time_s", "2,7,0.25")
+    shown = []
+    for most in (sinks.SENT_FIELDS, 0):
+        monkeypatch.setattr(sinks, "SENT_FIELDS", most)
+        got = sinks.import_analysis_csv(spark, path, file_glob="*.txt")
+        assert rows_of(got.select("clip_id", "frame", "time_s")) == [(7, 1, 0.5), (7, 2, 0.25)]
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        shown.append(plan.count("rightHint=(strategy=broadcast)"))
+    assert shown == [2, 1]
+
+
+def test_packed_csv(spark, tracks, monkeypatch):
+    """Packed files take a fraction of the disk, are bounded, and are read like others."""
+    table = write_scratch(fleet.analysis(
+        tracks.frames, clip_defaults(tracks.clips), tracks.landmarks).coalesce(1))
+    path = scratch_path(spark, "csv")
+    monkeypatch.setattr(sinks, "PACKED_ROWS", 500)
+    sinks.export_analysis_csv(table, f"{path}/plain")
+    sinks.export_analysis_csv(table, f"{path}/packed", compression="gzip")
+    sizes = [spark.read.format("binaryFile").load(f"{path}/{kind}/*.csv{end}").agg(
+        F.count("*"), F.sum("length")).first() for kind, end in (("plain", ""), ("packed", ".gz"))]
+    assert sizes[1][1] < sizes[0][1] / 2
+    assert sizes[1][0] == -(-table.count() // 500)
+    same(table, sinks.import_analysis_csv(spark, f"{path}/packed"), KEYS, digits=12)
+
+
 @pytest.mark.parametrize("numbered", [True, False])
 def test_clips_without_gaps_ask_the_state_twice(numbered):
     """Frames that come in turn are neither set aside nor waited for, and make one table."""
