@@ -526,3 +526,83 @@ def test_growing_folder_is_analysed_once(spark, tracks):
     # a run whose manifest is missing does not count
     full["faults"].write.parquet(f"{path}/out/faults/run=9")
     assert incremental.read_results(spark, f"{path}/out", "faults").where("run = 9").isEmpty()
+
+
+def packed(frames, at):
+    """A table of the tracker's packed rows, of frames with one candidate each."""
+    import numpy as np
+    import pandas as pd
+
+    return pd.DataFrame({
+        "clip_id": 5, "whole": [np.array([10 + i, i, at, 1, 100 + i, 7]) for i in frames],
+        "broken": [np.array([1.0, np.nan, 0.5]) for _ in frames]})
+
+
+class CountedState(FakeState):
+    def __init__(self, asked):
+        self.asked = asked
+
+    def __getattribute__(self, name):
+        if name in ("exists", "get", "update", "containsKey", "getValue", "updateValue", "keys"):
+            self.asked.append(name)
+        return super().__getattribute__(name)
+
+
+class CountedHandle(FakeHandle):
+    def __init__(self):
+        super().__init__()
+        self.asked = []
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self.states.setdefault(name, CountedState(self.asked))
+
+    def registerTimer(self, at):  # noqa: N802
+        self.asked.append("registerTimer")
+        super().registerTimer(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.asked.append("deleteTimer")
+        super().deleteTimer(at)
+
+
+def test_short_clips_that_wait_ask_the_state_twice():
+    """Few frames wait beside the clip's state, and the timer is set once."""
+    from liftengine.streaming.tracker import PackedTracker
+
+    tracker, handle = PackedTracker(), CountedHandle()
+    tracker.init(handle)
+    seen = []
+    for part, at, asks in (((3, 1), 50, ["get", "registerTimer", "update"]),
+                           ((5, 4, 3), 60, ["get", "update"]), ((2, 0), 70, ["get", "update"])):
+        handle.asked.clear()
+        tables = list(tracker.handleInputRows((5,), iter([packed(part, at)]), None))
+        assert handle.asked == asks and handle.timers == {50}
+        seen += [table["whole"][0][i:i + 7] for table in tables
+                 for i in range(0, len(table["whole"][0]), 7)]
+        shakes = [number for table in tables for number in table["broken"][0]]
+    # frame 3 came twice: its second coming is late, and nothing else is
+    assert seen == [[5, 13, None, None, None, 1, 1],
+                    *[[5, 10 + i, 1, 100 + i, 7, 1, 0] for i in range(6)]]
+    assert shakes[-4:] == [6.0, 0.0, 99.0, 7.0]
+
+
+def test_a_timer_that_was_overtaken_is_set_anew():
+    from liftengine.streaming.tracker import PackedTracker
+
+    class Watermark:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.at
+
+    tracker, handle = PackedTracker(), CountedHandle()
+    tracker.init(handle)
+    for part, at in (((2,), 50), ((4, 3), 80)):
+        assert not list(tracker.handleInputRows((5,), iter([packed(part, at)]), None))
+    handle.timers.clear()  # as Spark does with one that expires
+    assert not list(tracker.handleExpiredTimer((5,), Watermark(55), None))
+    assert handle.timers == {80}
+    handle.timers.clear()
+    table, = tracker.handleExpiredTimer((5,), Watermark(80), None)
+    assert table["whole"][0][1::7] == [12, 13, 14] and not handle.timers
